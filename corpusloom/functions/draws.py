@@ -17,6 +17,16 @@ def _digest(seed: int | str, keys: tuple[str | Column, ...]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+def digest(seed: int | str, *keys: str | Column) -> Column:
+    """The whole draw, for callers that need several independent numbers from one hash (see ``part``)."""
+    return _digest(seed, keys)
+
+
+def part(draw: Column, number: int) -> Column:
+    """The ``number``-th (0 to 3) double in [0, 1) of a digest."""
+    return F.conv(F.substring(draw, 8 * number + 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
 def order_key(seed: int | str, *keys: str | Column) -> Column:
     """A 60-bit integer that orders rows at random (ties are broken by the row key)."""
     return F.conv(F.substring(_digest(seed, keys), 1, 15), 16, 10).cast("bigint")
@@ -24,4 +34,4 @@ def order_key(seed: int | str, *keys: str | Column) -> Column:
 
 def uniform(seed: int | str, *keys: str | Column) -> Column:
     """A double in [0, 1)."""
-    return F.conv(F.substring(_digest(seed, keys), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return part(_digest(seed, keys), 0)

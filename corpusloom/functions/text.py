@@ -9,6 +9,7 @@ from itertools import pairwise
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What Python's str.isspace()/strip() treat as blank, as a regex class body.
 BLANK = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -99,7 +100,7 @@ def _strip_one_python_source(source: str | None) -> str | None:
     return "\n".join(line for line in "".join(kept).split("\n") if line.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_python_comments(source: pd.Series) -> pd.Series:
     """Drop comments and statement-level strings, keep columns. NULL when the source cannot be tokenised."""
     return source.map(_strip_one_python_source, na_action="ignore")

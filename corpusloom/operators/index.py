@@ -73,13 +73,19 @@ def at_or_after(key: str, cut: tuple, tie: str | None = None) -> Column:
 
 
 def rank_labels(
-    df: DataFrame, key: str, cuts: Sequence[int], labels: Sequence[str], name: str = "split", tie: str | None = None
+    df: DataFrame,
+    key: str,
+    cuts: Sequence[int],
+    labels: Sequence[str],
+    name: str = "split",
+    tie: str | None = None,
+    span: tuple | None = None,
 ) -> DataFrame:
     """Label rows by rank: ``labels[i]`` for ranks below ``cuts[i]``, the last label for the rest.
 
     The only jobs are key-only scans; the frame itself gets one narrow CASE expression.
     """
-    rows, lo, hi = key_range(df.select(key), key)
+    rows, lo, hi = span or key_range(df.select(key), key)
     label = F.lit(labels[-1])
     for cut, text in reversed(list(zip(cuts, labels, strict=False))):
         if cut >= rows:
@@ -108,8 +114,8 @@ def percent_cut(rows: int, percent: float) -> int:
 
 def percent_split(df: DataFrame, key: str, percent: float = 5, name: str = "split") -> DataFrame:
     """The first ``percent`` % of the rows become ``validation``, the rest ``train``."""
-    rows = df.count()
-    return rank_labels(df, key, [percent_cut(rows, percent)], ["validation", "train"], name)
+    span = key_range(df.select(key), key)
+    return rank_labels(df, key, [percent_cut(span[0], percent)], ["validation", "train"], name, span=span)
 
 
 def sized_sample(df: DataFrame, key: str, train_rows: int, valid_rows: int, seed: int) -> DataFrame:
