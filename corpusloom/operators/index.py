@@ -85,15 +85,27 @@ def rank_labels(
 
     The only jobs are key-only scans; the frame itself gets one narrow CASE expression.
     """
-    rows, lo, hi = span or key_range(df.select(key), key)
+    return df.withColumn(name, rank_label(df, key, cuts, labels, tie, span))
+
+
+def rank_label(
+    keys: DataFrame,
+    key: str,
+    cuts: Sequence[int],
+    labels: Sequence[str],
+    tie: str | None = None,
+    span: tuple | None = None,
+) -> Column:
+    """The CASE expression of ``rank_labels``, its cuts taken from ``keys``: for frames whose rows are costly to make."""
+    rows, lo, hi = span or key_range(keys.select(key), key)
     label = F.lit(labels[-1])
     for cut, text in reversed(list(zip(cuts, labels, strict=False))):
         if cut >= rows:
             label = F.lit(text)
         elif cut > 0:
-            edge = key_at_rank(df, key, cut, tie, within=(rows, lo, hi))
+            edge = key_at_rank(keys, key, cut, tie, within=(rows, lo, hi))
             label = F.when(~at_or_after(key, edge, tie), text).otherwise(label)
-    return df.withColumn(name, label)
+    return label
 
 
 def first_n(df: DataFrame, key: str, n: int, tie: str | None = None) -> DataFrame:
@@ -112,17 +124,24 @@ def percent_cut(rows: int, percent: float) -> int:
     return round(rows * percent / 100)
 
 
+def percent_label(keys: DataFrame, key: str, percent: float = 5) -> Column:
+    span = key_range(keys.select(key), key)
+    return rank_label(keys, key, [percent_cut(span[0], percent)], ["validation", "train"], span=span)
+
+
 def percent_split(df: DataFrame, key: str, percent: float = 5, name: str = "split") -> DataFrame:
     """The first ``percent`` % of the rows become ``validation``, the rest ``train``."""
-    span = key_range(df.select(key), key)
-    return rank_labels(df, key, [percent_cut(span[0], percent)], ["validation", "train"], name, span=span)
+    return df.withColumn(name, percent_label(df, key, percent))
 
 
-def sized_sample(df: DataFrame, key: str, train_rows: int, valid_rows: int, seed: int) -> DataFrame:
+def sized_sample(
+    df: DataFrame, key: str, train_rows: int, valid_rows: int, seed: int, keys: DataFrame | None = None
+) -> DataFrame:
     """Shuffle, then take ``train_rows + 1`` rows for training and the next ``valid_rows + 1`` for validation."""
-    drawn = order_at_random(df, key, seed)
-    ends = [train_rows + 1, train_rows + 1 + valid_rows + 1]
-    labelled = rank_labels(drawn, "_order", ends, ["train", "validation", "rest"], tie=key)
+    order = [train_rows + 1, train_rows + 1 + valid_rows + 1]
+    drawn = order_at_random(df if keys is None else keys, key, seed)
+    label = rank_label(drawn, "_order", order, ["train", "validation", "rest"], tie=key)
+    labelled = order_at_random(df, key, seed).withColumn("split", label)
     return labelled.where("split <> 'rest'").drop("_order")
 
 

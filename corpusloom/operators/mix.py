@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.draws import uniform
 from corpusloom.operators.index import row_index
+from corpusloom.sources.stage import staged
 
 SLOT_BLOCKS = 4096
 
@@ -95,19 +97,22 @@ def interleave(
 ) -> DataFrame:
     """Mix tables of one schema by weight, keeping each one's order by ``key``, until the first runs out.
 
-    Every output slot draws a source and takes its next row. Ranks are computed on keys alone; the wide rows are
-    shuffled once, in the last join, and only those that the mixture keeps survive it.
+    Every output slot draws a source and takes its next row. Ranks are computed on keys alone, which are staged because
+    three jobs read them; the wide rows are shuffled once, in the last join, and only those that the mixture keeps
+    survive it.
     """
     if len(sources) != len(weights):
         raise ValueError("one weight per source")
-    tagged = None
-    for number, source in enumerate(sources):
-        part = source.withColumn("source_no", F.lit(number))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    keys = tagged.select("source_no", key)
+    tagged = reduce(DataFrame.unionByName, [s.withColumn("source_no", F.lit(n)) for n, s in enumerate(sources)])
+    return interleave_tagged(tagged, staged(tagged.select("source_no", key), "keys"), weights, seed, key, name)
+
+
+def interleave_tagged(
+    tagged: DataFrame, keys: DataFrame, weights: Sequence[float], seed: int, key: str, name: str = "row_idx"
+) -> DataFrame:
+    """``interleave`` for a union that carries ``source_no``, whose keys are at hand as a table."""
     counts = {row["source_no"]: row["count"] for row in keys.groupBy("source_no").count().collect()}
-    slots = draw_slots(keys.sparkSession, [counts.get(n, 0) for n in range(len(sources))], weights, seed)
+    slots = draw_slots(keys.sparkSession, [counts.get(n, 0) for n in range(len(weights))], weights, seed)
     ranks = row_index(keys, key, "rank", by=["source_no"])
     picked = ranks.join(slots, ["source_no", "rank"]).select("source_no", key, F.col("slot").alias(name))
     return tagged.join(picked, ["source_no", key])
-

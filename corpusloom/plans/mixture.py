@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import link_doc_and_code, strip_comments
-from corpusloom.operators.index import percent_split, sized_sample
-from corpusloom.operators.mix import interleave
+from corpusloom.operators.index import percent_label, sized_sample
+from corpusloom.operators.mix import interleave_tagged
+from corpusloom.sources.stage import staged
 from corpusloom.sources.writers import with_splits
 
 
@@ -20,11 +22,6 @@ def linked_corpus(code: DataFrame, keep: Sequence[str] = (), python: bool = Fals
     return code.select(*keep, text.alias("text")).where(F.col("text").isNotNull())
 
 
-def with_validation(corpus: DataFrame, key: str, percent: float = 5) -> DataFrame:
-    """Split off the first ``percent`` % unless the corpus brings its own splits."""
-    return corpus if "split" in corpus.columns else percent_split(corpus, key, percent)
-
-
 def split_counts(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("split").agg(F.count("*").alias("n"))
 
@@ -48,24 +45,41 @@ def build_mixture(
     """``(split, row_idx, source_no, key, text)`` of all corpora interleaved by weight, for each split.
 
     ``sized`` is the position of the corpus that is too large to take whole: it is shuffled and sampled to its weight
-    times the rows of the others. Validation draws from validation parts only.
+    times the rows of the others; a corpus with its own ``split`` column keeps it. Validation draws from validation
+    parts only. Cuts and ranks are found on staged keys, so the texts themselves are made once, in the final join.
     """
     columns = [key, "text"]
-    split = [
-        None if n == sized else with_validation(corpus, key, percent).select(*columns, "split")
-        for n, corpus in enumerate(corpora)
-    ]
+    keys = [staged(corpus.select(key, *_own_split(corpus)), "keys") for corpus in corpora]
+    split: list[DataFrame | None] = [None] * len(corpora)
+    split_keys: list[DataFrame | None] = [None] * len(corpora)
+    for n, corpus in enumerate(corpora):
+        if n != sized:
+            label = F.col("split") if _own_split(corpus) else percent_label(keys[n], key, percent)
+            split[n] = corpus.select(*columns, label.alias("split"))
+            split_keys[n] = keys[n].select(key, label.alias("split"))
     if sized is not None:
-        totals = total_rows([part for part in split if part is not None])
+        totals = total_rows([part for part in split_keys if part is not None])
         rows = [int(weights[sized] * totals.get(name, 0)) for name in ("train", "validation")]
-        split[sized] = sized_sample(corpora[sized].select(*columns), key, *rows, seed=seed)
+        for frames, frame in ((split, corpora[sized].select(*columns)), (split_keys, keys[sized].select(key))):
+            frames[sized] = sized_sample(frame, key, *rows, seed=seed, keys=keys[sized])
+    texts, ids = _tagged(split), staged(_tagged(split_keys), "split-keys")
     return with_splits(
         {
-            name: interleave([part.where(_is(name)).select(*columns) for part in split], weights, seed, key)
+            name: interleave_tagged(
+                texts.where(_is(name)).drop("split"), ids.where(_is(name)).drop("split"), weights, seed, key
+            )
             for name in ("train", "validation")
         }
     )
 
 
+def _own_split(corpus: DataFrame) -> list[str]:
+    return ["split"] if "split" in corpus.columns else []
+
+
+def _tagged(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [part.withColumn("source_no", F.lit(n)) for n, part in enumerate(parts)])
+
+
 def _is(name: str) -> Column:
     return F.col("split") == F.lit(name)
