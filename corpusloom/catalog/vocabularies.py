@@ -112,9 +112,9 @@ def source_id_list(spark: SparkSession, folder: str) -> DataFrame:
     return v.source_ids(v.reassign_slots(merged(spark, folder)))
 
 
-def _long(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+def _long(df: DataFrame, key: str, vector: str = "embedding", digits: int = 6) -> DataFrame:
     cells = df.select(key, F.posexplode(vector).alias("dim", "x"))
-    return cells.select(key, "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
+    return cells.select(key, "dim", (F.round(F.col("x").cast("double"), digits) + F.lit(0.0)).alias("x"))
 
 
 def _embedded(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,7 +139,7 @@ def piece_mean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def random_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return _long(v.with_random_vectors(_embedded(spark, folder), DIM, SEED), "idx").withColumn("x", F.round("x", 4))
+    return _long(v.with_random_vectors(_embedded(spark, folder), DIM, SEED), "idx", digits=4)
 
 
 QUERIES = {
@@ -243,14 +243,14 @@ UNION ALL SELECT token, 'missing' FROM learned WHERE token NOT IN (SELECT token
     "vocab_adapt": f"WITH {ADAPT_CTE} SELECT token, idx, origin FROM adapted",
     "vocab_origin_counts": f"WITH {ADAPT_CTE} SELECT origin, count(*) AS n FROM adapted GROUP BY origin",
     "source_id_list": f"WITH {VOCAB_CTE} SELECT idx FROM slotted WHERE origin = 'source_lang'",
-    "embedding_overlay": """SELECT idx, dim, round(CAST(x * (CASE WHEN label = 0 THEN 1 ELSE 2 END) AS DOUBLE), 6) AS x FROM (
+    "embedding_overlay": """SELECT idx, dim, round(CAST(x * (CASE WHEN label = 0 THEN 1 ELSE 2 END) AS DOUBLE), 6) + 0.0 AS x FROM (
   SELECT vec_id AS idx, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)""",
     "piece_mean": """WITH p AS (SELECT vec_id AS token, unnest([vec_id, vec_id // 2, vec_id // 3]) AS idx FROM embeddings),
 e AS (SELECT vec_id AS idx, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
-SELECT token, dim, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM p JOIN e USING (idx) GROUP BY token, dim""",
+SELECT token, dim, round(avg(CAST(x AS DOUBLE)), 6) + 0.0 AS x FROM p JOIN e USING (idx) GROUP BY token, dim""",
     "random_vectors": f"""WITH e AS (
   SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
 SELECT vec_id AS idx, i - 1 AS dim, round(CAST(CAST(CASE WHEN label = 0 THEN x ELSE
-  sqrt(2.0 / {DIM}) * sqrt(-2 * ln(1 - {uniform_sql(f'{SEED}r', 'vec_id', 'i')})) * cos(2 * pi() * {uniform_sql(f'{SEED}a', 'vec_id', 'i')}) END AS FLOAT) AS DOUBLE), 4) AS x
+  sqrt(2.0 / {DIM}) * sqrt(-2 * ln(1 - {uniform_sql(f'{SEED}r', 'vec_id', 'i')})) * cos(2 * pi() * {uniform_sql(f'{SEED}a', 'vec_id', 'i')}) END AS FLOAT) AS DOUBLE), 4) + 0.0 AS x
 FROM e""",
 }

@@ -163,23 +163,24 @@ def _quantile_cells(df: DataFrame, key: str) -> Column:
     return F.expr(f"size(filter(array({','.join(f'{e}D' for e in edges)}), e -> e <= cast({key} as double)))")
 
 
-def _cells(df: DataFrame, key: str, by: Sequence[str], hashed: bool) -> tuple[Column, list]:
+def _cells(df: DataFrame, key: str, by: Sequence[str], span: tuple | None) -> tuple[Column, list]:
     """A cell number for every row, in key order, and the number of rows per group and cell.
 
-    Equal-width cells do for dense ids and are even by construction for seeded keys. Where the ids cluster, so that one
+    Without a ``span`` the key is a seeded one, whose top bits are even cells by construction. Equal-width cells do for
+    dense ids. Where the ids cluster, so that one
     cell would hold many times its share, approximate quantiles (literals, hence the same after a retry) replace them.
     """
 
     def totals(cell: Column) -> list:
         return df.groupBy(*by, cell.cast("bigint").alias("_cell")).count().orderBy(*by, "_cell").collect()
 
-    if hashed:
+    if span is None:
         cell = F.shiftright(F.col(key), ORDER_BITS - _HASH_CELL_BITS)
         return cell, totals(cell)
-    rows, lo, hi = key_range(df, key)
-    cell = _grid(key, lo or 0, hi or 0)
+    rows, lo, hi = span
+    cell = _grid(key, lo, hi)
     bars = totals(cell)
-    if bars and max(bar["count"] for bar in bars) > max(LEAF_ROWS, 16 * rows // GRID):
+    if max(bar["count"] for bar in bars) > max(LEAF_ROWS, 16 * rows // GRID):
         cell = _quantile_cells(df, key)
         bars = totals(cell)
     return cell, bars
@@ -211,11 +212,16 @@ def row_index(
     for a few groups, such as the sources of a mixture. The driver sees at most 4,096 totals per group. The key is
     scanned once for the totals, so pass narrow frames and join the number back where rows are wide.
     """
-    cell, bars = _cells(df.select(*by, key), key, by, hashed)
+    order = [F.col(key)] if tie is None else [F.col(key), F.col(tie)]
+    narrow = df.select(*by, key)
+    span = None if hashed else key_range(narrow, key)
+    if span and span[0] <= LEAF_ROWS:
+        # Few enough rows, by count, to be sorted in one task.
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint") - 1)
+    cell, bars = _cells(narrow, key, by, span)
     if not bars:
         return df.withColumn(name, F.lit(0).cast("bigint"))
     offsets = df.sparkSession.createDataFrame(_offsets(bars, by))
-    order = [F.col(key)] if tie is None else [F.col(key), F.col(tie)]
     inside = Window.partitionBy(*by, "_cell").orderBy(*order)
     return (
         df.withColumn("_cell", cell.cast("bigint"))

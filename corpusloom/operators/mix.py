@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.draws import uniform
-from corpusloom.operators.index import row_index
+from corpusloom.operators.index import LEAF_ROWS, row_index
 from corpusloom.sources.stage import staged
 
 SLOT_BLOCKS = 4096
@@ -36,13 +36,32 @@ def _slots(spark: SparkSession, start: int, end: int, block: int, weights: Seque
     )
 
 
-def _ranked(slots: DataFrame, before: pa.Table) -> DataFrame:
+def _ranked(slots: DataFrame, before: pa.Table | None) -> DataFrame:
     """Number each source's slots; ``before`` holds the source's slots in earlier blocks (≤ blocks x sources rows)."""
-    offsets = slots.sparkSession.createDataFrame(before)
     inside = Window.partitionBy("block", "source_no").orderBy("slot")
-    return slots.join(F.broadcast(offsets), ["block", "source_no"]).select(
-        "slot", "source_no", (F.col("before") + F.row_number().over(inside) - 1).alias("rank")
-    )
+    rank = F.row_number().over(inside).cast("bigint") - 1
+    if before is None:
+        return slots.select("slot", "source_no", rank.alias("rank"))
+    offsets = slots.sparkSession.createDataFrame(before)
+    joined = slots.join(F.broadcast(offsets), ["block", "source_no"])
+    return joined.select("slot", "source_no", (F.col("before") + rank).alias("rank"))
+
+
+def _blocks_until_exhausted(totals: list, sizes: Sequence[int]) -> tuple[pa.Table, int | None]:
+    """Slots of each source before each block, up to the block in which a first source runs out."""
+    seen = [0] * len(sizes)
+    rows, stop = [], None
+    for bar in totals:
+        if stop is not None and bar["block"] > stop:
+            break
+        source = bar["source_no"]
+        rows.append((bar["block"], source, seen[source]))
+        seen[source] += bar["count"]
+        if seen[source] >= sizes[source]:
+            stop = bar["block"]
+    types = {"block": pa.int64(), "source_no": pa.int32(), "before": pa.int64()}
+    columns = zip(*rows, strict=True)
+    return pa.table({name: pa.array(c, types[name]) for name, c in zip(types, columns, strict=True)}), stop
 
 
 def draw_slots(spark: SparkSession, sizes: Sequence[int], weights: Sequence[float], seed: int) -> DataFrame:
@@ -53,33 +72,14 @@ def draw_slots(spark: SparkSession, sizes: Sequence[int], weights: Sequence[floa
     That one block is then numbered to find the exact slot, so the main plan holds no slot that is thrown away.
     """
     wanted = sum(sizes)
-    block = max(1024, -(-wanted // SLOT_BLOCKS))
-    totals = (
-        _slots(spark, 0, wanted, block, weights, seed)
-        .groupBy("block", "source_no")
-        .count()
-        .orderBy("block", "source_no")
-        .collect()
-    )
-    seen = [0] * len(sizes)
-    rows, stop_block = [], None
-    for bar in totals:
-        if stop_block is not None and bar["block"] > stop_block:
-            break
-        source = bar["source_no"]
-        rows.append((bar["block"], source, seen[source]))
-        seen[source] += bar["count"]
-        if seen[source] >= sizes[source]:
-            stop_block = bar["block"]
-    before = pa.table(
-        {
-            "block": pa.array([r[0] for r in rows], pa.int64()),
-            "source_no": pa.array([r[1] for r in rows], pa.int32()),
-            "before": pa.array([r[2] for r in rows], pa.int64()),
-        }
-    )
-    if stop_block is None:
-        return _ranked(_slots(spark, 0, wanted, block, weights, seed), before)
+    before, stop_block = None, 0
+    block = max(wanted, 1)
+    if wanted > LEAF_ROWS:
+        block = -(-wanted // SLOT_BLOCKS)
+        drawn = _slots(spark, 0, wanted, block, weights, seed).groupBy("block", "source_no").count()
+        before, stop_block = _blocks_until_exhausted(drawn.orderBy("block", "source_no").collect(), sizes)
+        if stop_block is None:
+            return _ranked(_slots(spark, 0, wanted, block, weights, seed), before)
     last = F.array(*[F.lit(size).cast("bigint") for size in sizes])[F.col("source_no")] - 1
     start = stop_block * block
     edge = (
@@ -89,7 +89,8 @@ def draw_slots(spark: SparkSession, sizes: Sequence[int], weights: Sequence[floa
         .agg(F.min(F.when(last < 0, F.col("slot") - 1).otherwise(F.col("slot"))).alias("stop"))
         .first()["stop"]
     )
-    return _ranked(_slots(spark, 0, edge + 1, block, weights, seed), before)
+    end = wanted if edge is None else edge + 1
+    return _ranked(_slots(spark, 0, end, block, weights, seed), before)
 
 
 def interleave(

@@ -142,16 +142,20 @@ def methods_with_docs(files: DataFrame, code: str = "code") -> DataFrame:
     return files.mapInPandas(walk, ", ".join([*fields, "method_no int", "doc string", "code string"]))
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def doc_text(doc: Column) -> Column:
     """A doc comment without its marks."""
     inner = F.regexp_replace(doc, r"^/\*+|\*+/$", "")
-    lines = F.transform(F.split(inner, "\n"), lambda line: F.trim(F.regexp_replace(line, r"^\s*\*+", "")))
-    return F.trim(F.array_join(lines, "\n"))
+    lines = F.transform(F.split(inner, "\n"), lambda line: _bare(F.regexp_replace(line, r"^\s*\*+", "")))
+    return _bare(F.array_join(lines, "\n"))
 
 
 def doc_summary(doc: Column) -> Column:
     """The first paragraph, up to the first tag."""
-    return F.trim(F.get(F.split(doc_text(doc), r"\n\s*\n|@", 2), F.lit(0)))
+    return _bare(F.get(F.split(doc_text(doc), r"\n\s*\n|@", 2), F.lit(0)))
 
 
 def doc_tokens(summary: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import has_ink
 from corpusloom.sources import schemas
@@ -33,7 +34,13 @@ def text_files(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.csv(path, header=True, multiLine=True, escape='"') if extension == "csv" else reader.json(path)
 
 
-def arriving(spark: SparkSession, folder: str, schema: str, only: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
+def arriving(
+    spark: SparkSession,
+    folder: str,
+    schema: str | StructType,
+    only: str | None = None,
+    files_per_trigger: int | None = None,
+) -> DataFrame:
     """Parquet files as a stream. ``only`` is a file-name pattern."""
     reader = spark.readStream.schema(schema)
     if only:

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def with_splits(parts: dict[str, DataFrame]) -> DataFrame:
@@ -60,4 +59,4 @@ def read_name_list(lines: DataFrame, name: str = "repo") -> DataFrame:
     """Decode ``(value)`` twice and list the names."""
     wrapped = F.concat(F.lit('{"s":'), F.col("value"), F.lit("}"))
     text = F.from_json(wrapped, "s string")["s"]
-    return lines.select(F.explode(F.from_json(text, _SET)["py/set"]).cast(StringType()).alias(name)).distinct()
+    return lines.select(F.explode(F.from_json(text, _SET)["py/set"]).alias(name)).distinct()

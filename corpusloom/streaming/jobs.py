@@ -23,8 +23,11 @@ def encode_stream(
     tokens: dict[str, int],
     out: str,
     checkpoint: str,
+    tasks: int | None = None,
 ) -> StreamingQuery:
-    """Encode every arriving text once and append it to ``out``."""
+    """Encode every arriving text once and append it to ``out``. ``tasks`` spreads arrivals of a few small files."""
+    if tasks:
+        stream = stream.repartition(tasks)
     encoded = encode_with_merges(stream, key, words_column, merges, tokens)
     return (
         encoded.writeStream.format("parquet")
