@@ -42,10 +42,11 @@ def pack_chunks(
     a column that already holds the row's length, which spares reading the arrays for the sizes.
     """
     n = F.size(columns[0]) if size is None else F.col(size)
-    places = _places(rows.select(key, n.cast("bigint").alias("n")).where("n > 0"), key, batch_rows)
+    places = _places(rows.select(key, n.cast("bigint").alias("n")), key, batch_rows)
     ends = F.col("start") + F.size(columns[0])
     placed = (
         rows.select(key, *columns)
+        .where(F.size(columns[0]) > 0)
         .join(places, key)
         .withColumn("first", F.expr(f"start div {length}"))
         .withColumn("last", F.least(F.expr(f"(start + size({columns[0]}) - 1) div {length}"), F.expr(f"total div {length} - 1")))

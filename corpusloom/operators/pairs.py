@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,18 +128,20 @@ def methods_with_docs(files: DataFrame, code: str = "code") -> DataFrame:
     keep = [c for c in files.columns if c != code]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != code]
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch[batch[code].notna()]
-            batch = batch.assign(_found=[list(enumerate(_Members(source).walk())) for source in batch[code]])
-            rows = batch.explode("_found").dropna(subset=["_found"])
-            yield rows[keep].assign(
-                method_no=[number for number, _ in rows["_found"]],
-                doc=[pair[0] for _, pair in rows["_found"]],
-                code=[pair[1] for _, pair in rows["_found"]],
-            )
-
-    return files.mapInPandas(walk, ", ".join([*fields, "method_no int", "doc string", "code string"]))
+            rows, numbers, docs, codes = [], [], [], []
+            for row, source in enumerate(batch.column(code).to_pylist()):
+                for number, (doc, method) in enumerate(_Members(source or "").walk()):
+                    rows.append(row)
+                    numbers.append(number)
+                    docs.append(doc)
+                    codes.append(method)
+            kept = batch.select(keep).take(pa.array(rows, pa.int64()))
+            found = [pa.array(numbers, pa.int32()), pa.array(docs, pa.string()), pa.array(codes, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *found], names=[*keep, "method_no", "doc", "code"])
+
+    return files.mapInArrow(walk, ", ".join([*fields, "method_no int", "doc string", "code string"]))
 
 
 def _bare(text: Column) -> Column:
