@@ -88,6 +88,7 @@ def _code_corpus(spark: SparkSession, folder: str) -> DataFrame:
         F.col("code").alias("whole_func_string"),
         F.col("line").alias("func_documentation_string"),
         F.lit("java").alias("language"),
+        "lang",
     )
 
 
@@ -125,7 +126,7 @@ def strip_python(spark: SparkSession, folder: str) -> DataFrame:
 def doc_code_link(spark: SparkSession, folder: str) -> DataFrame:
     rows = _code_corpus(spark, folder)
     # A row without documentation fails to link and is dropped.
-    doc = F.when(F.col("doc_id") % 10 != 0, F.col("func_documentation_string"))
+    doc = F.when(F.col("lang") != "es", F.col("func_documentation_string"))
     return mixture.linked_corpus(rows.withColumn("func_documentation_string", doc), keep=("doc_id",))
 
 
@@ -234,7 +235,7 @@ SELECT doc_id, split FROM ({_SAMPLE})""",
     "strip_pages": f"SELECT page_id, {strip_sql('html')} AS code FROM pages",
     "strip_python": r"""SELECT doc_id, 'import os' || '  ' || chr(10) || 'def f' || doc_id || '(a):' || chr(10)
 || '    x = ''# keep ' || doc_id || '''  ' || chr(10) || '    return x' AS code FROM documents""",
-    "doc_code_link": f"WITH {CODE_CTE} SELECT doc_id, line || '</s>' || {strip_sql('code')} AS text FROM code_rows WHERE doc_id % 10 <> 0",
+    "doc_code_link": f"WITH {CODE_CTE} SELECT doc_id, line || '</s>' || {strip_sql('code')} AS text FROM code_rows WHERE lang <> 'es'",
     "comment_inventory": f"""WITH {CODE_CTE},
 c AS (SELECT unnest(regexp_extract_all(code, '{LITERAL_OR_COMMENT_SQL}')) AS comment FROM code_rows)
 SELECT CASE WHEN comment LIKE '//%' THEN 'line' WHEN comment LIKE '/**%' AND length(comment) > 4 THEN 'doc' ELSE 'block' END AS kind,

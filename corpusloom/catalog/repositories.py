@@ -41,12 +41,12 @@ def landed_metadata(docs: DataFrame) -> DataFrame:
 
 
 def landed_trees(docs: DataFrame) -> DataFrame:
-    """Trees of one document each: ``master`` for even ids, ``main`` for every third, neither for the others."""
+    """Trees of one document each: French has ``master`` and ``main``, English the first, German the second, Spanish none."""
     path = F.concat(F.lit("src/F"), F.col("doc_id").cast("string"), F.when(F.col("n_chars") % 2 == 0, ".java").otherwise(".md"))
     entry = lambda p: F.struct(p.alias("path"), F.concat(F.lit("blob/"), p).alias("url"))
     tree = F.array(entry(F.lit("README.md")), entry(path), entry(F.lit("src/Main.java")))
     repo = F.concat(F.lit("repo/"), F.col("doc_id").cast("string"))
-    branches = {"master": docs.where("doc_id % 2 = 0"), "main": docs.where("doc_id % 3 = 0")}
+    branches = {"master": docs.where("lang in ('en', 'fr')"), "main": docs.where("lang in ('de', 'fr')")}
     return writers.with_splits(
         {name: rows.select(repo.alias("repo"), tree.alias("tree")) for name, rows in branches.items()}
     ).withColumnRenamed("split", "branch")
@@ -62,7 +62,7 @@ def repo_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def branch_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).select("doc_id", "n_chars")
+    docs = documents(spark, folder).select("doc_id", "lang", "n_chars")
     names = docs.select(F.concat(F.lit("repo/"), F.col("doc_id").cast("string")).alias("repo"))
     return repos.branch_files(landed_trees(docs), names)
 
@@ -206,7 +206,7 @@ w AS (SELECT word FROM (SELECT unnest(l) AS word FROM l) WHERE word <> ''), k AS
 SELECT a.token || ' ' || b.token || ' ' || c.token AS query FROM k a JOIN k b ON a.idx < b.idx JOIN k c ON b.idx < c.idx""",
     "repo_names": "SELECT DISTINCT 'owner/' || source AS repo FROM documents",
     "repo_filter": f"WITH {_STARS} SELECT DISTINCT 'owner/' || source AS repo FROM documents WHERE 'owner/' || source NOT IN (SELECT repo FROM stars WHERE stars < 2)",
-    "branch_fallback": """WITH f AS (SELECT 'repo/' || doc_id AS repo, CASE WHEN doc_id % 2 = 0 THEN 'master' WHEN doc_id % 3 = 0 THEN 'main' END AS branch,
+    "branch_fallback": """WITH f AS (SELECT 'repo/' || doc_id AS repo, CASE WHEN lang IN ('en', 'fr') THEN 'master' WHEN lang = 'de' THEN 'main' END AS branch,
   'src/F' || doc_id || CASE WHEN n_chars % 2 = 0 THEN '.java' ELSE '.md' END AS path FROM documents),
 files AS (SELECT repo, branch, 1 AS file_no, path FROM f WHERE branch IS NOT NULL AND path LIKE '%.java'
           UNION ALL SELECT repo, branch, 2, 'src/Main.java' FROM f WHERE branch IS NOT NULL)

@@ -23,7 +23,7 @@ def encoded(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as ids of the 2,000 most frequent words, with masks."""
     docs = documents(spark, folder, walk=True)
     vocab = staged(v.word_vocab(v.word_counts(docs), VOCAB), "vocab")
-    return encode.encode(docs, "doc_id", "text", vocab, VOCAB)
+    return encode.encode(docs, "doc_id", "text", vocab)
 
 
 def encode_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,26 +44,26 @@ def adapted_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     source, target, learned = vocabularies(spark, folder)
     adapted = staged(adaptation.adapt(source, target, learned), "adapted")
     docs = documents(spark, folder, walk=True)
-    return encode.encode(docs, "doc_id", "text", adapted, adapted.count()), adapted, source
+    return encode.encode(docs, "doc_id", "text", adapted), adapted, source
 
 
 def source_ratio(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, _ = adapted_rows(spark, folder)
     ids = staged(v.source_ids(adapted), "source-ids")
-    return substitute.source_share(rows, "doc_id", ids, ids.count()).withColumn("source_ratio", F.round("source_ratio", 6))
+    return substitute.source_share(rows, "doc_id", ids).withColumn("source_ratio", F.round("source_ratio", 6))
 
 
 def ratio_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, _ = adapted_rows(spark, folder)
     ids = staged(v.source_ids(adapted), "source-ids")
-    summary = substitute.share_summary(substitute.source_share(rows, "doc_id", ids, ids.count()))
+    summary = substitute.share_summary(substitute.source_share(rows, "doc_id", ids))
     return summary.select("texts", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def ratio_histogram(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, _ = adapted_rows(spark, folder)
     ids = staged(v.source_ids(adapted), "source-ids")
-    return substitute.share_histogram(substitute.source_share(rows, "doc_id", ids, ids.count()))
+    return substitute.share_histogram(substitute.source_share(rows, "doc_id", ids))
 
 
 def substitution_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +75,7 @@ def substitution_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def substitute_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, source = adapted_rows(spark, folder)
     pieces = staged(adaptation.substitution_table(adapted, source), "substitutes")
-    out = substitute.substitute_tokens(rows, "doc_id", pieces, pieces.count(), WANTED, SEED)
+    out = substitute.substitute_tokens(rows, "doc_id", pieces, WANTED, SEED)
     fitted = substitute.fit_rows(out, LENGTH)
     return fitted.select("doc_id", "n_swapped", *[joined(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
 
@@ -117,7 +117,7 @@ def split_separator(spark: SparkSession, folder: str) -> DataFrame:
     talk = table(spark, folder, "conversations").withColumn("pair", F.expr("turn div 2"))
     vocab = staged(v.word_vocab(v.word_counts(talk), VOCAB, first_id=5), "vocab")
     keyed = talk.withColumn("turn_key", F.col("conv_id") * 1000 + F.col("turn"))
-    ids = encode.word_ids(keyed, "turn_key", "text", vocab, VOCAB)
+    ids = encode.word_ids(keyed, "turn_key", "text", vocab)
     turns = keyed.drop("text").join(ids, "turn_key").select("conv_id", "pair", (F.col("turn") % 2).alias("side"), "ids")
     first, second = (turns.where(F.col("side") == n).select("conv_id", "pair", F.col("ids").alias(f"ids{n}")) for n in (0, 1))
     no_unknown = lambda c: F.filter(c, lambda i: i != encode.UNKNOWN)  # noqa: E731 - 3 is the separator here

@@ -232,6 +232,10 @@ ORACLES = {
     "byte_level_tokens": r"""WITH t AS (
   SELECT unnest(regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS string FROM conversations)
 SELECT string, count(*) AS n FROM t GROUP BY string""",
+    "token_surface": f"""WITH {words_cte()},
+u AS (SELECT DISTINCT unicode(substr(word, 1, 1)) AS u FROM w)
+SELECT DISTINCT chr(b) AS token, chr(b) AS string FROM (SELECT CAST(CASE WHEN u < 128 THEN u WHEN u < 2048 THEN 192 + u // 64
+  WHEN u < 65536 THEN 224 + u // 4096 ELSE 240 + u // 262144 END AS INTEGER) AS b FROM u)""",
     "vocab_merge": f"WITH {VOCAB_CTE} SELECT token, idx, string, origin FROM merged",
     "vocab_slots": f"WITH {VOCAB_CTE} SELECT token, idx, origin FROM slotted",
     "vocab_duplicates": f"WITH {VOCAB_CTE} SELECT idx, 'duplicate' AS kind FROM dup UNION ALL SELECT CAST(new_idx AS INTEGER), 'free' FROM gap",

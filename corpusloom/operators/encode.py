@@ -17,7 +17,7 @@ UNKNOWN = 3
 MAX_MERGES = 1_000_000
 
 
-def word_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, vocab_rows: int, name: str = "ids") -> DataFrame:
+def word_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, name: str = "ids") -> DataFrame:
     """``(key, ids)`` of each text's words under ``vocab (token, idx)``; unknown words get the unknown id.
 
     The raw text is shuffled once, by row key. Exploding, the vocabulary join and the regrouping by row then all happen
@@ -28,7 +28,7 @@ def word_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, vocab_rows: i
         .repartition(key)
         .select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
     )
-    found = lookup(tokens, vocab.select("token", "idx"), "token", vocab_rows)
+    found = lookup(tokens, vocab.select("token", "idx"), "token")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN)).alias("idx")))
     ordered = F.sort_array(F.collect_list(entry))
     return found.groupBy(key).agg(F.transform(ordered, lambda e: e["idx"]).alias(name))
@@ -45,9 +45,9 @@ def with_specials(df: DataFrame, ids: str = "ids") -> DataFrame:
     )
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, vocab_rows: int) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """``(key, input_ids, attention_mask, special_tokens_mask)``."""
-    return with_specials(word_ids(df, key, text, vocab, vocab_rows))
+    return with_specials(word_ids(df, key, text, vocab))
 
 
 # ---------------------------------------------------------------------------------------------------------------------

@@ -67,9 +67,9 @@ def key_at_rank(df: DataFrame, key: str, rank: int, tie: str | None = None, with
 
 def at_or_after(key: str, cut: tuple, tie: str | None = None) -> Column:
     """True for rows at the cut row or after it."""
-    later = F.col(key) > F.lit(cut[0])
-    same = F.col(key) == F.lit(cut[0])
-    return (later | same) if tie is None else later | (same & (F.col(tie) >= F.lit(cut[1])))
+    if tie is None:
+        return F.col(key) >= F.lit(cut[0])
+    return (F.col(key) > F.lit(cut[0])) | ((F.col(key) == F.lit(cut[0])) & (F.col(tie) >= F.lit(cut[1])))
 
 
 def rank_labels(

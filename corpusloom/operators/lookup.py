@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-BROADCAST_ROWS = 500_000
+BROADCAST_VALUES = 4_000_000
 SALTS = 16
 
 
-def lookup(facts: DataFrame, table: DataFrame, on: str, rows: int | None = None) -> DataFrame:
-    """Left join ``facts`` with ``table`` (unique on ``on``).
+def measured(table: DataFrame) -> int:
+    """About how many 8-byte values the table holds: array elements, eighths of strings, and one for other cells."""
+    sizes = []
+    for field in table.schema:
+        cell = F.lit(1)
+        if isinstance(field.dataType, ArrayType):
+            cell = F.greatest(F.size(field.name), F.lit(0)) + 1
+        elif isinstance(field.dataType, StringType):
+            cell = F.coalesce(F.octet_length(field.name), F.lit(0)) / 8 + 1
+        sizes.append(F.coalesce(F.sum(cell), F.lit(0)).cast("bigint"))
+    return sum(table.agg(*[s.alias(f"s{i}") for i, s in enumerate(sizes)]).first())
 
-    The table is broadcast only after its rows were counted (``rows``, when the caller knows the count). Beyond the
-    limit both sides are shuffled, with every key split over 16 salts, so that a word that makes up a third of a corpus
-    does not land in one task.
+
+def fits_broadcast(table: DataFrame) -> bool:
+    return measured(table) <= BROADCAST_VALUES
+
+
+def lookup(facts: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Left join ``facts`` with ``table`` (unique on ``on``, and best a stage table, since it is read to be measured).
+
+    The table is broadcast only after its content was measured. Beyond the limit both sides are shuffled, with every key
+    split over 16 salts, so that a word that makes up a third of a corpus does not land in one task.
     """
-    size = table.count() if rows is None else rows
-    if size <= BROADCAST_ROWS:
+    if fits_broadcast(table):
         return facts.join(F.broadcast(table), on, "left")
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    spread = table.withColumn("_salt", F.explode(salts))
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     others = [c for c in facts.columns if c != on]
     salted = facts.withColumn("_salt", F.pmod(F.hash(*(others or [on])), F.lit(SALTS)))
     return salted.join(spread, [on, "_salt"], "left").drop("_salt")

@@ -59,7 +59,7 @@ def vote_kind(doc: Column, detected: Column, wanted: str) -> Column:
     return F.when(doc.isNull(), NO_DOC).when(detected == wanted, MATCH).otherwise(OTHER)
 
 
-def language_vote(events: DataFrame, votes: int = VOTES, streak: int = STREAK, block: int = 64) -> DataFrame:
+def language_vote(events: DataFrame, votes: int = VOTES, streak: int = STREAK, block: int = 1024) -> DataFrame:
     """Decide each repository from its methods ``(repo, file_no, method_no, kind)`` read in order.
 
     A method documented in the wanted language votes +1, in another one -1; reading stops at ±``votes``. It also stops

@@ -21,10 +21,10 @@ def _positions(encoded: DataFrame, key: str, columns: list[str]) -> DataFrame:
     )
 
 
-def source_share(encoded: DataFrame, key: str, source_ids: DataFrame, rows: int, ids: str = "input_ids") -> DataFrame:
+def source_share(encoded: DataFrame, key: str, source_ids: DataFrame, ids: str = "input_ids") -> DataFrame:
     """``(key, n_tokens, source_ratio)``; 0 for a row without tokens."""
     flags = source_ids.select(F.col("idx").alias(ids), F.lit(True).alias("is_source"))
-    found = lookup(_positions(encoded, key, [ids]), flags, ids, rows)
+    found = lookup(_positions(encoded, key, [ids]), flags, ids)
     hit = F.when(F.col("is_source"), 1.0).otherwise(0.0)
     return found.groupBy(key).agg(
         F.count(ids).alias("n_tokens"), F.coalesce(F.avg(F.when(F.col(ids).isNotNull(), hit)), F.lit(0.0)).alias("source_ratio")
@@ -43,16 +43,16 @@ def share_histogram(shares: DataFrame, bars: int = 10) -> DataFrame:
     return shares.groupBy(bar.alias("bar")).agg(F.count("*").alias("texts"))
 
 
-def substitute_tokens(encoded: DataFrame, key: str, table: DataFrame, rows: int, wanted: float, seed: int) -> DataFrame:
+def substitute_tokens(encoded: DataFrame, key: str, table: DataFrame, wanted: float, seed: int) -> DataFrame:
     """Replace randomly drawn target tokens of each row so that the source share reaches ``wanted``.
 
     ``encoded`` is ``(key, input_ids, attention_mask, special_tokens_mask)`` and ``table`` is ``(idx, is_source,
-    pieces)`` with ``rows`` rows. Positions are drawn by a seeded order, so a retry replaces the same ones. The windows
+    pieces)``. Positions are drawn by a seeded order, so a retry replaces the same ones. The windows
     are per text: a group is one row of the input, however many texts there are.
     """
     columns = ["input_ids", "attention_mask", "special_tokens_mask"]
     known = table.select(F.col("idx").alias("input_ids"), "is_source", "pieces")
-    found = lookup(_positions(encoded, key, columns), known, "input_ids", rows)
+    found = lookup(_positions(encoded, key, columns), known, "input_ids")
     source = F.coalesce("is_source", F.lit(False))
     per_text = Window.partitionBy(key)
     drawn = Window.partitionBy(key, "from_source").orderBy("draw", "pos")

@@ -70,15 +70,15 @@ def test_masking_rate_labels_and_way_back(spark):
     assert masked.first().labels == row.labels
 
 
-@pytest.mark.parametrize("limit", [500_000, 1])
+@pytest.mark.parametrize("limit", [4_000_000, 1])
 def test_substitution_reaches_the_share(spark, monkeypatch, limit):
-    monkeypatch.setattr("corpusloom.operators.lookup.BROADCAST_ROWS", limit)
+    monkeypatch.setattr("corpusloom.operators.lookup.BROADCAST_VALUES", limit)
     table = spark.createDataFrame([(i, i < 50, [i] if i < 50 else [1, 2, 3]) for i in range(100)], "idx int, is_source boolean, pieces array<int>")
     rng = random.Random(1)
     lists = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 10, 200)]
     df = rows_of(spark, lists, "input_ids").withColumns({"attention_mask": tk.ones_like(F.col("input_ids")), "special_tokens_mask": tk.zeros_like(F.col("input_ids"))})
-    got = substitute.substitute_tokens(df, "id", table, 100, 0.9, 5).orderBy("id").collect()
-    shares = {r.id: r.source_ratio for r in substitute.source_share(df, "id", table.where("is_source").select("idx"), 50).collect()}
+    got = substitute.substitute_tokens(df, "id", table, 0.9, 5).orderBy("id").collect()
+    shares = {r.id: r.source_ratio for r in substitute.source_share(df, "id", table.where("is_source").select("idx")).collect()}
     for row, ids in zip(got, lists, strict=True):
         share = sum(i < 50 for i in ids) / len(ids) if ids else 0
         assert shares[row.id] == pytest.approx(share)

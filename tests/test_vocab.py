@@ -106,12 +106,12 @@ def test_too_many_merges_are_refused(spark, monkeypatch):
         encode.segment_words(F.array(F.lit("a")), [("a", "b"), ("b", "c")])
 
 
-@pytest.mark.parametrize("limit", [500_000, 1])
+@pytest.mark.parametrize("limit", [4_000_000, 1])
 def test_word_ids_with_and_without_broadcast(spark, monkeypatch, limit):
-    monkeypatch.setattr("corpusloom.operators.lookup.BROADCAST_ROWS", limit)
+    monkeypatch.setattr("corpusloom.operators.lookup.BROADCAST_VALUES", limit)
     vocab = spark.createDataFrame([("the", 4), ("end", 5)], "token string, idx int")
     texts = spark.createDataFrame([(1, "the the end\nof the"), (2, " "), (3, None), (4, "the " * 500)], "id long, text string")
-    got = {r.id: r.ids for r in encode.word_ids(texts, "id", "text", vocab, 2).collect()}
+    got = {r.id: r.ids for r in encode.word_ids(texts, "id", "text", vocab).collect()}
     assert got == {1: [4, 4, 5, 3, 4], 2: [], 3: [], 4: [4] * 500}
 
 
