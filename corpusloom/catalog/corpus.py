@@ -239,6 +239,6 @@ SELECT doc_id, split FROM ({_SAMPLE})""",
     "comment_inventory": f"""WITH {CODE_CTE},
 c AS (SELECT unnest(regexp_extract_all(code, '{LITERAL_OR_COMMENT_SQL}')) AS comment FROM code_rows)
 SELECT CASE WHEN comment LIKE '//%' THEN 'line' WHEN comment LIKE '/**%' AND length(comment) > 4 THEN 'doc' ELSE 'block' END AS kind,
-       count(*) AS n, sum(length(comment)) AS chars
+       count(*) AS n, CAST(sum(length(comment)) AS BIGINT) AS chars
 FROM c WHERE comment LIKE '/%' GROUP BY 1""",
 }

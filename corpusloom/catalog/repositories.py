@@ -64,7 +64,8 @@ def repo_filter(spark: SparkSession, folder: str) -> DataFrame:
 def branch_fallback(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "lang", "n_chars")
     names = docs.select(F.concat(F.lit("repo/"), F.col("doc_id").cast("string")).alias("repo"))
-    return repos.branch_files(landed_trees(docs), names)
+    files = repos.branch_files(landed_trees(docs), names)
+    return files.fillna("none", ["branch", "path", "url"]).fillna(-1, ["file_no"])
 
 
 def name_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +103,7 @@ def language_vote(spark: SparkSession, folder: str) -> DataFrame:
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, walk=True)
     profile, languages = train_profile(docs)
-    return detect(docs, "doc_id", profile, languages)
+    return detect(docs, "doc_id", profile, languages).fillna("none")
 
 
 def language_accuracy(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,13 +211,13 @@ SELECT a.token || ' ' || b.token || ' ' || c.token AS query FROM k a JOIN k b ON
   'src/F' || doc_id || CASE WHEN n_chars % 2 = 0 THEN '.java' ELSE '.md' END AS path FROM documents),
 files AS (SELECT repo, branch, 1 AS file_no, path FROM f WHERE branch IS NOT NULL AND path LIKE '%.java'
           UNION ALL SELECT repo, branch, 2, 'src/Main.java' FROM f WHERE branch IS NOT NULL)
-SELECT repo, branch, file_no, path, 'blob/' || path AS url FROM files UNION ALL SELECT repo, NULL, NULL, NULL, NULL FROM f WHERE branch IS NULL""",
+SELECT repo, branch, file_no, path, 'blob/' || path AS url FROM files UNION ALL SELECT repo, 'none', -1, 'none', 'none' FROM f WHERE branch IS NULL""",
     "name_list": "SELECT DISTINCT 'owner/' || source AS repo FROM documents",
     "blob_decode": "SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS n, md5(text) AS digest FROM documents",
     "language_vote": f"""WITH e AS (SELECT 'owner/' || source AS repo, doc_id // 100 AS file_no, doc_id % 100 AS method_no,
   CASE WHEN n_chars % 97 = 0 THEN 'err' WHEN n_chars % 3 <> 0 THEN 'nodoc' WHEN lang = '{WANTED}' THEN 'match' ELSE 'other' END AS kind FROM documents),
 {_vote('e', STREAK)} SELECT repo, verdict FROM verdicts""",
-    "language_id": f"WITH {_PROFILE}, {_detected('documents', 'doc_id')} SELECT doc_id, detected FROM documents LEFT JOIN detected_documents USING (doc_id)",
+    "language_id": f"WITH {_PROFILE}, {_detected('documents', 'doc_id')} SELECT doc_id, coalesce(detected, 'none') AS detected FROM documents LEFT JOIN detected_documents USING (doc_id)",
     "language_accuracy": f"""WITH {_PROFILE}, {_detected('documents', 'doc_id')}
 SELECT lang, count(*) AS texts, round(avg(CASE WHEN detected = lang THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy
 FROM documents LEFT JOIN detected_documents USING (doc_id) GROUP BY lang""",

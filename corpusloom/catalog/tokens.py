@@ -50,20 +50,20 @@ def adapted_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 def source_ratio(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, _ = adapted_rows(spark, folder)
     ids = staged(v.source_ids(adapted), "source-ids")
-    return substitute.source_share(rows, "doc_id", ids).withColumn("source_ratio", F.round("source_ratio", 6))
+    return substitute.source_share(rows, "doc_id", ids, placed=True).withColumn("source_ratio", F.round("source_ratio", 6))
 
 
 def ratio_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, _ = adapted_rows(spark, folder)
     ids = staged(v.source_ids(adapted), "source-ids")
-    summary = substitute.share_summary(substitute.source_share(rows, "doc_id", ids))
+    summary = substitute.share_summary(substitute.source_share(rows, "doc_id", ids, placed=True))
     return summary.select("texts", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def ratio_histogram(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, _ = adapted_rows(spark, folder)
     ids = staged(v.source_ids(adapted), "source-ids")
-    return substitute.share_histogram(substitute.source_share(rows, "doc_id", ids))
+    return substitute.share_histogram(substitute.source_share(rows, "doc_id", ids, placed=True))
 
 
 def substitution_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +75,7 @@ def substitution_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def substitute_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, source = adapted_rows(spark, folder)
     pieces = staged(adaptation.substitution_table(adapted, source), "substitutes")
-    out = substitute.substitute_tokens(rows, "doc_id", pieces, WANTED, SEED)
+    out = substitute.substitute_tokens(rows, "doc_id", pieces, WANTED, SEED, placed=True)
     fitted = substitute.fit_rows(out, LENGTH)
     return fitted.select("doc_id", "n_swapped", *[joined(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
 
@@ -127,7 +127,7 @@ def split_separator(spark: SparkSession, folder: str) -> DataFrame:
     )
     split = mask.split_pair(mask.mask_tokens(encode.with_specials(pairs), "pair_id", MASK_ID, VOCAB, seed=SEED))
     shown = ("first_unmasked", "second_unmasked", "first_attention_mask", "second_attention_mask")
-    return split.select("pair_id", *[joined(F.col(c)).alias(c) for c in shown])
+    return split.select("pair_id", *[joined(F.col(c)).alias(c) for c in shown]).fillna("none")
 
 
 QUERIES = {
@@ -238,9 +238,9 @@ SELECT doc_id, string_agg(shown, ',' ORDER BY pos) AS input_ids, string_agg(labe
 m AS (SELECT pair_id, pos, CASE WHEN label <> -100 THEN label ELSE shown END AS id, shown FROM masked),
 cuts AS (SELECT pair_id, min(pos) AS cut FROM masked WHERE shown = 3 GROUP BY pair_id)
 SELECT pair_id,
-  CASE WHEN cut IS NOT NULL THEN coalesce(string_agg(id, ',' ORDER BY pos) FILTER (pos < cut), '') END AS first_unmasked,
-  CASE WHEN cut IS NOT NULL THEN coalesce(string_agg(id, ',' ORDER BY pos) FILTER (pos > cut), '') END AS second_unmasked,
-  CASE WHEN cut IS NOT NULL THEN coalesce(string_agg(1, ',' ORDER BY pos) FILTER (pos < cut), '') END AS first_attention_mask,
-  CASE WHEN cut IS NOT NULL THEN coalesce(string_agg(1, ',' ORDER BY pos) FILTER (pos > cut), '') END AS second_attention_mask
+  CASE WHEN cut IS NOT NULL THEN coalesce(string_agg(id, ',' ORDER BY pos) FILTER (pos < cut), '') ELSE 'none' END AS first_unmasked,
+  CASE WHEN cut IS NOT NULL THEN coalesce(string_agg(id, ',' ORDER BY pos) FILTER (pos > cut), '') ELSE 'none' END AS second_unmasked,
+  CASE WHEN cut IS NOT NULL THEN coalesce(string_agg(1, ',' ORDER BY pos) FILTER (pos < cut), '') ELSE 'none' END AS first_attention_mask,
+  CASE WHEN cut IS NOT NULL THEN coalesce(string_agg(1, ',' ORDER BY pos) FILTER (pos > cut), '') ELSE 'none' END AS second_attention_mask
 FROM m LEFT JOIN cuts USING (pair_id) GROUP BY pair_id, cut""",
 }

@@ -31,8 +31,8 @@ def vocabularies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     counts = counts_by_side(spark, folder)
     side = lambda name: counts.where(F.col("side") == name)
     target = staged(v.word_vocab(side("target").where(F.length("word") > 1), TARGET_WORDS), "target")
-    top = v.word_vocab(side("source").where(F.length("word") > 1), SOURCE_WORDS)
-    source = adaptation.base_vocabulary(side("source"), target.select("token").unionByName(top.select("token")), SOURCE_WORDS)
+    top = staged(v.word_vocab(side("source").where(F.length("word") > 1), SOURCE_WORDS), "top")
+    source = adaptation.base_vocabulary(top, target.select("token").unionByName(top.select("token")))
     readable = F.translate("token", "ê", "�")
     both = counts.groupBy("word").agg(F.sum("n").alias("n"))
     learned = v.word_vocab(both, LEARNED_WORDS)
@@ -227,7 +227,7 @@ ORACLES = {
     "word_vocab": f"WITH {words_cte()} {top_words_sql('w', TARGET_WORDS)}",
     "vocab_learn": f"WITH {learn_cte()} "
     + " UNION ALL ".join(
-        f"SELECT {i - 1} AS rank, {_readable('l')} AS left, {_readable('r')} AS right, c AS n FROM t{i}" for i in range(1, MERGES + 1)
+        f"SELECT {i - 1} AS rank, {_readable('l')} AS left, {_readable('r')} AS right, CAST(c AS BIGINT) AS n FROM t{i}" for i in range(1, MERGES + 1)
     ),
     "byte_level_tokens": r"""WITH t AS (
   SELECT unnest(regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS string FROM conversations)

@@ -204,17 +204,21 @@ def row_index(
     by: Sequence[str] = (),
     tie: str | None = None,
     hashed: bool = False,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Number the rows 0, 1, … by an integer ``key`` (per group of ``by``), as one global sort would.
 
     ``hashed=True`` says that the key is a seeded order key, whose top bits are even cells already. Keys must be
     (nearly) unique, which keeps a cell at about rows / cells even when one group of ``by`` holds most rows; ``by`` is
     for a few groups, such as the sources of a mixture. The driver sees at most 4,096 totals per group. The key is
-    scanned once for the totals, so pass narrow frames and join the number back where rows are wide.
+    scanned once for the totals, so pass narrow frames and join the number back where rows are wide. ``at_most`` is for
+    callers that have counted already; it spares a job on small frames.
     """
     order = [F.col(key)] if tie is None else [F.col(key), F.col(tie)]
     narrow = df.select(*by, key)
-    span = None if hashed else key_range(narrow, key)
+    span = (at_most,)
+    if at_most is None or at_most > LEAF_ROWS:
+        span = None if hashed else key_range(narrow, key)
     if span and span[0] <= LEAF_ROWS:
         # Few enough rows, by count, to be sorted in one task.
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint") - 1)

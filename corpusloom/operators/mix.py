@@ -114,6 +114,6 @@ def interleave_tagged(
     """``interleave`` for a union that carries ``source_no``, whose keys are at hand as a table."""
     counts = {row["source_no"]: row["count"] for row in keys.groupBy("source_no").count().collect()}
     slots = draw_slots(keys.sparkSession, [counts.get(n, 0) for n in range(len(weights))], weights, seed)
-    ranks = row_index(keys, key, "rank", by=["source_no"])
+    ranks = row_index(keys, key, "rank", by=["source_no"], at_most=sum(counts.values()))
     picked = ranks.join(slots, ["source_no", "rank"]).select("source_no", key, F.col("slot").alias(name))
     return tagged.join(picked, ["source_no", key])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.draws import order_key
@@ -10,21 +12,24 @@ from corpusloom.functions.tokens import PAD, fit_ids, fit_mask, ones_like, repla
 from corpusloom.operators.lookup import lookup
 
 
-def _positions(encoded: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row per token. Rows are placed by key once; all later windows and groupings reuse that placement."""
+def _positions(encoded: DataFrame, key: str, columns: list[str], placed: bool) -> DataFrame:
+    """One row per token. Rows are placed by key once, unless the caller says that they are (as after an encode in the
+    same plan); all later windows and groupings reuse that placement."""
     zipped = F.arrays_zip(*[F.col(c) for c in columns])
+    rows = encoded.select(key, *columns)
     return (
-        encoded.select(key, *columns)
-        .repartition(key)
+        (rows if placed else rows.repartition(key))
         .select(key, F.posexplode_outer(zipped).alias("pos", "t"))
         .select(key, "pos", *[F.col(f"t.{c}").alias(c) for c in columns])
     )
 
 
-def source_share(encoded: DataFrame, key: str, source_ids: DataFrame, ids: str = "input_ids") -> DataFrame:
+def source_share(
+    encoded: DataFrame, key: str, source_ids: DataFrame, ids: str = "input_ids", placed: bool = False
+) -> DataFrame:
     """``(key, n_tokens, source_ratio)``; 0 for a row without tokens."""
     flags = source_ids.select(F.col("idx").alias(ids), F.lit(True).alias("is_source"))
-    found = lookup(_positions(encoded, key, [ids]), flags, ids)
+    found = lookup(_positions(encoded, key, [ids], placed), flags, ids)
     hit = F.when(F.col("is_source"), 1.0).otherwise(0.0)
     return found.groupBy(key).agg(
         F.count(ids).alias("n_tokens"), F.coalesce(F.avg(F.when(F.col(ids).isNotNull(), hit)), F.lit(0.0)).alias("source_ratio")
@@ -43,7 +48,9 @@ def share_histogram(shares: DataFrame, bars: int = 10) -> DataFrame:
     return shares.groupBy(bar.alias("bar")).agg(F.count("*").alias("texts"))
 
 
-def substitute_tokens(encoded: DataFrame, key: str, table: DataFrame, wanted: float, seed: int) -> DataFrame:
+def substitute_tokens(
+    encoded: DataFrame, key: str, table: DataFrame, wanted: float, seed: int, placed: bool = False
+) -> DataFrame:
     """Replace randomly drawn target tokens of each row so that the source share reaches ``wanted``.
 
     ``encoded`` is ``(key, input_ids, attention_mask, special_tokens_mask)`` and ``table`` is ``(idx, is_source,
@@ -52,7 +59,7 @@ def substitute_tokens(encoded: DataFrame, key: str, table: DataFrame, wanted: fl
     """
     columns = ["input_ids", "attention_mask", "special_tokens_mask"]
     known = table.select(F.col("idx").alias("input_ids"), "is_source", "pieces")
-    found = lookup(_positions(encoded, key, columns), known, "input_ids")
+    found = lookup(_positions(encoded, key, columns, placed), known, "input_ids")
     source = F.coalesce("is_source", F.lit(False))
     per_text = Window.partitionBy(key)
     drawn = Window.partitionBy(key, "from_source").orderBy("draw", "pos")
@@ -60,7 +67,7 @@ def substitute_tokens(encoded: DataFrame, key: str, table: DataFrame, wanted: fl
         found.withColumn("from_source", source)
         .withColumn("length", F.count("input_ids").over(per_text))
         .withColumn("share", F.avg(F.when(source, 1.0).otherwise(0.0)).over(per_text))
-        .withColumn("draw", order_key(seed, key, "pos"))
+        .withColumn("draw", F.when(~F.col("from_source"), order_key(seed, key, "pos")))
         .withColumn("turn", F.row_number().over(drawn))
     )
     swap = (
@@ -68,25 +75,23 @@ def substitute_tokens(encoded: DataFrame, key: str, table: DataFrame, wanted: fl
         & F.col("pieces").isNotNull()
         & (F.col("turn") <= replacements(F.col("length"), F.col("share"), wanted))
     )
-    out = counted.select(
-        key,
-        "pos",
-        swap.alias("swapped"),
-        F.when(swap, F.col("pieces")).otherwise(F.array("input_ids")).alias("p"),
-        F.when(swap, ones_like(F.col("pieces"))).otherwise(F.array("attention_mask")).alias("a"),
-        F.when(swap, zeros_like(F.col("pieces"))).otherwise(F.array("special_tokens_mask")).alias("s"),
-    )
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "p", "a", "s"))
-    grouped = out.groupBy(key).agg(
-        F.sort_array(F.collect_list(entry)).alias("e"),
-        F.count(F.when(F.col("swapped"), 1)).alias("n_swapped"),
+    # Only swapped tokens carry their pieces through the regrouping.
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", *columns, "new"))
+    grouped = (
+        counted.withColumn("new", F.when(swap, F.col("pieces")))
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(entry)).alias("e"), F.count("new").alias("n_swapped"))
     )
-    flat = lambda field: F.flatten(F.transform(F.col("e"), lambda e: e[field]))
+
+    def flat(column: str, piece_value: Callable[[Column], Column]) -> Column:
+        parts = F.transform("e", lambda e: F.coalesce(piece_value(e["new"]), F.array(e[column])))
+        return F.flatten(parts).alias(column)
+
     return grouped.select(
         key,
-        flat("p").alias("input_ids"),
-        flat("a").alias("attention_mask"),
-        flat("s").alias("special_tokens_mask"),
+        flat("input_ids", lambda pieces: pieces),
+        flat("attention_mask", ones_like),
+        flat("special_tokens_mask", zeros_like),
         "n_swapped",
     )
 

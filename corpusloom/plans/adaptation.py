@@ -10,17 +10,15 @@ from corpusloom.operators.encode import substitutes
 from corpusloom.sources.stage import staged
 
 
-def base_vocabulary(counts: DataFrame, letters_of: DataFrame, size: int, first_id: int = 4) -> DataFrame:
-    """``(token, idx, string)``: the letters of ``letters_of (token)`` in text order, then the ``size`` most frequent
-    longer words of ``counts (word, n)``. With letters in it a vocabulary can spell every token."""
-    letters = (
-        letters_of.select(F.explode(F.split("token", "")).alias("token")).where("token <> ''").distinct()
-    )
+def base_vocabulary(top: DataFrame, letters_of: DataFrame, first_id: int = 4) -> DataFrame:
+    """``(token, idx, string)``: the letters of ``letters_of (token)`` in text order, then the tokens of ``top (token,
+    idx)``, whose ids start from ``first_id`` too. With letters in it a vocabulary can spell every token."""
+    letters = letters_of.select(F.explode(F.split("token", "")).alias("token")).where("token <> ''").distinct()
     # An alphabet: its size has nothing to do with the size of the corpus.
     rank = F.row_number().over(Window.orderBy("token"))
-    alphabet = staged(letters.select("token", (rank - 1 + first_id).cast("int").alias("idx")), "alphabet")
-    longer = v.word_vocab(counts.where(F.length("word") > 1), size, first_id + alphabet.count())
-    return alphabet.unionByName(longer.select("token", "idx")).withColumn("string", F.col("token"))
+    alphabet = letters.select("token", (rank - 1 + first_id).cast("int").alias("idx"))
+    moved = top.select("token", (F.col("idx") + letters.count()).cast("int").alias("idx"))
+    return alphabet.unionByName(moved).withColumn("string", F.col("token"))
 
 
 def adapt(source: DataFrame, target: DataFrame, learned: DataFrame) -> DataFrame:
@@ -33,7 +31,7 @@ def adapt(source: DataFrame, target: DataFrame, learned: DataFrame) -> DataFrame
     slotted = staged(v.reassign_slots(merged), "slotted")
     kept, _, missing = v.match_learned(slotted, learned)
     size = learned.count()
-    filled = staged(v.add_helpers(staged(kept, "kept"), staged(missing, "missing"), size), "filled")
+    filled = staged(v.add_helpers(kept, missing, size), "filled")
     return v.pull_in_overflow(filled, size)
 
 
