@@ -104,16 +104,21 @@ def interleave(
     """
     if len(sources) != len(weights):
         raise ValueError("one weight per source")
-    tagged = reduce(DataFrame.unionByName, [s.withColumn("source_no", F.lit(n)) for n, s in enumerate(sources)])
-    return interleave_tagged(tagged, staged(tagged.select("source_no", key), "keys"), weights, seed, key, name)
+    texts = tagged(sources)
+    keys = staged(texts.select("source_no", key), "keys")
+    return texts.join(pick_rows(keys, weights, seed, key, name), ["source_no", key])
 
 
-def interleave_tagged(
-    tagged: DataFrame, keys: DataFrame, weights: Sequence[float], seed: int, key: str, name: str = "row_idx"
+def tagged(parts: Sequence[DataFrame]) -> DataFrame:
+    """The union of the parts, each row with the number of its part."""
+    return reduce(DataFrame.unionByName, [part.withColumn("source_no", F.lit(n)) for n, part in enumerate(parts)])
+
+
+def pick_rows(
+    keys: DataFrame, weights: Sequence[float], seed: int, key: str, name: str = "row_idx"
 ) -> DataFrame:
-    """``interleave`` for a union that carries ``source_no``, whose keys are at hand as a table."""
+    """Which rows the mixture takes and where they go, ``(source_no, key, name)``, from a table ``(source_no, key)``."""
     counts = {row["source_no"]: row["count"] for row in keys.groupBy("source_no").count().collect()}
     slots = draw_slots(keys.sparkSession, [counts.get(n, 0) for n in range(len(weights))], weights, seed)
     ranks = row_index(keys, key, "rank", by=["source_no"], at_most=sum(counts.values()))
-    picked = ranks.join(slots, ["source_no", "rank"]).select("source_no", key, F.col("slot").alias(name))
-    return tagged.join(picked, ["source_no", key])
+    return ranks.join(slots, ["source_no", "rank"]).select("source_no", key, F.col("slot").alias(name))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import link_doc_and_code, strip_comments
 from corpusloom.operators.index import percent_label, sized_sample
-from corpusloom.operators.mix import interleave_tagged
+from corpusloom.operators.mix import pick_rows, tagged
 from corpusloom.sources.stage import staged
 from corpusloom.sources.writers import with_splits
 
@@ -46,40 +45,28 @@ def build_mixture(
 
     ``sized`` is the position of the corpus that is too large to take whole: it is shuffled and sampled to its weight
     times the rows of the others; a corpus with its own ``split`` column keeps it. Validation draws from validation
-    parts only. Cuts and ranks are found on staged keys, so the texts themselves are made once, in the final join.
+    parts only. Splits, sample and order are found on staged keys. The texts are made and shuffled once, in the join that
+    keeps the picked rows of both splits.
     """
-    columns = [key, "text"]
     keys = [staged(corpus.select(key, *_own_split(corpus)), "keys") for corpus in corpora]
     split: list[DataFrame | None] = [None] * len(corpora)
-    split_keys: list[DataFrame | None] = [None] * len(corpora)
     for n, corpus in enumerate(corpora):
         if n != sized:
             label = F.col("split") if _own_split(corpus) else percent_label(keys[n], key, percent)
-            split[n] = corpus.select(*columns, label.alias("split"))
-            split_keys[n] = keys[n].select(key, label.alias("split"))
+            split[n] = keys[n].select(key, label.alias("split"))
     if sized is not None:
-        totals = total_rows([part for part in split_keys if part is not None])
+        totals = total_rows([part for part in split if part is not None])
         rows = [int(weights[sized] * totals.get(name, 0)) for name in ("train", "validation")]
-        for frames, frame in ((split, corpora[sized].select(*columns)), (split_keys, keys[sized].select(key))):
-            frames[sized] = sized_sample(frame, key, *rows, seed=seed, keys=keys[sized])
-    texts, ids = _tagged(split), staged(_tagged(split_keys), "split-keys")
-    return with_splits(
+        split[sized] = sized_sample(keys[sized].select(key), key, *rows, seed=seed)
+    ids = staged(tagged(split), "split-keys")
+    picks = with_splits(
         {
-            name: interleave_tagged(
-                texts.where(_is(name)).drop("split"), ids.where(_is(name)).drop("split"), weights, seed, key
-            )
+            name: pick_rows(ids.where(F.col("split") == name).drop("split"), weights, seed, key)
             for name in ("train", "validation")
         }
     )
+    return tagged([corpus.select(key, "text") for corpus in corpora]).join(picks, ["source_no", key])
 
 
 def _own_split(corpus: DataFrame) -> list[str]:
     return ["split"] if "split" in corpus.columns else []
-
-
-def _tagged(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [part.withColumn("source_no", F.lit(n)) for n, part in enumerate(parts)])
-
-
-def _is(name: str) -> Column:
-    return F.col("split") == F.lit(name)

@@ -57,7 +57,7 @@ def test_removal_is_by_evidence(spark):
 
 
 def test_queries_are_combinations_in_order(spark):
-    words = ["Klasse", "zurück", "Variable", "Parameter", "Methode"]
+    words = ["Liste", "größer", "Datei", "Fehler", "Methode"]
     df = spark.createDataFrame(list(enumerate(words)), "pos int, word string").repartition(3)
     for k in (1, 3, 5, 6):
         got = sorted(r.query for r in repos.keyword_queries(df, k).collect())

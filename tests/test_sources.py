@@ -21,8 +21,8 @@ def test_file_types(spark, tmp_path):
 
 
 def test_corpus_by_name_and_configuration(spark, tmp_path):
-    spark.createDataFrame([(1, "a")], schemas.WEB_TEXT).write.parquet(str(tmp_path / "oscar" / "de"))
-    assert readers.corpus(spark, str(tmp_path), "oscar", "de", schemas.WEB_TEXT).collect() == [(1, "a")]
+    spark.createDataFrame([(1, "a")], schemas.WEB_TEXT).write.parquet(str(tmp_path / "web" / "de"))
+    assert readers.corpus(spark, str(tmp_path), "web", "de", schemas.WEB_TEXT).collect() == [(1, "a")]
 
 
 def test_splits_round_trip_and_prune(spark, tmp_path):

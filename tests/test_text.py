@@ -40,8 +40,8 @@ def stripped(source):
 
 
 CASES = [
-    "// This is a comment\n/* This is also a comment */\n/* this comment /* // /** ends here: */\n/**/\n",
-    "a /* dkjfhsdf + */ + b; /* ***** */",
+    "// one\n/* two */\n/* holds /* // /** and closes once */\n/**/\n",
+    "x = y /* not + z */ - 1; /* **** */",
     "123;\n// comment",
     'x = "// no"; y = \'\\\'\'; /* open',
     "'" + "a" * 200_000 + "' // x",
