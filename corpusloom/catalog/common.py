@@ -25,9 +25,14 @@ def joined(values: Column) -> Column:
     return F.array_join(values, ",")
 
 
+def one_line(text: str = "text") -> Column:
+    """The whole text with its line ends as blanks, and without the end of a comment."""
+    return F.replace(F.translate(text, "\n\r", "  "), F.lit("*/"), F.lit("* /"))
+
+
 def code_rows(docs: DataFrame) -> DataFrame:
-    """Java-like sources made of the documents: one class with one documented method per document."""
-    line = F.element_at(F.split("text", "\n"), 1)
+    """Java-like sources made of the whole documents: one class with one documented method per document."""
+    line = one_line()
     doc = F.concat(F.lit("/**\n * "), line, F.lit("\n */"))
     method = F.concat(
         F.lit("public int f"), F.col("doc_id").cast("string"), F.lit("(int a) {\n  // "), F.col("source"),
@@ -80,15 +85,17 @@ def top_words_sql(words: str, size: int, first_id: str = "4", where: str = "true
     )
 
 
-CODE_CTE = """code_parts AS (
-  SELECT doc_id, lang, source, split_part(text, chr(10), 1) AS line,
-         '/**' || chr(10) || ' * ' || split_part(text, chr(10), 1) || chr(10) || ' */' AS doc,
-         'public int f' || doc_id || '(int a) {' || chr(10) || '  // ' || source || chr(10)
-         || '  if (a > 0) { return "} // keep".length(); } /* ' || lang || ' */' || chr(10) || chr(10)
-         || '  return ''}'' + a;' || chr(10) || '}' AS method
+ONE_LINE_SQL = "replace(translate(text, chr(10) || chr(13), '  '), '*/', '* /')"
+
+CODE_CTE = f"""code_parts AS (
+  SELECT doc_id, lang, source, {ONE_LINE_SQL} AS line,
+         '/**' || chr(10) || ' * ' || {ONE_LINE_SQL} || chr(10) || ' */' AS doc,
+         'public int f' || doc_id || '(int a) {{' || chr(10) || '  // ' || source || chr(10)
+         || '  if (a > 0) {{ return "}} // keep".length(); }} /* ' || lang || ' */' || chr(10) || chr(10)
+         || '  return ''}}'' + a;' || chr(10) || '}}' AS method
   FROM documents),
 code_rows AS (
-  SELECT *, 'class C {' || chr(10) || doc || chr(10) || method || chr(10) || '}' || chr(10) AS code FROM code_parts)"""
+  SELECT *, 'class C {{' || chr(10) || doc || chr(10) || method || chr(10) || '}}' || chr(10) AS code FROM code_parts)"""
 
 LITERAL_OR_COMMENT_SQL = (
     r"""(''(?:\\(?s:.)|[^\\''])*''|"(?:\\(?s:.)|[^\\"])*")|//[^\n]*|/\*(?s:.)*?\*/"""

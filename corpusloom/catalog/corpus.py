@@ -114,7 +114,7 @@ def strip_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def strip_python(spark: SparkSession, folder: str) -> DataFrame:
-    line = F.translate(F.element_at(F.split("text", "\n"), 1), "\\\"'\r", "")
+    line = F.translate("text", "\n\\\"'\r", " ")
     name = F.col("doc_id").cast("string")
     source = F.concat(
         F.lit('"""module '), line, F.lit('"""\nimport os  # '), line, F.lit("\n\ndef f"), name, F.lit('(a):\n    """'),

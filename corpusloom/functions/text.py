@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import tokenize
-from itertools import pairwise
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -77,27 +78,31 @@ def comment_kind(comment: Column) -> Column:
     )
 
 
-def _is_docstring(previous: int, token: tokenize.TokenInfo) -> bool:
-    opens_a_line = previous in (tokenize.INDENT, tokenize.NEWLINE) or token.start[1] == 0
-    return token.type == tokenize.STRING and opens_a_line
+def _dropped_spans(source: str) -> Iterator[tuple[int, int]]:
+    """Where comments and strings that stand as a statement lie in a Python source, as character offsets.
 
-
-def _strip_one_python_source(source: str | None) -> str | None:
-    if source is None:
-        return None
+    A string is a statement if it directly follows an indent, the end of a logical line or the start of the file, or
+    stands in the first column.
+    """
+    line_starts = [0, *accumulate(map(len, io.StringIO(source)))]
+    offset = lambda place: line_starts[place[0] - 1] + place[1]
+    statement_opens = True
+    for token in tokenize.generate_tokens(io.StringIO(source).readline):
+        bare_string = token.type == tokenize.STRING and (statement_opens or not token.start[1])
+        if bare_string or token.type == tokenize.COMMENT:
+            yield offset(token.start), offset(token.end)
+        statement_opens = token.type in (tokenize.INDENT, tokenize.NEWLINE)
+
+
+def _strip_one_python_source(source: str) -> str | None:
+    """What lies between the dropped spans, without blank lines; continuation lines and trailing blanks stay."""
     try:
-        tokens = list(tokenize.generate_tokens(io.StringIO(source).readline))
+        spans = list(_dropped_spans(source))
     except (tokenize.TokenError, SyntaxError):
         return None
-    # The start of the file counts as an indent, so a module docstring goes as well.
-    start = tokenize.TokenInfo(tokenize.INDENT, "", (0, 0), (0, 0), "")
-    kept = []
-    for before, token in pairwise([start, *tokens]):
-        resume_at = before.end[1] if before.end[0] == token.start[0] else 0
-        kept.append(" " * (token.start[1] - resume_at))
-        if token.type != tokenize.COMMENT and not _is_docstring(before.type, token):
-            kept.append(token.string)
-    return "\n".join(line for line in "".join(kept).split("\n") if line.strip())
+    begins, ends = [0, *(end for _, end in spans)], [*(begin for begin, _ in spans), len(source)]
+    rest = "".join(map(source.__getitem__, map(slice, begins, ends)))
+    return "\n".join(filter(str.strip, rest.split("\n")))
 
 
 @F.pandas_udf(StringType())

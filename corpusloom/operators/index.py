@@ -10,7 +10,9 @@ Two tools carry everything that the order of rows decides:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -109,10 +111,10 @@ def rank_label(
 
 
 def first_n(df: DataFrame, key: str, n: int, tie: str | None = None) -> DataFrame:
-    """The first ``min(n, rows)`` rows by key, as a filter that reaches the scan."""
+    """The first ``min(n, rows)`` rows by key, as a filter that reaches the scan. Rows without a key have no rank."""
     rows, lo, hi = key_range(df.select(key), key)
     if n >= rows:
-        return df
+        return df.where(F.col(key).isNotNull())
     if n <= 0:
         return df.where(F.lit(False))
     edge = key_at_rank(df, key, n, tie, within=(rows, lo, hi))
@@ -155,6 +157,15 @@ def _grid(key: str, lo: int, hi: int) -> Column:
     return F.expr(f"({key} - {lo}L) div {(hi - lo) // GRID + 1}L")
 
 
+def _placed(cell: Column) -> Column:
+    """Rows without a key come first, as in an ascending sort."""
+    return F.coalesce(cell.cast("bigint"), F.lit(-1).cast("bigint"))
+
+
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(and_, conditions)
+
+
 def _quantile_cells(df: DataFrame, key: str) -> Column:
     edges = sorted(set(df.approxQuantile(key, [i / SKEW_CELLS for i in range(1, SKEW_CELLS)], 0.25 / SKEW_CELLS)))
     return F.expr(f"size(filter(array({','.join(f'{e}D' for e in edges)}), e -> e <= cast({key} as double)))")
@@ -169,7 +180,7 @@ def _cells(df: DataFrame, key: str, by: Sequence[str], span: tuple | None) -> tu
     """
 
     def totals(cell: Column) -> list:
-        return df.groupBy(*by, cell.cast("bigint").alias("_cell")).count().orderBy(*by, "_cell").collect()
+        return df.groupBy(*by, _placed(cell).alias("_cell")).count().orderBy(*by, "_cell").collect()
 
     if span is None:
         cell = F.shiftright(F.col(key), ORDER_BITS - _HASH_CELL_BITS)
@@ -207,7 +218,8 @@ def row_index(
 
     ``hashed=True`` says that the key is a seeded order key, whose top bits are even cells already. Keys must be
     (nearly) unique, which keeps a cell at about rows / cells even when one group of ``by`` holds most rows; ``by`` is
-    for a few groups, such as the sources of a mixture. The driver sees at most 4,096 totals per group. The key is
+    for a few groups, such as the sources of a mixture; a NULL group is a group like any other, and rows with a NULL key
+    come first in theirs. The driver sees at most 4,096 totals per group. The key is
     scanned once for the totals, so pass narrow frames and join the number back where rows are wide. ``at_most`` is for
     callers that have counted already; it spares a job on small frames.
     """
@@ -222,13 +234,16 @@ def row_index(
     cell, bars = _cells(narrow, key, by, span)
     if not bars:
         return df.withColumn(name, F.lit(0).cast("bigint"))
-    offsets = df.sparkSession.createDataFrame(_offsets(bars, by))
+    names = [*by, "_cell"]
+    offsets = df.sparkSession.createDataFrame(_offsets(bars, by)).select(
+        *[F.col(c).alias(f"_of_{i}") for i, c in enumerate(names)], "_offset"
+    )
     inside = Window.partitionBy(*by, "_cell").orderBy(*order)
     return (
-        df.withColumn("_cell", cell.cast("bigint"))
-        .join(F.broadcast(offsets), [*by, "_cell"])
+        df.withColumn("_cell", _placed(cell))
+        .join(F.broadcast(offsets), _all(F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(names)))
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_cell", "_offset")
+        .drop("_cell", "_offset", *[f"_of_{i}" for i in range(len(names))])
     )
 
 

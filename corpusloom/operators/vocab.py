@@ -159,9 +159,12 @@ def piece_mean(pieces: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def overlay(base: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Write the vectors of all tokens that do not come from the source over the base matrix ``(idx, embedding)``."""
+    """Write the vectors of all tokens that do not come from the source over the base matrix ``(idx, embedding)``.
+
+    Tokens whose id lies beyond the base matrix enlarge it.
+    """
     new = vocab.where(F.col("origin") != SOURCE).select("idx", F.col("embedding").alias("new"))
-    return base.join(new, "idx", "left").select("idx", F.coalesce("new", "embedding").alias("embedding"))
+    return base.join(new, "idx", "full").select("idx", F.coalesce("new", "embedding").alias("embedding"))
 
 
 def with_random_vectors(vocab: DataFrame, dim: int, seed: int) -> DataFrame:

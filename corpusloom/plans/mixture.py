@@ -16,9 +16,11 @@ from corpusloom.sources.writers import with_splits
 
 def linked_corpus(code: DataFrame, keep: Sequence[str] = (), python: bool = False) -> DataFrame:
     """Code rows as ``doc</s>code`` texts; rows that fail on either side are dropped."""
+    both = code.where("func_documentation_string IS NOT NULL AND whole_func_string IS NOT NULL")
     bare = strip_comments(F.col("whole_func_string"), F.col("language"), python)
-    text = link_doc_and_code(F.col("func_documentation_string"), bare)
-    return code.select(*keep, text.alias("text")).where(F.col("text").isNotNull())
+    linked = both.select(*keep, link_doc_and_code(F.col("func_documentation_string"), bare).alias("text"))
+    # Only Python sources can fail on the way; a filter on the text would have it made twice.
+    return linked.where(F.col("text").isNotNull()) if python else linked
 
 
 def split_counts(corpus: DataFrame) -> DataFrame:

@@ -23,15 +23,28 @@ def saved(spark: SparkSession, path: str, split: str | None = None) -> DataFrame
     return df if split is None else df.where(F.col("split") == split)
 
 
-def text_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """csv, json or txt by extension; a txt file gives one row per line."""
+def text_files(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """csv, json or txt by extension; a txt file gives one row per line.
+
+    Columns go by name. ``multi_line`` allows line ends inside quoted csv cells, at the price of unsplittable files.
+    """
     extension = path.rsplit(".", 1)[-1]
     if extension == "txt":
         return spark.read.text(path).withColumnRenamed("value", "text")
     if extension not in ("csv", "json"):
         raise ValueError(f"a csv, a json or a txt file is needed, not {extension}")
-    reader = spark.read.schema(schema or schemas.TEXT)
-    return reader.csv(path, header=True, multiLine=True, escape='"') if extension == "csv" else reader.json(path)
+    if extension == "json":
+        return _named(spark.read.json(path), schema)
+    # The header names the columns; inference is off, so it reads one line and every column is a string.
+    return _named(spark.read.csv(path, header=True, multiLine=multi_line, escape='"'), schema)
+
+
+def _named(df: DataFrame, schema: str | StructType | None) -> DataFrame:
+    """The columns that ``schema`` names, by name and in its types, NULL where the file has none; all without a schema."""
+    if schema is None:
+        return df
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def arriving(

@@ -71,3 +71,15 @@ def test_sized_sample_follows_the_shuffled_order(spark, many_cells):
 def test_a_sample_larger_than_the_table_takes_all_of_it(spark):
     sample = index.sized_sample(frame(spark, range(10)), "id", 7, 50, seed=4)
     assert {r.split: r["count"] for r in sample.groupBy("split").count().collect()} == {"train": 8, "validation": 2}
+
+
+@pytest.mark.parametrize("cells", ["one", "many"])
+def test_rows_with_null_groups_and_keys_are_numbered(spark, request, cells):
+    if cells == "many":
+        request.getfixturevalue("many_cells")
+    rows = [(None if i % 2 else "a", None if i == 4 else i) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, k bigint")
+    got = index.row_index(df, "k", by=["g"]).orderBy("g", "row_idx").collect()
+    assert [r.row_idx for r in got] == [*range(10), *range(10)]
+    assert [r.k for r in got if r.g == "a"][:2] == [None, 0]
+    assert index.row_index(df, "k").count() == 20
