@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import small
+from corpusloom.sources.stage import staged
+
 WIDTH = 4
 FILTERS = 16
 #: Bytes of half a chunk: chunks are 256 bytes and overlap by half.
@@ -120,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     """The network, from labelled rows for which ``learn`` holds; None if a class is missing.
 
     All labels are counted for the prior. About ``sample`` rows of each class, of at most SAMPLE_BYTES, are picked by a
-    hash; one task fits. Labels that are null or neither 0 nor 1 are not used; a key with several labels counts each.
+    hash; one task fits. Labels that are null or neither 0 nor 1 are not used; a key with both labels counts for each.
     """
     known = labels.where(F.col(label).isin(0, 1) & learn).select(F.col(key).alias("_key"), F.col(label).alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -128,6 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
         return None
     share = F.when(F.col("y") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0])) * (1 << 30)
     drawn = known.where(F.pmod(F.xxhash64(F.lit("fit"), "_key"), F.lit(1 << 30)) < share)
+    # About twice ``sample`` rows, counted before they are broadcast: so texts are read where they lie.
+    drawn = staged(drawn.dropDuplicates(), "drawn")
+    drawn = F.broadcast(drawn) if small(drawn) else drawn
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).cast("binary").alias("t"))
     picked = rows.where(F.octet_length("t") <= SAMPLE_BYTES).join(drawn, "_key").select("t", "y").limit(4 * sample)
     prior = counts[1] / (counts[0] + counts[1])
