@@ -102,3 +102,11 @@ def test_streamed_encoding_equals_batch_encoding(spark, tmp_path):
     encode_stream(stream, "id", words(F.col("text")), merges, tokens, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     batch = encode_with_merges(texts, "id", words(F.col("text")), merges, tokens)
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(batch.collect()) == [(1, [6, 5, 4]), (2, []), (3, [6, 6])]
+
+
+def test_csv_and_json_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,one\n2,two\n")
+    (tmp_path / "a.json").write_text('{"body": "one"}\n')
+    csv = readers.text_files(spark, str(tmp_path / "a.csv"), "text string, id bigint")
+    assert csv.orderBy("id").collect() == [("one", 1), ("two", 2)]
+    assert [r.text for r in readers.with_text(readers.text_files(spark, str(tmp_path / "a.json"))).collect()] == ["one"]

@@ -125,4 +125,11 @@ def test_substitutes_spell_unknown_tokens(spark):
 def test_overlay_keeps_source_rows(spark):
     base = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "idx int, embedding array<float>")
     vocab = spark.createDataFrame([(0, v.SOURCE, [9.0]), (1, v.TARGET, [8.0])], "idx int, origin string, embedding array<float>")
-    assert {r.idx: r.embedding for r in v.overlay(base, vocab).collect()} == {0: [1.0], 1: [8.0], 2: [3.0]}
+    assert {r.idx: r.embedding for r in v.overlay(base, tokens).collect()} == {0: [1.0], 1: [8.0], 2: [3.0]}
+
+
+def test_overlay_enlarges_the_matrix(spark):
+    base = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "idx int, embedding array<float>")
+    tokens = spark.createDataFrame([(1, "new", [5.0]), (7, "new", [6.0])], "idx int, origin string, embedding array<float>")
+    got = {r.idx: list(r.embedding) for r in v.overlay(base, tokens).collect()}
+    assert got == {0: [1.0], 1: [5.0], 7: [6.0]}
