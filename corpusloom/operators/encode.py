@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,27 +12,21 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corpusloom.functions.text import words
 from corpusloom.functions.tokens import END, START, ones_like
-from corpusloom.operators.lookup import lookup
+from corpusloom.operators.lookup import lookup_elements
 
 UNKNOWN = 3
 MAX_MERGES = 1_000_000
 
 
-def word_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, name: str = "ids") -> DataFrame:
-    """``(key, ids)`` of each text's words under ``vocab (token, idx)``; unknown words get the unknown id.
+def word_ids(
+    df: DataFrame, key: str, text: str, vocab: DataFrame, name: str = "ids", unknown: int = UNKNOWN
+) -> DataFrame:
+    """``(key, ids)`` of each text's words under ``vocab (token, idx)``; unknown words get the ``unknown`` id.
 
-    The raw text is shuffled once, by row key. Exploding, the vocabulary join and the regrouping by row then all happen
-    inside that partitioning, so the exploded words are never shuffled.
+    One row a text, also where keys repeat; a NULL text has no words. Texts are encoded where they lie.
     """
-    tokens = (
-        df.select(key, text)
-        .repartition(key)
-        .select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
-    )
-    found = lookup(tokens, vocab.select("token", "idx"), "token")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN)).alias("idx")))
-    ordered = F.sort_array(F.collect_list(entry))
-    return found.groupBy(key).agg(F.transform(ordered, lambda e: e["idx"]).alias(name))
+    found = lookup_elements(df, [key], words(F.col(text)), vocab, "token", "idx", "_found")
+    return found.select(key, F.transform("_found", lambda i: F.coalesce(i, F.lit(unknown)).cast("int")).alias(name))
 
 
 def with_specials(df: DataFrame, ids: str = "ids") -> DataFrame:
@@ -55,19 +50,36 @@ def encode(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
 
 
 def _segment(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Apply the lowest-ranked merge that fits until none does."""
-    parts = list(word)
-    while len(parts) > 1:
-        best = min(zip(parts, parts[1:], strict=False), key=lambda pair: ranks.get(pair, MAX_MERGES))
-        if best not in ranks:
-            break
-        joined, at = [], 0
-        while at < len(parts):
-            step = 2 if tuple(parts[at : at + 2]) == best else 1
-            joined.append("".join(parts[at : at + step]))
-            at += step
-        parts = joined
-    return parts
+    """Apply the lowest-ranked merge that fits, leftmost first, until none does.
+
+    Pairs wait in a heap by rank and place, and pieces are linked by place, so a word of n letters costs n log n whatever
+    the number of merges. An entry whose pieces have changed meanwhile is passed over.
+    """
+    pieces: list[str | None] = list(word)
+    after = list(range(1, len(pieces) + 1))
+    before = list(range(-1, len(pieces) - 1))
+    heap: list[tuple[int, int, str, str]] = []
+
+    def offer(at: int) -> None:
+        if at >= 0 and after[at] < len(pieces):
+            pair = (pieces[at], pieces[after[at]])
+            if pair in ranks:
+                heappush(heap, (ranks[pair], at, *pair))
+
+    for at in range(len(pieces) - 1):
+        offer(at)
+    while heap:
+        _, at, left, right = heappop(heap)
+        if pieces[at] != left or after[at] >= len(pieces) or pieces[after[at]] != right:
+            continue
+        gone = after[at]
+        pieces[at], pieces[gone] = left + right, None
+        after[at] = after[gone]
+        if after[at] < len(pieces):
+            before[after[at]] = at
+        offer(before[at])
+        offer(at)
+    return [piece for piece in pieces if piece is not None]
 
 
 def _cached(work):

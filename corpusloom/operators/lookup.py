@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 BROADCAST_VALUES = 4_000_000
 SALTS = 16
@@ -39,3 +43,43 @@ def lookup(facts: DataFrame, table: DataFrame, on: str) -> DataFrame:
     others = [c for c in facts.columns if c != on]
     salted = facts.withColumn("_salt", F.pmod(F.hash(*(others or [on])), F.lit(SALTS)))
     return salted.join(spread, [on, "_salt"], "left").drop("_salt")
+
+
+def lookup_elements(
+    df: DataFrame, keep: Sequence[str], elements: Column, table: DataFrame, on: str, value: str, name: str
+) -> DataFrame:
+    """``keep`` and ``name``: an array with the ``value`` of each element of an array, NULL where ``table`` lacks it.
+
+    ``table (on, value)`` is unique on ``on``. After its content was measured it travels with the tasks, and rows are
+    looked up where they lie, an Arrow column at a time: no shuffle, and repeated rows stay rows. Beyond the limit
+    elements are spread, joined as in ``lookup`` and put together again by row. A NULL array counts as an empty one.
+    """
+    pairs = table.select(on, value)
+    rows = df.select(*keep, F.coalesce(elements, F.array().cast(ArrayType(table.schema[on].dataType))).alias(name))
+    if fits_broadcast(pairs):
+        known = pairs.toArrow()
+        keys = known.column(on).to_pylist()
+        values = pa.concat_arrays(known.column(value).chunks or [pa.array([], known.schema.field(value).type)])
+        schema = StructType([*rows.schema.fields[:-1], StructField(name, ArrayType(table.schema[value].dataType))])
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            value_set = None
+            for batch in batches:
+                lists = batch.column(len(keep))
+                if value_set is None:
+                    value_set = pa.array(keys, lists.values.type)
+                made = pa.ListArray.from_arrays(lists.offsets, values.take(pc.index_in(lists.values, value_set=value_set)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=batch.schema.names)
+
+        return rows.mapInArrow(found, schema)
+    of = F.struct(*[F.col(c) for c in keep]).alias("_of")
+    # Numbered before the explosion, so that all elements of a row share its number.
+    numbered = rows.select(of, name).withColumn("_row", F.monotonically_increasing_id())
+    spread = numbered.select("_row", "_of", F.posexplode_outer(name).alias("_pos", on))
+    # The row itself travels with its first element only.
+    spread = spread.withColumn("_of", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_of")))
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value))
+    grouped = lookup(spread, pairs, on).groupBy("_row").agg(
+        F.first("_of", ignorenulls=True).alias("_of"), F.array_sort(F.collect_list(entry)).alias("_all")
+    )
+    return grouped.select("_of.*", F.transform("_all", lambda e: e[value]).alias(name))

@@ -4,36 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.draws import order_key
 from corpusloom.functions.tokens import PAD, fit_ids, fit_mask, ones_like, replacements, zeros_like
-from corpusloom.operators.lookup import lookup
-
-
-def _positions(encoded: DataFrame, key: str, columns: list[str], placed: bool) -> DataFrame:
-    """One row per token. Rows are placed by key once, unless the caller says that they are (as after an encode in the
-    same plan); all later windows and groupings reuse that placement."""
-    zipped = F.arrays_zip(*[F.col(c) for c in columns])
-    rows = encoded.select(key, *columns)
-    return (
-        (rows if placed else rows.repartition(key))
-        .select(key, F.posexplode_outer(zipped).alias("pos", "t"))
-        .select(key, "pos", *[F.col(f"t.{c}").alias(c) for c in columns])
-    )
+from corpusloom.operators.lookup import lookup_elements
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` made once a row; Catalyst would write it into a lambda and make it per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def source_share(
-    encoded: DataFrame, key: str, source_ids: DataFrame, ids: str = "input_ids", placed: bool = False
-) -> DataFrame:
+def _flagged(encoded: DataFrame, ids: str, flags: DataFrame) -> DataFrame:
+    """Add ``_source``, an array that says of each id whether it is a source token, and its ``_share``."""
+    found = lookup_elements(encoded, encoded.columns, F.col(ids), flags, "idx", "is_source", "_found")
+    found = found.withColumn("_source", F.transform("_found", lambda x: F.coalesce(x, F.lit(False)))).drop("_found")
+    share = F.size(F.filter("_source", lambda x: x)) / F.size("_source").cast("double")
+    return found.withColumn("_share", F.when(F.size("_source") > 0, share).otherwise(F.lit(0.0)))
+
+
+def source_share(encoded: DataFrame, key: str, source_ids: DataFrame, ids: str = "input_ids") -> DataFrame:
     """``(key, n_tokens, source_ratio)``; 0 for a row without tokens."""
-    flags = source_ids.select(F.col("idx").alias(ids), F.lit(True).alias("is_source"))
-    found = lookup(_positions(encoded, key, [ids], placed), flags, ids)
-    hit = F.when(F.col("is_source"), 1.0).otherwise(0.0)
-    return found.groupBy(key).agg(
-        F.count(ids).alias("n_tokens"), F.coalesce(F.avg(F.when(F.col(ids).isNotNull(), hit)), F.lit(0.0)).alias("source_ratio")
-    )
+    flags = source_ids.select("idx", F.lit(True).alias("is_source"))
+    found = _flagged(encoded.select(key, ids), ids, flags)
+    return found.select(key, F.size("_source").cast("bigint").alias("n_tokens"), F.col("_share").alias("source_ratio"))
 
 
 def share_summary(shares: DataFrame) -> DataFrame:
@@ -48,51 +44,39 @@ def share_histogram(shares: DataFrame, bars: int = 10) -> DataFrame:
     return shares.groupBy(bar.alias("bar")).agg(F.count("*").alias("texts"))
 
 
-def substitute_tokens(
-    encoded: DataFrame, key: str, table: DataFrame, wanted: float, seed: int, placed: bool = False
-) -> DataFrame:
+def substitute_tokens(encoded: DataFrame, key: str, table: DataFrame, wanted: float, seed: int) -> DataFrame:
     """Replace randomly drawn target tokens of each row so that the source share reaches ``wanted``.
 
     ``encoded`` is ``(key, input_ids, attention_mask, special_tokens_mask)`` and ``table`` is ``(idx, is_source,
-    pieces)``. Positions are drawn by a seeded order, so a retry replaces the same ones. The windows
-    are per text: a group is one row of the input, however many texts there are.
+    pieces)``. Positions are drawn by a seeded order, so a retry replaces the same ones. All of it happens inside the
+    row, over arrays: the draws are sorted once, and what lies at or below the last draw taken is swapped.
     """
     columns = ["input_ids", "attention_mask", "special_tokens_mask"]
-    known = table.select(F.col("idx").alias("input_ids"), "is_source", "pieces")
-    found = lookup(_positions(encoded, key, columns, placed), known, "input_ids")
-    source = F.coalesce("is_source", F.lit(False))
-    per_text = Window.partitionBy(key)
-    drawn = Window.partitionBy(key, "from_source").orderBy("draw", "pos")
-    counted = (
-        found.withColumn("from_source", source)
-        .withColumn("length", F.count("input_ids").over(per_text))
-        .withColumn("share", F.avg(F.when(source, 1.0).otherwise(0.0)).over(per_text))
-        .withColumn("draw", F.when(~F.col("from_source"), order_key(seed, key, "pos")))
-        .withColumn("turn", F.row_number().over(drawn))
-    )
-    swap = (
-        ~F.col("from_source")
-        & F.col("pieces").isNotNull()
-        & (F.col("turn") <= replacements(F.col("length"), F.col("share"), wanted))
-    )
-    # Only swapped tokens carry their pieces through the regrouping.
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", *columns, "new"))
-    grouped = (
-        counted.withColumn("new", F.when(swap, F.col("pieces")))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(entry)).alias("e"), F.count("new").alias("n_swapped"))
-    )
+    found = _flagged(encoded.select(key, *columns), "input_ids", table.select("idx", "is_source"))
+
+    def draw(source: Column, pos: Column) -> Column:
+        return F.when(~source, F.struct(order_key(seed, key, pos).alias("draw"), pos.alias("pos")))
+
+    def swapped(draws: Column) -> Column:
+        turns = F.array_sort(F.filter(draws, lambda d: d.isNotNull()))
+        times = F.least(replacements(F.size("_source"), F.col("_share"), wanted), F.size(turns))
+        edge = F.when(times > 0, F.get(turns, times - 1))
+        return _with(edge, lambda last: F.transform("input_ids", lambda i, pos: F.when(F.get(draws, pos) <= last, i)))
+
+    # Only swapped tokens are spelled.
+    marked = found.select(key, *columns, _with(F.transform("_source", draw), swapped).alias("_swapped"))
+    spelled = lookup_elements(marked, [key, *columns], F.col("_swapped"), table, "idx", "pieces", "_new")
 
     def flat(column: str, piece_value: Callable[[Column], Column]) -> Column:
-        parts = F.transform("e", lambda e: F.coalesce(piece_value(e["new"]), F.array(e[column])))
+        parts = F.transform(column, lambda x, pos: F.coalesce(piece_value(F.get("_new", pos)), F.array(x)))
         return F.flatten(parts).alias(column)
 
-    return grouped.select(
+    return spelled.select(
         key,
         flat("input_ids", lambda pieces: pieces),
         flat("attention_mask", ones_like),
         flat("special_tokens_mask", zeros_like),
-        "n_swapped",
+        F.size(F.filter("_new", lambda pieces: pieces.isNotNull())).cast("bigint").alias("n_swapped"),
     )
 
 

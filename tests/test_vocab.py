@@ -113,6 +113,8 @@ def test_word_ids_with_and_without_broadcast(spark, monkeypatch, limit):
     texts = spark.createDataFrame([(1, "the the end\nof the"), (2, " "), (3, None), (4, "the " * 500)], "id long, text string")
     got = {r.id: r.ids for r in encode.word_ids(texts, "id", "text", vocab).collect()}
     assert got == {1: [4, 4, 5, 3, 4], 2: [], 3: [], 4: [4] * 500}
+    twice = encode.word_ids(texts.union(texts), "id", "text", vocab, unknown=9).collect()
+    assert len(twice) == 8 and sorted(r.ids for r in twice if r.id == 1) == [[4, 4, 5, 9, 4]] * 2
 
 
 def test_substitutes_spell_unknown_tokens(spark):
@@ -125,7 +127,7 @@ def test_substitutes_spell_unknown_tokens(spark):
 def test_overlay_keeps_source_rows(spark):
     base = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "idx int, embedding array<float>")
     vocab = spark.createDataFrame([(0, v.SOURCE, [9.0]), (1, v.TARGET, [8.0])], "idx int, origin string, embedding array<float>")
-    assert {r.idx: r.embedding for r in v.overlay(base, tokens).collect()} == {0: [1.0], 1: [8.0], 2: [3.0]}
+    assert {r.idx: r.embedding for r in v.overlay(base, vocab).collect()} == {0: [1.0], 1: [8.0], 2: [3.0]}
 
 
 def test_overlay_enlarges_the_matrix(spark):
