@@ -12,7 +12,7 @@ from corpusloom.operators import vocab as v
 from corpusloom.plans import adaptation
 from corpusloom.sources.stage import staged
 
-SOURCE_WORDS, TARGET_WORDS, LEARNED_WORDS, MERGES = 1500, 2000, 2500, 10
+SOURCE_WORDS, TARGET_WORDS, LEARNED_WORDS, MERGES = 1500, 2000, 2500, 100
 DIM = 64
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,9 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from corpusloom.sources.stage import staged
 
 # A spelling writes each symbol between an opening and a closing mark, so a merge is one native string replacement.
-_OPEN, _SHUT, _MARK = "\x02", "\x03", "\x04"
+# Marks inside words, and the escape itself, are spelled as the escape and a letter.
+_OPEN, _SHUT, _ESCAPE = "\x02", "\x03", "\x04"
+_ESCAPED = {_ESCAPE: f"{_ESCAPE}C", _OPEN: f"{_ESCAPE}A", _SHUT: f"{_ESCAPE}B"}
 _SYMBOL = f"{_OPEN}[^{_SHUT}]*+{_SHUT}"
 
 MERGES = StructType(
@@ -26,12 +31,27 @@ MERGES = StructType(
 
 def spell(word: Column) -> Column:
     """One symbol per character."""
-    return F.regexp_replace(word, r"([\s\S])", f"{_OPEN}$1{_SHUT}")
+    for mark, written in _ESCAPED.items():
+        word = F.replace(word, F.lit(mark), F.lit(written))
+    return F.regexp_replace(word, rf"({_ESCAPE}[ABC]|[\s\S])", f"{_OPEN}$1{_SHUT}")
 
 
 def symbols(spelling: Column) -> Column:
+    """The symbols of a spelling, as they stand in the word."""
     inner = F.substr(spelling, F.lit(2), F.length(spelling) - 2)
-    return F.split(inner, _SHUT + _OPEN)
+    return F.transform(F.split(inner, _SHUT + _OPEN), _plain)
+
+
+def _plain(symbol: Column) -> Column:
+    for mark, written in reversed(_ESCAPED.items()):
+        symbol = F.replace(symbol, F.lit(written), F.lit(mark))
+    return symbol
+
+
+def _written(symbol: str) -> str:
+    for mark, written in _ESCAPED.items():
+        symbol = symbol.replace(mark, written)
+    return symbol
 
 
 def _counted(found: DataFrame) -> DataFrame:
@@ -39,9 +59,12 @@ def _counted(found: DataFrame) -> DataFrame:
     return found.select("n", F.explode("parts").alias("part")).groupBy("part").agg(F.sum("n").alias("n"))
 
 
+def _pair(left: str, right: str) -> Column:
+    return F.lit(f"{_OPEN}{_written(left)}{_SHUT}{_OPEN}{_written(right)}{_SHUT}")
+
+
 def merge(spelling: Column, left: str, right: str) -> Column:
-    old = f"{_OPEN}{left}{_SHUT}{_OPEN}{right}{_SHUT}"
-    return F.replace(spelling, F.lit(old), F.lit(f"{_OPEN}{left}{right}{_SHUT}"))
+    return F.replace(spelling, _pair(left, right), F.lit(f"{_OPEN}{_written(left + right)}{_SHUT}"))
 
 
 def pair_counts(spelled: DataFrame) -> DataFrame:
@@ -56,38 +79,21 @@ def pair_counts(spelled: DataFrame) -> DataFrame:
     )
 
 
-def _neighbours(spelled: DataFrame, left: str, right: str) -> DataFrame:
-    """``(part, n)``: how often a merged pair (written as one mark) occurs, and what stands next to it."""
-    old = f"{_OPEN}{left}{_SHUT}{_OPEN}{right}{_SHUT}"
-    marked = F.replace("spelling", F.lit(old), F.lit(_MARK))
-    sides = F.regexp_extract_all(
-        "marked", F.lit(f"(?=({_SYMBOL}{_MARK}|{_MARK}{_SYMBOL}|{_MARK}{_MARK}))"), F.lit(1)
-    )
-    times = F.length("marked") - F.length(F.translate("marked", _MARK, ""))
-    return _counted(
-        spelled.where(F.contains("spelling", F.lit(old)))
-        .select("n", marked.alias("marked"))
-        .select("n", F.concat(sides, F.array_repeat(F.lit(_MARK), times)).alias("parts"))
-    )
+def _merged(spelling: Column, batch: Sequence[tuple]) -> Column:
+    for left, right, _ in batch:
+        spelling = merge(spelling, left, right)
+    return spelling
 
 
-def _changes(neighbours: list, left: str, right: str) -> dict[tuple[str, str], int]:
-    """What the merge adds to and takes from the pair counts."""
-    made, change = left + right, Counter()
-    for row in neighbours:
-        part, n = row["part"], row["n"]
-        if part == _MARK:
-            change[left, right] -= n
-        elif part == _MARK * 2:
-            change[right, left] -= n
-            change[made, made] += n
-        elif part.startswith(_MARK):
-            change[right, part[2:-1]] -= n
-            change[made, part[2:-1]] += n
-        else:
-            change[part[1:-2], left] -= n
-            change[part[1:-2], made] += n
-    return change
+def _changes(spelled: DataFrame, batch: Sequence[tuple]) -> dict[tuple[str, str], int]:
+    """What the merges of a batch add to and take from the pair counts: pairs after less pairs before, over the words
+    that hold one of them."""
+    touched = spelled.where(reduce(or_, [F.contains("spelling", _pair(left, right)) for left, right, _ in batch]))
+    sides = F.array(
+        F.struct(F.col("spelling"), (-F.col("n")).alias("n")), F.struct(_merged(F.col("spelling"), batch).alias("spelling"), "n")
+    )
+    changed = pair_counts(touched.select(F.explode(sides).alias("side")).select("side.*")).where("n <> 0")
+    return {(row["left"], row["right"]): row["n"] for row in changed.collect()}
 
 
 class _Ranking:
@@ -108,55 +114,81 @@ class _Ranking:
         self.floor = top[-1]["n"] if len(top) == self.KNOWN else 0
         self.fresh = True
 
-    def best(self) -> tuple[tuple[str, str], int] | None:
-        """The next pair, or None when the counts must be loaded again (or, right after loading, when none is left)."""
-        if not self.counts:
-            return None
-        pair, n = min(self.counts.items(), key=lambda item: (-item[1], item[0]))
-        return (pair, n) if n > 0 and (n > self.floor or self.fresh) else None
-
-    def apply(self, changes: dict[tuple[str, str], int], made: str) -> None:
+    def batch(self, most: int, made: set[str]) -> list[tuple[str, str, int]]:
+        """The next merges, as many as are certain to follow each other whatever the first of them do; none when the
+        counts must be loaded again (or, right after loading, when no pair is left).
+
+        Pairs that share no symbol leave each other's counts alone. A merge of (a, b) brings forth pairs (x, ab) and
+        (ab, y), none more frequent than (x, a) or (b, y) was. So the next pair in order follows for certain as long as
+        it is above all of those, shares no symbol with the batch, and makes a symbol that is new.
+        """
+        order = heapq.nsmallest(most, self.counts.items(), key=lambda item: (-item[1], item[0]))
+        chosen: list[tuple[str, str, int]] = []
+        used: set[str] = set()
+        ceiling = 0
+        for (left, right), n in order:
+            if n <= 0 or (n <= self.floor and not (self.fresh and not chosen)):
+                break
+            if chosen and (n <= ceiling or left in used or right in used or left + right in made):
+                break
+            chosen.append((left, right, n))
+            if left + right in made:
+                break
+            made.add(left + right)
+            used |= {left, right, left + right}
+            # Pairs at the floor or below were not loaded.
+            before = max((c for (_, y), c in self.counts.items() if y == left), default=0)
+            after = max((c for (x, _), c in self.counts.items() if x == right), default=0)
+            ceiling = max(ceiling, min(n, max(before, after, self.floor)))
+        return chosen
+
+    def apply(self, changes: dict[tuple[str, str], int], made: set[str]) -> None:
         self.fresh = False
         for pair, n in changes.items():
-            if pair in self.counts or made in pair:
+            if pair in self.counts or made & set(pair):
                 self.counts[pair] = self.counts.get(pair, 0) + n
 
 
 def learn_merges(
-    counts: DataFrame, n_merges: int, min_count: int = 1, stage_every: int = 24
+    counts: DataFrame, n_merges: int, min_count: int = 1, stage_every: int = 24, at_once: int = 64
 ) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """The first ``n_merges`` byte-pair merges over ``(word, n)``, and the words as they are spelled afterwards.
 
-    Merges are learned one at a time, the most frequent pair first (ties go by ``left``, then ``right``). All pairs are
-    counted once; from then on a merge costs one job over the distinct words that hold its pair, and only what stood
-    next to it, at most a few rows per known symbol, reaches the driver. The words are staged every ``stage_every`` merges.
+    The result is that of learning one merge at a time, the most frequent pair first (ties go by ``left``, then
+    ``right``). All pairs are counted once; from then on a job takes as many merges as are certain to follow each other
+    (at most ``at_once``), over the distinct words that hold one of them, and only counts that change reach the driver.
+    The words are staged every ``stage_every`` merges or somewhat more.
     """
     spelled = staged(counts.select("n", spell(F.col("word")).alias("spelling")), "spellings").persist()
     held = spelled
     ranking = _Ranking(spelled)
     merges: list[tuple[str, str, int]] = []
     symbols_made: set[str] = set()
+    pending = 0
     while len(merges) < n_merges:
-        best = ranking.best()
-        if best is None and not ranking.fresh:
+        known = set(symbols_made)
+        batch = ranking.batch(min(at_once, n_merges - len(merges)), symbols_made)
+        if not batch and not ranking.fresh:
             ranking.load(spelled)
-            best = ranking.best()
-        if best is None or best[1] < min_count:
+            batch = ranking.batch(min(at_once, n_merges - len(merges)), symbols_made)
+        batch = [merge for merge in batch if merge[2] >= min_count]
+        if not batch:
             break
-        (left, right), n = best
-        neighbours = _neighbours(spelled, left, right).collect()
-        merges.append((left, right, n))
-        spelled = spelled.withColumn("spelling", merge(F.col("spelling"), left, right))
-        if len(merges) % stage_every == 0:
+        merges += batch
+        pending += len(batch)
+        made = {left + right for left, right, _ in batch}
+        again = bool(made & known)
+        changes = {} if again or len(merges) >= n_merges else _changes(spelled, batch)
+        spelled = spelled.withColumn("spelling", _merged(F.col("spelling"), batch))
+        if pending >= stage_every:
             spelled = staged(spelled, "spellings").persist()
             held.unpersist()
-            held = spelled
-        if left + right in symbols_made:
+            held, pending = spelled, 0
+        if again:
             # The symbol exists already, so some of its pairs may have counts that were never loaded.
             ranking.load(spelled)
         else:
-            ranking.apply(_changes(neighbours, left, right), left + right)
-        symbols_made.add(left + right)
+            ranking.apply(changes, made)
     held.unpersist()
     return merges, spelled
 

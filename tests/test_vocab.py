@@ -88,6 +88,24 @@ def test_merges_are_the_textbook_ones(spark, monkeypatch, known):
     assert got == sorted(words)
 
 
+@pytest.mark.parametrize("at_once", [1, 64])
+def test_batched_merges_are_those_of_one_at_a_time(spark, at_once):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 9))): rng.randrange(1, 400) for _ in range(150)}
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    merges, _ = learn.learn_merges(counts, 40, at_once=at_once)
+    assert merges == merges_one_by_one(list(words.items()), 40)[0]
+
+
+def test_marks_inside_words_are_letters_like_others(spark):
+    words = [("a\x03b", 5), ("a\x02\x03", 3), ("\x04A\x04", 4), ("\x04\x03A", 2)]
+    counts = spark.createDataFrame(words, "word string, n long")
+    merges, spelled = learn.learn_merges(counts, 10)
+    want, left = merges_one_by_one(words, 10)
+    assert merges == want
+    assert sorted((r.s, r.n) for r in spelled.select(learn.symbols(F.col("spelling")).alias("s"), "n").collect()) == sorted(left)
+
+
 def test_encoding_follows_the_merges(spark):
     counts = spark.createDataFrame(WORDS, "word string, n long")
     merges, spelled = learn.learn_merges(counts, 6)
