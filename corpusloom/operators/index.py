@@ -53,7 +53,7 @@ def key_at_rank(df: DataFrame, key: str, rank: int, tie: str | None = None, with
     rows, lo, hi = within or key_range(narrow, key)
     if not 0 <= rank < rows:
         raise ValueError(f"rank {rank} is outside 0..{rows - 1}")
-    while rows > LEAF_ROWS and hi > lo:
+    while hi > lo:
         width = (hi - lo) // GRID + 1
         cell = _grid(key, lo, hi).alias("cell")
         histogram = narrow.where(F.col(key).between(lo, hi)).groupBy(cell).count().orderBy("cell").collect()
@@ -63,6 +63,8 @@ def key_at_rank(df: DataFrame, key: str, rank: int, tie: str | None = None, with
                 hi = min(hi, lo + width - 1)
                 break
             rank -= bar["count"]
+        if rows <= LEAF_ROWS:
+            break
     last = narrow.where(F.col(key).between(lo, hi)).orderBy(*columns).offset(rank).limit(1).first()
     return tuple(last)
 
@@ -138,9 +140,14 @@ def percent_split(df: DataFrame, key: str, percent: float = 5, name: str = "spli
 
 def sized_sample(df: DataFrame, key: str, train_rows: int, valid_rows: int, seed: int) -> DataFrame:
     """Shuffle, then take ``train_rows + 1`` rows for training and the next ``valid_rows + 1`` for validation."""
-    drawn = order_at_random(df, key, seed)
+    return sampled(df, df.select(key), key, train_rows, valid_rows, seed)
+
+
+def sampled(df: DataFrame, keys: DataFrame, key: str, train_rows: int, valid_rows: int, seed: int) -> DataFrame:
+    """:func:`sized_sample`, its cuts taken from ``keys``: wide rows only meet a comparison with literals."""
     ends = [train_rows + 1, train_rows + 1 + valid_rows + 1]
-    labelled = rank_labels(drawn, "_order", ends, ["train", "validation", "rest"], tie=key)
+    label = rank_label(order_at_random(keys, key, seed), "_order", ends, ["train", "validation", "rest"], tie=key)
+    labelled = order_at_random(df, key, seed).withColumn("split", label)
     return labelled.where("split <> 'rest'").drop("_order")
 
 
@@ -186,9 +193,9 @@ def _cells(df: DataFrame, key: str, by: Sequence[str], span: tuple | None) -> tu
         cell = F.shiftright(F.col(key), ORDER_BITS - _HASH_CELL_BITS)
         return cell, totals(cell)
     rows, lo, hi = span
-    cell = _grid(key, lo, hi)
+    cell = F.lit(None) if lo is None else _grid(key, lo, hi)
     bars = totals(cell)
-    if max(bar["count"] for bar in bars) > max(LEAF_ROWS, 16 * rows // GRID):
+    if lo is not None and max(bar["count"] for bar in bars) > max(LEAF_ROWS, 16 * rows // GRID):
         cell = _quantile_cells(df, key)
         bars = totals(cell)
     return cell, bars
@@ -212,7 +219,6 @@ def row_index(
     by: Sequence[str] = (),
     tie: str | None = None,
     hashed: bool = False,
-    at_most: int | None = None,
 ) -> DataFrame:
     """Number the rows 0, 1, … by an integer ``key`` (per group of ``by``), as one global sort would.
 
@@ -220,17 +226,11 @@ def row_index(
     (nearly) unique, which keeps a cell at about rows / cells even when one group of ``by`` holds most rows; ``by`` is
     for a few groups, such as the sources of a mixture; a NULL group is a group like any other, and rows with a NULL key
     come first in theirs. The driver sees at most 4,096 totals per group. The key is
-    scanned once for the totals, so pass narrow frames and join the number back where rows are wide. ``at_most`` is for
-    callers that have counted already; it spares a job on small frames.
+    scanned once for the totals, so pass narrow frames and join the number back where rows are wide.
     """
     order = [F.col(key)] if tie is None else [F.col(key), F.col(tie)]
     narrow = df.select(*by, key)
-    span = (at_most,)
-    if at_most is None or at_most > LEAF_ROWS:
-        span = None if hashed else key_range(narrow, key)
-    if span and span[0] <= LEAF_ROWS:
-        # Few enough rows, by count, to be sorted in one task.
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint") - 1)
+    span = None if hashed else key_range(narrow, key)
     cell, bars = _cells(narrow, key, by, span)
     if not bars:
         return df.withColumn(name, F.lit(0).cast("bigint"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.draws import uniform
-from corpusloom.operators.index import LEAF_ROWS, row_index
+from corpusloom.operators.index import row_index
 from corpusloom.sources.stage import staged
 
 SLOT_BLOCKS = 4096
@@ -36,12 +36,10 @@ def _slots(spark: SparkSession, start: int, end: int, block: int, weights: Seque
     )
 
 
-def _ranked(slots: DataFrame, before: pa.Table | None) -> DataFrame:
+def _ranked(slots: DataFrame, before: pa.Table) -> DataFrame:
     """Number each source's slots; ``before`` holds the source's slots in earlier blocks (≤ blocks x sources rows)."""
     inside = Window.partitionBy("block", "source_no").orderBy("slot")
     rank = F.row_number().over(inside).cast("bigint") - 1
-    if before is None:
-        return slots.select("slot", "source_no", rank.alias("rank"))
     offsets = slots.sparkSession.createDataFrame(before)
     joined = slots.join(F.broadcast(offsets), ["block", "source_no"])
     return joined.select("slot", "source_no", (F.col("before") + rank).alias("rank"))
@@ -60,7 +58,7 @@ def _blocks_until_exhausted(totals: list, sizes: Sequence[int]) -> tuple[pa.Tabl
         if seen[source] >= sizes[source]:
             stop = bar["block"]
     types = {"block": pa.int64(), "source_no": pa.int32(), "before": pa.int64()}
-    columns = zip(*rows, strict=True)
+    columns = [[row[i] for row in rows] for i in range(len(types))]
     return pa.table({name: pa.array(c, types[name]) for name, c in zip(types, columns, strict=True)}), stop
 
 
@@ -72,14 +70,11 @@ def draw_slots(spark: SparkSession, sizes: Sequence[int], weights: Sequence[floa
     That one block is then numbered to find the exact slot, so the main plan holds no slot that is thrown away.
     """
     wanted = sum(sizes)
-    before, stop_block = None, 0
-    block = max(wanted, 1)
-    if wanted > LEAF_ROWS:
-        block = -(-wanted // SLOT_BLOCKS)
-        drawn = _slots(spark, 0, wanted, block, weights, seed).groupBy("block", "source_no").count()
-        before, stop_block = _blocks_until_exhausted(drawn.orderBy("block", "source_no").collect(), sizes)
-        if stop_block is None:
-            return _ranked(_slots(spark, 0, wanted, block, weights, seed), before)
+    block = max(1, -(-wanted // SLOT_BLOCKS))
+    drawn = _slots(spark, 0, wanted, block, weights, seed).groupBy("block", "source_no").count()
+    before, stop_block = _blocks_until_exhausted(drawn.orderBy("block", "source_no").collect(), sizes)
+    if stop_block is None:
+        return _ranked(_slots(spark, 0, wanted, block, weights, seed), before)
     last = F.array(*[F.lit(size).cast("bigint") for size in sizes])[F.col("source_no")] - 1
     start = stop_block * block
     edge = (
@@ -99,14 +94,22 @@ def interleave(
     """Mix tables of one schema by weight, keeping each one's order by ``key``, until the first runs out.
 
     Every output slot draws a source and takes its next row. Ranks are computed on keys alone, which are staged because
-    three jobs read them; the wide rows are shuffled once, in the last join, and only those that the mixture keeps
-    survive it.
+    three jobs read them; wide rows beyond the keys that the mixture takes stay where they lie, and the others are
+    shuffled once, in the last join.
     """
     if len(sources) != len(weights):
         raise ValueError("one weight per source")
-    texts = tagged(sources)
-    keys = staged(texts.select("source_no", key), "keys")
-    return texts.join(pick_rows(keys, weights, seed, key, name), ["source_no", key])
+    keys = staged(tagged(sources).select("source_no", key), "keys")
+    picks = staged(pick_rows(keys, weights, seed, key, name), "picks")
+    return tagged(within(sources, picks, key)).join(picks, ["source_no", key])
+
+
+def within(sources: Sequence[DataFrame], picks: DataFrame, key: str) -> list[DataFrame]:
+    """The sources, each cut to the range of keys that ``picks (source_no, key)`` takes from it: a filter with literals,
+    which reaches the scan and keeps all other rows out of the join."""
+    ends = picks.groupBy("source_no").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    spans = {end["source_no"]: F.col(key).between(end["lo"], end["hi"]) for end in ends}
+    return [source.where(spans.get(n, F.lit(False))) for n, source in enumerate(sources)]
 
 
 def tagged(parts: Sequence[DataFrame]) -> DataFrame:
@@ -120,5 +123,5 @@ def pick_rows(
     """Which rows the mixture takes and where they go, ``(source_no, key, name)``, from a table ``(source_no, key)``."""
     counts = {row["source_no"]: row["count"] for row in keys.groupBy("source_no").count().collect()}
     slots = draw_slots(keys.sparkSession, [counts.get(n, 0) for n in range(len(weights))], weights, seed)
-    ranks = row_index(keys, key, "rank", by=["source_no"], at_most=sum(counts.values()))
+    ranks = row_index(keys, key, "rank", by=["source_no"])
     return ranks.join(slots, ["source_no", "rank"]).select("source_no", key, F.col("slot").alias(name))

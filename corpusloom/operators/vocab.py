@@ -73,18 +73,18 @@ def free_ids(vocab: DataFrame, size: int) -> DataFrame:
     return ids.join(vocab.select("idx"), "idx", "left_anti")
 
 
-def _paired(left: DataFrame, right: DataFrame, at_most: int, reverse: bool = False) -> DataFrame:
+def _paired(left: DataFrame, right: DataFrame, reverse: bool = False) -> DataFrame:
     """Zip two id tables by rank: ``(idx, new_idx)``; the longer one's tail has no partner."""
-    taken = row_index(left.select("idx"), "idx", "rank", at_most=at_most)
+    taken = row_index(left.select("idx"), "idx", "rank")
     given = right.select(F.col("idx").alias("new_idx"), (-F.col("idx")).alias("_down"))
-    given = row_index(given, "_down" if reverse else "new_idx", "rank", at_most=at_most).drop("_down")
+    given = row_index(given, "_down" if reverse else "new_idx", "rank").drop("_down")
     return taken.join(given, "rank").drop("rank")
 
 
 def reassign_slots(vocab: DataFrame) -> DataFrame:
     """Give target tokens whose id a source token also has a free id: n-th duplicate id to n-th free id."""
     size = vocab.count()
-    moves = _paired(duplicate_ids(vocab), free_ids(vocab, size), size)
+    moves = _paired(duplicate_ids(vocab), free_ids(vocab, size))
     moved = F.when(F.col("origin") == TARGET, F.col("new_idx"))
     return (
         vocab.join(moves, "idx", "left").withColumn("idx", F.coalesce(moved, F.col("idx"))).select(*vocab.columns)
@@ -111,7 +111,7 @@ def match_learned(vocab: DataFrame, learned: DataFrame) -> tuple[DataFrame, Data
 def add_helpers(kept: DataFrame, missing: DataFrame, size: int) -> DataFrame:
     """Give the learned tokens without a row the smallest free ids of ``range(size)``, in learned order; ``size`` is the
     number of learned tokens."""
-    free = _paired(missing, free_ids(kept, size), size)
+    free = _paired(missing, free_ids(kept, size))
     helpers = missing.select("token", "idx").join(free, "idx").select("token", F.col("new_idx").alias("idx"))
     rows = helpers.withColumn("origin", F.lit(HELPER))
     return kept.unionByName(rows, allowMissingColumns=True)
@@ -120,8 +120,7 @@ def add_helpers(kept: DataFrame, missing: DataFrame, size: int) -> DataFrame:
 def pull_in_overflow(vocab: DataFrame, size: int) -> DataFrame:
     """Move ids at or beyond ``size`` to free ids: the smallest such id takes the largest free one."""
     beyond = vocab.where(F.col("idx") >= size)
-    # Every token is a learned one, so there are at most `size`.
-    moves = _paired(beyond, free_ids(vocab, size), size, reverse=True)
+    moves = _paired(beyond, free_ids(vocab, size), reverse=True)
     return vocab.join(moves, "idx", "left").withColumn("idx", F.coalesce("new_idx", "idx")).select(*vocab.columns)
 
 

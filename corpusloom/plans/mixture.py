@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import link_doc_and_code, strip_comments
-from corpusloom.operators.index import percent_label, sized_sample
-from corpusloom.operators.mix import pick_rows, tagged
+from corpusloom.operators.index import percent_label, sampled
+from corpusloom.operators.mix import pick_rows, tagged, within
 from corpusloom.sources.stage import staged
 from corpusloom.sources.writers import with_splits
 
@@ -47,8 +47,8 @@ def build_mixture(
 
     ``sized`` is the position of the corpus that is too large to take whole: it is shuffled and sampled to its weight
     times the rows of the others; a corpus with its own ``split`` column keeps it. Validation draws from validation
-    parts only. Splits, sample and order are found on staged keys. The texts are made and shuffled once, in the join that
-    keeps the picked rows of both splits.
+    parts only. Splits, sample and order are found on staged keys. Wide rows outside the sample and the picked keys are
+    filtered by literals before their texts are made; the rest is shuffled once, in the join that keeps the picked rows.
     """
     keys = [staged(corpus.select(key, *_own_split(corpus)), "keys") for corpus in corpora]
     split: list[DataFrame | None] = [None] * len(corpora)
@@ -56,18 +56,21 @@ def build_mixture(
         if n != sized:
             label = F.col("split") if _own_split(corpus) else percent_label(keys[n], key, percent)
             split[n] = keys[n].select(key, label.alias("split"))
+    wide = [corpus.select(key, "text") for corpus in corpora]
     if sized is not None:
         totals = total_rows([part for part in split if part is not None])
         rows = [int(weights[sized] * totals.get(name, 0)) for name in ("train", "validation")]
-        split[sized] = sized_sample(keys[sized].select(key), key, *rows, seed=seed)
+        only = keys[sized].select(key)
+        split[sized] = staged(sampled(only, only, key, *rows, seed=seed), "sample")
+        wide[sized] = sampled(wide[sized], only, key, *rows, seed=seed).drop("split")
     ids = staged(tagged(split), "split-keys")
-    picks = with_splits(
+    picks = staged(with_splits(
         {
             name: pick_rows(ids.where(F.col("split") == name).drop("split"), weights, seed, key)
             for name in ("train", "validation")
         }
-    )
-    return tagged([corpus.select(key, "text") for corpus in corpora]).join(picks, ["source_no", key])
+    ), "picks")
+    return tagged(within(wide, picks, key)).join(picks, ["source_no", key])
 
 
 def _own_split(corpus: DataFrame) -> list[str]:

@@ -30,5 +30,4 @@ def many_cells(monkeypatch):
     from corpusloom.operators import index, mix
 
     monkeypatch.setattr(index, "LEAF_ROWS", 5)
-    monkeypatch.setattr(mix, "LEAF_ROWS", 5)
     monkeypatch.setattr(mix, "SLOT_BLOCKS", 16)
