@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalog.common import SEED, documents, draw_sql, joined, order_sql, table, top_words_sql, words_cte
 from corpusloom.catalog.vocabularies import ADAPT_CTE, MERGES, learn_cte, vocabularies
 from corpusloom.functions.text import words
-from corpusloom.functions.tokens import keep_last, unmask
+from corpusloom.functions.tokens import SEPARATOR_ID, keep_last, unmask
 from corpusloom.operators import encode, learn, mask, pack, substitute
 from corpusloom.operators import vocab as v
 from corpusloom.operators.index import row_index
@@ -17,6 +17,8 @@ from corpusloom.sources.stage import staged
 
 VOCAB, LENGTH, CHUNK, WANTED, BATCH = 2000, 512, 128, 0.85, 100
 MASK_ID = 4
+#: Where texts are joined by the separator, whose id is that of an unknown word elsewhere.
+TALK_UNKNOWN, TALK_FIRST = 5, 6
 
 
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,18 +115,14 @@ def unmask_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_separator(spark: SparkSession, folder: str) -> DataFrame:
-    """Question and answer of each turn pair, encoded around a separator, masked and split again."""
-    talk = table(spark, folder, "conversations").withColumn("pair", F.expr("turn div 2"))
-    vocab = staged(v.word_vocab(v.word_counts(talk), VOCAB, first_id=5), "vocab")
-    keyed = talk.withColumn("turn_key", F.col("conv_id") * 1000 + F.col("turn"))
-    ids = encode.word_ids(keyed, "turn_key", "text", vocab)
-    turns = keyed.drop("text").join(ids, "turn_key").select("conv_id", "pair", (F.col("turn") % 2).alias("side"), "ids")
-    first, second = (turns.where(F.col("side") == n).select("conv_id", "pair", F.col("ids").alias(f"ids{n}")) for n in (0, 1))
-    no_unknown = lambda c: F.filter(c, lambda i: i != encode.UNKNOWN)  # noqa: E731 - 3 is the separator here
-    pairs = first.join(second, ["conv_id", "pair"]).select(
-        (F.col("conv_id") * 1000 + F.col("pair")).alias("pair_id"),
-        F.concat(no_unknown("ids0"), F.array(F.lit(encode.UNKNOWN)), no_unknown("ids1")).alias("ids"),
-    )
+    """Question and answer of each turn pair, encoded around a separator, masked and split again; the answer of a last
+    turn without one is empty."""
+    talk = table(spark, folder, "conversations").withColumn("turn_key", F.struct("conv_id", "turn"))
+    vocab = staged(v.word_vocab(v.word_counts(talk), VOCAB, first_id=TALK_FIRST), "vocab")
+    turns = encode.word_ids(talk, "turn_key", "text", vocab, unknown=TALK_UNKNOWN)
+    pair = F.concat_ws(":", "turn_key.conv_id", F.expr("turn_key.turn div 2")).alias("pair_id")
+    half = lambda side: F.flatten(F.collect_list(F.when(F.col("turn_key.turn") % 2 == side, F.col("ids"))))
+    pairs = turns.groupBy(pair).agg(F.concat(half(0), F.array(F.lit(SEPARATOR_ID)), half(1)).alias("ids"))
     split = mask.split_pair(mask.mask_tokens(encode.with_specials(pairs), "pair_id", MASK_ID, VOCAB, seed=SEED))
     shown = ("first_unmasked", "second_unmasked", "first_attention_mask", "second_attention_mask")
     return split.select("pair_id", *[joined(F.col(c)).alias(c) for c in shown]).fillna("none")
@@ -184,12 +182,11 @@ masked AS (SELECT *, CASE WHEN NOT chosen OR kind >= 0.9 THEN id WHEN kind < 0.8
                   CASE WHEN chosen THEN id ELSE -100 END AS label FROM picked)"""
 
 
-_TALK = f"""talk_l AS (SELECT conv_id * 1000 + turn // 2 AS pair_id, turn % 2 AS side, list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda w: w <> '') AS l FROM conversations),
+_TALK = f"""talk_l AS (SELECT conv_id || ':' || (turn // 2) AS pair_id, turn % 2 AS side, list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda w: w <> '') AS l FROM conversations),
 talk AS (SELECT pair_id, side, unnest(l) AS word, generate_subscripts(l, 1) AS p FROM talk_l),
-vocab AS ({top_words_sql('talk', VOCAB, first_id='5')}),
-both_sides AS (SELECT pair_id FROM talk_l GROUP BY pair_id HAVING count(*) = 2),
-known AS (SELECT pair_id, side, p, idx FROM talk JOIN vocab ON word = token JOIN both_sides USING (pair_id)),
-parts AS (SELECT pair_id, side, p, idx FROM known UNION ALL SELECT pair_id, 0, 1000000, 3 FROM both_sides),
+vocab AS ({top_words_sql('talk', VOCAB, first_id=str(TALK_FIRST))}),
+parts AS (SELECT pair_id, side, p, coalesce(idx, {TALK_UNKNOWN}) AS idx FROM talk LEFT JOIN vocab ON word = token
+  UNION ALL SELECT DISTINCT pair_id, 0, 1000000, {SEPARATOR_ID} FROM talk_l),
 flat AS (SELECT pair_id, idx AS id, row_number() OVER (PARTITION BY pair_id ORDER BY side, p) AS pos FROM parts),
 lens AS (SELECT pair_id, count(*) AS n FROM flat GROUP BY pair_id),
 tok AS (SELECT pair_id, pos, id, 0 AS special FROM flat UNION ALL SELECT pair_id, 0, 0, 1 FROM lens UNION ALL SELECT pair_id, n + 1, 2, 1 FROM lens)"""

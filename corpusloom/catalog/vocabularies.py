@@ -67,10 +67,11 @@ def byte_level_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_surface(spark: SparkSession, folder: str) -> DataFrame:
-    """First bytes of words as tokens: half a character decodes to U+FFFD, so the token itself is shown."""
-    words = v.word_counts(documents(spark, folder, walk=True))
-    first = words.select(F.substring(to_byte_letters(F.col("word")), 1, 1).alias("token")).distinct()
-    return first.select("token", surface(F.col("token")).alias("string"))
+    """All words as byte-level tokens, and their prefixes, which may end inside a character."""
+    words = v.word_counts(documents(spark, folder, walk=True)).select(to_byte_letters(F.col("word")).alias("letters"))
+    ends = words.select("letters", F.explode(F.sequence(F.lit(1), F.length("letters"))).alias("end"))
+    tokens = ends.select(F.substring("letters", F.lit(1), F.col("end")).alias("token")).distinct()
+    return tokens.select("token", surface(F.col("token")).alias("string"))
 
 
 def vocab_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,9 +234,14 @@ ORACLES = {
   SELECT unnest(regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS string FROM conversations)
 SELECT string, count(*) AS n FROM t GROUP BY string""",
     "token_surface": f"""WITH {words_cte()},
-u AS (SELECT DISTINCT unicode(substr(word, 1, 1)) AS u FROM w)
-SELECT DISTINCT chr(b) AS token, chr(b) AS string FROM (SELECT CAST(CASE WHEN u < 128 THEN u WHEN u < 2048 THEN 192 + u // 64
-  WHEN u < 65536 THEN 224 + u // 4096 ELSE 240 + u // 262144 END AS INTEGER) AS b FROM u)""",
+b AS (SELECT word, list_transform(range(1, strlen(word) + 1), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i - 1 AS BIGINT), 2) AS INTEGER)) AS bytes
+      FROM (SELECT DISTINCT word FROM w)),
+l AS (SELECT word, list_transform(bytes, lambda x: chr(CASE WHEN x < 33 THEN 256 + x WHEN x BETWEEN 127 AND 160 THEN 162 + x WHEN x = 173 THEN 323 ELSE x END)) AS letters,
+             list_transform(bytes, lambda x: x < 128 OR x >= 192) AS begins FROM b),
+k AS (SELECT *, unnest(range(1, len(letters) + 1)) AS k FROM l),
+p AS (SELECT array_to_string(letters[1:k], '') AS token, word, len(list_filter(begins[1:k], lambda x: x)) AS chars, k = len(letters) OR begins[k + 1] AS whole FROM k),
+s AS (SELECT token, CASE WHEN whole THEN left(word, chars) ELSE left(word, chars - 1) || '�' END AS string FROM p)
+SELECT DISTINCT token, CASE WHEN string = '�' THEN token ELSE string END AS string FROM s""",
     "vocab_merge": f"WITH {VOCAB_CTE} SELECT token, idx, string, origin FROM merged",
     "vocab_slots": f"WITH {VOCAB_CTE} SELECT token, idx, origin FROM slotted",
     "vocab_duplicates": f"WITH {VOCAB_CTE} SELECT idx, 'duplicate' AS kind FROM dup UNION ALL SELECT CAST(new_idx AS INTEGER), 'free' FROM gap",
