@@ -15,6 +15,8 @@ from corpusloom.llm.common import ascii_lower, matched, small
 from corpusloom.sources.stage import staged
 
 SIZE = 10
+#: Most windows, each with its words and items, that are broadcast.
+BROADCAST_WINDOWS = 100_000
 #: Fixed: what separates words once A-Z are lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -55,7 +57,9 @@ def hits(docs: DataFrame, items: DataFrame, keep: list[str], key: str = "item_id
     items without words have no windows. An item that repeats an id is the same item; a null id is written as an empty
     one. Repeated document rows stay separate rows: each gets a number where it is scanned, and travels with it. A
     document meets the windows where it lies, in one generated loop without moving its text; only hits and one summary row
-    per document are shuffled, by that number. The windows are broadcast only after they were counted.
+    per document are shuffled, by that number. The windows are broadcast only after they were counted; where they are too
+    many, each word goes to them with its surroundings alone, less than two windows long, so the shuffle carries a fixed
+    multiple of the text.
     """
     docs = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], words(text).alias("w"))
     runs = staged(windows(items, key, text, size), "windows")
@@ -64,18 +68,22 @@ def hits(docs: DataFrame, items: DataFrame, keep: list[str], key: str = "item_id
         "SELECT '' AS token, 0 AS at, cast(array() AS array<string>) AS window, cast(array() AS array<string>) AS items"
     )
     table = staged(table.unionByName(nothing), "prefixes")
-    table = F.broadcast(table) if small(table, 100_000) else table
+    local = small(table, BROADCAST_WINDOWS)
+    table = F.broadcast(table) if local else table
     # The empty word that ends every document meets the empty window: so each document keeps one row.
     names = [f"k{i}" for i in range(len(keep))]
     places = docs.withColumn("row", F.monotonically_increasing_id()).select(
         "row", *names, "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "token")
     )
+    places = places.withColumn("n_words", F.size("w")).withColumn("skip", F.lit(0))
+    if not local:
+        skip = F.greatest(F.col("pos") - size + 1, F.lit(0))
+        places = places.withColumn("skip", skip).withColumn("w", F.slice("w", skip + 1, F.lit(2 * size - 1)))
     begin, length = F.col("pos") - F.col("at"), F.size("window")
-    found = places.join(table, "token").where(
-        (begin >= 0) & (begin + length <= F.size("w")) & (F.slice("w", begin + 1, length) == F.col("window"))
-    )
+    same = F.slice("w", F.greatest(begin - F.col("skip"), F.lit(0)) + 1, length) == F.col("window")
+    found = places.join(table, "token").where((begin >= 0) & (begin + length <= F.col("n_words")) & same)
     found = found.select(
-        "row", *names, F.size("w").alias("n_words"), F.when(length > 0, F.struct(begin.alias("s"), (begin + length).alias("e"))).alias("span"), "items"
+        "row", *names, "n_words", F.when(length > 0, F.struct(begin.alias("s"), (begin + length).alias("e"))).alias("span"), "items"
     )
     per_doc = found.groupBy("row").agg(
         *[F.first(c).alias(c) for c in names],

@@ -82,7 +82,9 @@ def brute_hits(rows, items, size=10):
     return out
 
 
-def test_hits_equal_those_of_a_scan(spark, docs):
+@pytest.mark.parametrize("most", [100_000, -1])
+def test_hits_equal_those_of_a_scan(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
     items = [
         (10, "One two three four five six seven eight nine ten"), (9, "e1 É"), (9, None), (None, "B, c!"), (12, ""), (11, "nine ten eleven"),
         (13, "é e1"),
