@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.catalog.common import CODE_CTE, code_rows, documents, strip_sql, table, top_words_sql
+from corpusloom.catalog.common import CODE_CTE, SEED, code_rows, documents, strip_sql, table, top_words_sql, uniform_sql
+from corpusloom.functions.draws import uniform
 from corpusloom.operators import language, pairs, repos
 from corpusloom.operators import vocab as v
 from corpusloom.operators.language import detect, train_profile
@@ -14,6 +15,7 @@ from corpusloom.sources import schemas, writers
 from corpusloom.sources.stage import staged
 
 KEYWORDS, WANTED, STREAK = 8, "en", 12
+HALF = f"{SEED}half"
 
 
 def keyword_combos(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,10 +109,11 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def language_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    """How well the profile tells its own training texts apart, per language."""
-    docs = documents(spark, folder, walk=True)
-    profile, languages = train_profile(docs)
-    found = detect(docs, "doc_id", profile, languages).join(docs.select("doc_id", "lang"), "doc_id")
+    """How well a profile of a drawn half of the documents tells the other half apart, per language."""
+    docs, drawn = documents(spark, folder, walk=True), uniform(HALF, "doc_id") < 0.5
+    profile, languages = train_profile(docs.where(drawn))
+    rest = docs.where(~drawn)
+    found = detect(rest, "doc_id", profile, languages).join(rest.select("doc_id", "lang"), "doc_id")
     right = F.when(language.is_language(F.col("detected"), F.col("lang")), 1.0).otherwise(0.0)
     return found.groupBy("lang").agg(F.count("*").alias("texts"), F.round(F.avg(right), 6).alias("accuracy"))
 
@@ -168,14 +171,18 @@ def _grams(text: str, rows: str, key: str = "doc_id") -> str:
     )
 
 
-_PROFILE = f"""{_grams('text', 'documents')},
-counts AS (SELECT lang, gram, count(*) AS n FROM grams_documents JOIN documents USING (doc_id) GROUP BY lang, gram),
+def _profile(where: str = "true") -> str:
+    return f"""{_grams('text', 'documents')},
+counts AS (SELECT lang, gram, count(*) AS n FROM grams_documents JOIN documents USING (doc_id) WHERE {where} GROUP BY lang, gram),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
 size AS (SELECT count(DISTINCT gram) AS v FROM counts),
 profile AS (SELECT g.gram, t.lang, CAST(round((ln(coalesce(n, 0) + 1.0::DOUBLE) - ln((total + v)::DOUBLE)) * 1000000) AS BIGINT) AS s
             FROM (SELECT DISTINCT gram FROM counts) g CROSS JOIN totals t CROSS JOIN size LEFT JOIN counts c ON c.gram = g.gram AND c.lang = t.lang)"""
 
 
+_PROFILE = _profile()
+
+
 def _detected(rows: str, key: str) -> str:
     return f"""detected_{rows} AS (SELECT {key}, first(lang ORDER BY s DESC, lang) AS detected FROM (
   SELECT {key}, lang, sum(times * s) AS s FROM (SELECT {key}, gram, count(*) AS times FROM grams_{rows} GROUP BY {key}, gram) JOIN profile USING (gram)
@@ -218,9 +225,9 @@ SELECT repo, branch, file_no, path, 'blob/' || path AS url FROM files UNION ALL
   CASE WHEN n_chars % 97 = 0 THEN 'err' WHEN n_chars % 3 <> 0 THEN 'nodoc' WHEN lang = '{WANTED}' THEN 'match' ELSE 'other' END AS kind FROM documents),
 {_vote('e', STREAK)} SELECT repo, verdict FROM verdicts""",
     "language_id": f"WITH {_PROFILE}, {_detected('documents', 'doc_id')} SELECT doc_id, coalesce(detected, 'none') AS detected FROM documents LEFT JOIN detected_documents USING (doc_id)",
-    "language_accuracy": f"""WITH {_PROFILE}, {_detected('documents', 'doc_id')}
+    "language_accuracy": f"""WITH {_profile(f"{uniform_sql(HALF, 'doc_id')} < 0.5")}, {_detected('documents', 'doc_id')}
 SELECT lang, count(*) AS texts, round(avg(CASE WHEN detected = lang THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy
-FROM documents LEFT JOIN detected_documents USING (doc_id) GROUP BY lang""",
+FROM documents LEFT JOIN detected_documents USING (doc_id) WHERE {uniform_sql(HALF, 'doc_id')} >= 0.5 GROUP BY lang""",
     "doc_methods": f"WITH {CODE_CTE} SELECT 'owner/' || source AS repo, doc_id AS file_no, 0 AS method_no, doc, method AS code FROM code_rows",
     "doc_function_pairs": f"""WITH {_LINES}, {_PROFILE}, {_grams('summary', 'elements')}, {_detected('elements', 'doc_id')}
 SELECT repo, doc_id AS file_no, 0 AS method_no, summary AS docstring_summary,

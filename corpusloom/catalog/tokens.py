@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.catalog.common import SEED, documents, draw_sql, joined, order_sql, table, top_words_sql, words_cte
+from corpusloom.catalog.common import SEED, documents, draw_sql, ink_sql, joined, order_sql, table, top_words_sql, words_cte
 from corpusloom.catalog.vocabularies import ADAPT_CTE, MERGES, learn_cte, vocabularies
 from corpusloom.functions.text import words
 from corpusloom.functions.tokens import SEPARATOR_ID, keep_last, unmask
 from corpusloom.operators import encode, learn, mask, pack, substitute
 from corpusloom.operators import vocab as v
 from corpusloom.operators.index import row_index
-from corpusloom.plans import adaptation
-from corpusloom.sources.stage import staged
+from corpusloom.plans import adaptation, masked_lm, substitution
+from corpusloom.sources import readers, writers
+from corpusloom.sources.stage import new_folder, staged
 
 VOCAB, LENGTH, CHUNK, WANTED, BATCH = 2000, 512, 128, 0.85, 100
+EVAL_ROWS = 20
 MASK_ID = 4
 #: Where texts are joined by the separator, whose id is that of an unknown word elsewhere.
 TALK_UNKNOWN, TALK_FIRST = 5, 6
@@ -128,6 +130,43 @@ def split_separator(spark: SparkSession, folder: str) -> DataFrame:
     return split.select("pair_id", *[joined(F.col(c)).alias(c) for c in shown]).fillna("none")
 
 
+def _splits(docs: DataFrame) -> dict[str, DataFrame]:
+    """Three fifths train, and a fifth each validation and test."""
+    fifth = F.pmod("doc_id", F.lit(5))
+    return {"train": docs.where(fifth < 3), "validation": docs.where(fifth == 3), "test": docs.where(fifth == 4)}
+
+
+def substitution_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole job over a dataset saved by split: its result is saved by split too, and read back."""
+    docs = documents(spark, folder, walk=True)
+    source, target, learned = vocabularies(spark, folder)
+    adapted = staged(adaptation.adapt(source, target, learned), "adapted")
+    pieces = staged(adaptation.substitution_table(adapted, source), "substitutes")
+    texts = writers.with_splits(_splits(docs.select("doc_id", "text")))
+    path = new_folder(spark, "substituted")
+    writers.save(substitution.substitution_job(texts, "doc_id", "text", adapted, pieces, WANTED, SEED, LENGTH), path)
+    arrays = ("input_ids", "attention_mask", "special_tokens_mask")
+    return readers.saved(spark, path).select("split", "doc_id", "n_swapped", *[joined(F.col(c)).alias(c) for c in arrays])
+
+
+def _masked_lm(spark: SparkSession, folder: str, **options) -> DataFrame:
+    docs = documents(spark, folder, walk=True)
+    vocab = staged(v.word_vocab(v.word_counts(docs), VOCAB), "vocab")
+    parts = {name: rows.select("doc_id", "text") for name, rows in _splits(docs).items() if name != "test"}
+    rows = masked_lm.masked_lm_rows(parts, "doc_id", vocab, MASK_ID, VOCAB, CHUNK, batch_rows=BATCH, seed=SEED, **options)
+    arrays = ("input_ids", "attention_mask", "special_tokens_mask", "labels")
+    return rows.select("split", "row_no", *[joined(F.col(c)).alias(c) for c in arrays])
+
+
+def masked_lm_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked rows of packed texts; the row limit of the validation split is part of the job."""
+    return _masked_lm(spark, folder, most={"validation": EVAL_ROWS})
+
+
+def masked_lm_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _masked_lm(spark, folder, line_by_line=True)
+
+
 QUERIES = {
     "encode": encode_words,
     "encode_merges": encode_merges,
@@ -143,6 +182,9 @@ QUERIES = {
     "mask_tokens": mask_tokens,
     "unmask": unmask_tokens,
     "split_separator": split_separator,
+    "substitution_job": substitution_job,
+    "masked_lm_packed": masked_lm_packed,
+    "masked_lm_lines": masked_lm_lines,
 }
 
 # SQL ------------------------------------------------------------------------------------------------------------------
@@ -182,6 +224,24 @@ masked AS (SELECT *, CASE WHEN NOT chosen OR kind >= 0.9 THEN id WHEN kind < 0.8
                   CASE WHEN chosen THEN id ELSE -100 END AS label FROM picked)"""
 
 
+def _swapped(wanted: str) -> str:
+    """``lists(doc_id, n_swapped, ids, special)`` for a wanted share that may look at ``doc_id``."""
+    return f"""turns AS (SELECT f.*, n_tokens, source_ratio,
+            row_number() OVER (PARTITION BY doc_id, f.is_source ORDER BY {order_sql(SEED, 'doc_id', 'pos')}, pos) AS turn
+          FROM flags f JOIN ratios USING (doc_id)),
+swaps AS (SELECT t.*, p.pieces, NOT t.is_source AND p.pieces IS NOT NULL
+            AND turn <= greatest(CAST(trunc(n_tokens * ({wanted} - source_ratio)) AS BIGINT), 0) AS swap
+          FROM turns t LEFT JOIN pieces p ON id = idx),
+lists AS (SELECT doc_id, count(*) FILTER (swap) AS n_swapped,
+            flatten(list(CASE WHEN swap THEN pieces ELSE [id] END ORDER BY pos)) AS ids,
+            flatten(list(CASE WHEN swap THEN list_transform(pieces, lambda x: 0) ELSE [special] END ORDER BY pos)) AS special
+          FROM swaps GROUP BY doc_id)"""
+
+
+_SPLIT = "CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'validation' ELSE 'test' END"
+_LM_ARRAYS = """string_agg(shown, ',' ORDER BY pos) AS input_ids, string_agg(1, ',' ORDER BY pos) AS attention_mask,
+  string_agg(special, ',' ORDER BY pos) AS special_tokens_mask, string_agg(label, ',' ORDER BY pos) AS labels"""
+
 _TALK = f"""talk_l AS (SELECT conv_id || ':' || (turn // 2) AS pair_id, turn % 2 AS side, list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda w: w <> '') AS l FROM conversations),
 talk AS (SELECT pair_id, side, unnest(l) AS word, generate_subscripts(l, 1) AS p FROM talk_l),
 vocab AS ({top_words_sql('talk', VOCAB, first_id=str(TALK_FIRST))}),
@@ -203,17 +263,7 @@ FROM documents LEFT JOIN w USING (doc_id) LEFT JOIN pieces USING (word) GROUP BY
     "ratio_summary": f"WITH {_ADAPTED}, {_RATIO} SELECT count(*) AS texts, round(avg(source_ratio), 6) AS mean, round(min(source_ratio), 6) AS low, round(max(source_ratio), 6) AS high FROM ratios",
     "ratio_histogram": f"WITH {_ADAPTED}, {_RATIO} SELECT CAST(least(floor(source_ratio * 10), 9) AS INTEGER) AS bar, count(*) AS texts FROM ratios GROUP BY 1",
     "substitution_pieces": f"WITH {ADAPT_CTE}, {_PIECES} SELECT idx, is_source, array_to_string(pieces, ',') AS pieces FROM pieces",
-    "substitute_tokens": f"""WITH {_ADAPTED}, {_RATIO}, {_PIECES},
-turns AS (SELECT f.*, n_tokens, source_ratio,
-            row_number() OVER (PARTITION BY doc_id, f.is_source ORDER BY {order_sql(SEED, 'doc_id', 'pos')}, pos) AS turn
-          FROM flags f JOIN ratios USING (doc_id)),
-swaps AS (SELECT t.*, p.pieces, NOT t.is_source AND p.pieces IS NOT NULL
-            AND turn <= greatest(CAST(trunc(n_tokens * ({WANTED}::DOUBLE - source_ratio)) AS BIGINT), 0) AS swap
-          FROM turns t LEFT JOIN pieces p ON id = idx),
-lists AS (SELECT doc_id, count(*) FILTER (swap) AS n_swapped,
-            flatten(list(CASE WHEN swap THEN pieces ELSE [id] END ORDER BY pos)) AS ids,
-            flatten(list(CASE WHEN swap THEN list_transform(pieces, lambda x: 0) ELSE [special] END ORDER BY pos)) AS special
-          FROM swaps GROUP BY doc_id)
+    "substitute_tokens": f"""WITH {_ADAPTED}, {_RATIO}, {_PIECES}, {_swapped(f"{WANTED}::DOUBLE")}
 {_FIT}, n_swapped FROM (SELECT *, len(ids) AS n FROM lists)""",
     "pad_truncate": f"WITH {_ENCODED}, {_LISTS} {_FIT} FROM lists",
     "truncate_keep_last": f"""WITH {_ENCODED}, {_LISTS} SELECT doc_id,
@@ -231,6 +281,21 @@ FROM g WHERE place // {CHUNK} < total // {CHUNK} GROUP BY 1, 2""",
     "mask_tokens": f"""WITH {_ENCODED}, {_masked_cte('doc_id')}
 SELECT doc_id, string_agg(shown, ',' ORDER BY pos) AS input_ids, string_agg(label, ',' ORDER BY pos) AS labels FROM masked GROUP BY doc_id""",
     "unmask": f"WITH {_ENCODED} SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS input_ids FROM tok GROUP BY doc_id",
+    "substitution_job": f"""WITH {_ADAPTED}, {_RATIO}, {_PIECES}, {_swapped(f"CASE WHEN doc_id % 5 < 3 THEN {WANTED}::DOUBLE ELSE 0 END")}
+{_FIT}, n_swapped, {_SPLIT} AS split FROM (SELECT *, len(ids) AS n FROM lists) WHERE doc_id % 5 <> 4""",
+    "masked_lm_packed": f"""WITH {_ENCODED.replace('tok AS', 'words_tok AS')},
+r AS (SELECT doc_id, split, (row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1) // {BATCH} AS batch FROM (SELECT doc_id, {_SPLIT} AS split FROM documents)),
+g AS (SELECT split, batch, id, special, row_number() OVER (PARTITION BY split, batch ORDER BY doc_id, pos) - 1 AS place, count(*) OVER (PARTITION BY split, batch) AS total
+      FROM words_tok JOIN r USING (doc_id) WHERE split <> 'test'),
+c AS (SELECT split, batch * 2147483648 + place // {CHUNK} AS row_no, place % {CHUNK} AS pos, id, special FROM g WHERE place // {CHUNK} < total // {CHUNK}),
+tok AS (SELECT *, split || '/' || row_no AS of FROM c
+        QUALIFY split = 'train' OR dense_rank() OVER (PARTITION BY split ORDER BY row_no) <= {EVAL_ROWS}), {_masked_cte('of')}
+SELECT split, row_no, {_LM_ARRAYS} FROM masked GROUP BY split, row_no""",
+    "masked_lm_lines": f"""WITH {_ENCODED.replace('tok AS', 'words_tok AS')},
+tok AS (SELECT split, doc_id AS row_no, split || '/' || doc_id AS of, least(pos, {CHUNK - 1}) AS pos, id, special
+        FROM (SELECT w.*, n, {_SPLIT} AS split FROM words_tok w JOIN lens USING (doc_id) JOIN documents USING (doc_id) WHERE {ink_sql('text')})
+        WHERE split <> 'test' AND (pos < {CHUNK - 1} OR pos = n + 1)), {_masked_cte('of')}
+SELECT split, row_no, {_LM_ARRAYS} FROM masked GROUP BY split, row_no""",
     "split_separator": f"""WITH {_TALK}, {_masked_cte('pair_id')},
 m AS (SELECT pair_id, pos, CASE WHEN label <> -100 THEN label ELSE shown END AS id, shown FROM masked),
 cuts AS (SELECT pair_id, min(pos) AS cut FROM masked WHERE shown = 3 GROUP BY pair_id)

@@ -73,6 +73,6 @@ def round_up(size: Column, multiple: int) -> Column:
     return (F.ceil(size / F.lit(float(multiple))) * multiple).cast("int")
 
 
-def replacements(length: Column, share: Column, wanted: float) -> Column:
+def replacements(length: Column, share: Column, wanted: float | Column) -> Column:
     """How many tokens to replace to lift ``share`` to ``wanted``; truncated like Python's ``int``."""
-    return F.greatest((length * (F.lit(wanted) - share)).cast("int"), F.lit(0))
+    return F.greatest((length * ((wanted if isinstance(wanted, Column) else F.lit(wanted)) - share)).cast("int"), F.lit(0))

@@ -44,18 +44,21 @@ def share_histogram(shares: DataFrame, bars: int = 10) -> DataFrame:
     return shares.groupBy(bar.alias("bar")).agg(F.count("*").alias("texts"))
 
 
-def substitute_tokens(encoded: DataFrame, key: str, table: DataFrame, wanted: float, seed: int) -> DataFrame:
-    """Replace randomly drawn target tokens of each row so that the source share reaches ``wanted``.
+def substitute_tokens(
+    encoded: DataFrame, key: str, table: DataFrame, wanted: float | Column, seed: int, draw_by: str | Column | None = None
+) -> DataFrame:
+    """Replace randomly drawn target tokens of each row so that the source share reaches ``wanted``, which may differ by row.
 
     ``encoded`` is ``(key, input_ids, attention_mask, special_tokens_mask)`` and ``table`` is ``(idx, is_source,
-    pieces)``. Positions are drawn by a seeded order, so a retry replaces the same ones. All of it happens inside the
-    row, over arrays: the draws are sorted once, and what lies at or below the last draw taken is swapped.
+    pieces)``. Positions are drawn by a seeded order, so a retry replaces the same ones; they go by ``draw_by``, the
+    key if not given. All of it happens inside the row, over arrays: the draws are sorted once, and what lies at or below
+    the last draw taken is swapped.
     """
     columns = ["input_ids", "attention_mask", "special_tokens_mask"]
     found = _flagged(encoded.select(key, *columns), "input_ids", table.select("idx", "is_source"))
 
     def draw(source: Column, pos: Column) -> Column:
-        return F.when(~source, F.struct(order_key(seed, key, pos).alias("draw"), pos.alias("pos")))
+        return F.when(~source, F.struct(order_key(seed, key if draw_by is None else draw_by, pos).alias("draw"), pos.alias("pos")))
 
     def swapped(draws: Column) -> Column:
         turns = F.array_sort(F.filter(draws, lambda d: d.isNotNull()))
