@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.common import SEED, documents, table, uniform_sql
-from corpusloom.catalog.vocabularies import _long
+from corpusloom.catalog.vocabularies import in_long_form
 from corpusloom.functions.draws import uniform
 from corpusloom.functions.tokens import argmax
 from corpusloom.functions.vectors import normalise
@@ -71,12 +71,12 @@ def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
         F.when((F.col("vec_id") < 10) | (F.col("vec_id") % 3 == 0), 0).otherwise(1).alias("att"),
         F.col("embedding").alias("vec"),
     )
-    return _long(metrics.mean_pool(states, "row_id"), "row_id", "vec")
+    return in_long_form(metrics.mean_pool(states, "row_id"), "row_id", "vec")
 
 
 def normalised(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", normalise(F.col("embedding")).alias("vec"))
-    return _long(rows, "vec_id", "vec")
+    return in_long_form(rows, "vec_id", "vec")
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:

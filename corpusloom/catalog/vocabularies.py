@@ -113,7 +113,7 @@ def source_id_list(spark: SparkSession, folder: str) -> DataFrame:
     return v.source_ids(v.reassign_slots(merged(spark, folder)))
 
 
-def _long(df: DataFrame, key: str, vector: str = "embedding", digits: int = 6) -> DataFrame:
+def in_long_form(df: DataFrame, key: str, vector: str = "embedding", digits: int = 6) -> DataFrame:
     cells = df.select(key, F.posexplode(vector).alias("dim", "x"))
     return cells.select(key, "dim", (F.round(F.col("x").cast("double"), digits) + F.lit(0.0)).alias("x"))
 
@@ -127,7 +127,7 @@ def _embedded(spark: SparkSession, folder: str) -> DataFrame:
 def embedding_overlay(spark: SparkSession, folder: str) -> DataFrame:
     vocab = _embedded(spark, folder)
     doubled = vocab.withColumn("embedding", F.transform("embedding", lambda x: x * 2))
-    return _long(v.overlay(vocab.select("idx", "embedding"), doubled), "idx")
+    return in_long_form(v.overlay(vocab.select("idx", "embedding"), doubled), "idx")
 
 
 def piece_mean(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,11 +136,11 @@ def piece_mean(spark: SparkSession, folder: str) -> DataFrame:
     pieces = vocab.select(
         F.col("idx").alias("token"), F.array("idx", F.expr("idx div 2"), F.expr("idx div 3")).alias("pieces")
     )
-    return _long(v.piece_mean(pieces, vocab), "token")
+    return in_long_form(v.piece_mean(pieces, vocab), "token")
 
 
 def random_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return _long(v.with_random_vectors(_embedded(spark, folder), DIM, SEED), "idx", digits=4)
+    return in_long_form(v.with_random_vectors(_embedded(spark, folder), DIM, SEED), "idx", digits=4)
 
 
 QUERIES = {
@@ -186,7 +186,7 @@ slotted AS (
   SELECT token, CAST(CASE WHEN origin = 'target_lang' THEN coalesce(new_idx, idx) ELSE idx END AS INTEGER) AS idx, string, origin
   FROM merged LEFT JOIN moves USING (idx))"""
 
-ADAPT_CTE = f"""{VOCAB_CTE},
+ADAPT_STEPS = """
 kept AS (SELECT * FROM slotted WHERE token IN (SELECT token FROM learned)),
 missing AS (SELECT token, row_number() OVER (ORDER BY idx) AS r FROM learned WHERE token NOT IN (SELECT token FROM slotted)),
 size AS (SELECT count(*) AS n FROM learned),
@@ -199,14 +199,16 @@ last_free AS (SELECT i, row_number() OVER (ORDER BY i DESC) AS r FROM (SELECT un
               WHERE i NOT IN (SELECT idx FROM filled)),
 adapted AS (SELECT token, CAST(coalesce(i, idx) AS INTEGER) AS idx, origin
             FROM filled LEFT JOIN (SELECT idx, i FROM over_ids JOIN last_free USING (r)) USING (idx))"""
+ADAPT_CTE = f"{VOCAB_CTE}, {ADAPT_STEPS}"
 
 
-def learn_cte(merges: int = MERGES) -> str:
+def learn_cte(merges: int = MERGES, words: str = words_cte(), of: str = "w") -> str:
     """``w0 … wN`` (word, n, spelling) and ``t1 … tN`` (the merge of each round), one round after the other."""
     parts = [
-        words_cte(),
+        words,
         r"w0 AS MATERIALIZED (SELECT word, count(*) AS n, regexp_replace(word, '((?s:.))', '<\1>', 'g') AS s "
-        "FROM (SELECT replace(replace(word, '<', chr(4)), '>', chr(5)) AS word FROM w) GROUP BY word)",
+        "FROM (SELECT replace(replace(word, '<', chr(4)), '>', chr(5)) AS word "
+        f"FROM {of}) GROUP BY word)",
     ]
     for i in range(1, merges + 1):
         parts.append(f"""t{i} AS MATERIALIZED (
@@ -220,7 +222,18 @@ def learn_cte(merges: int = MERGES) -> str:
     return ", ".join(parts)
 
 
-def _readable(column: str) -> str:
+#: Fixed: the public byte-level split, without its lookahead.
+BYTE_LEVEL_SQL = r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+
+
+def byte_letters_sql(word: str) -> str:
+    """A list of one printable letter per byte."""
+    byte = f"CAST('0x' || substr(hex(encode({word})), CAST(2 * i - 1 AS BIGINT), 2) AS INTEGER)"
+    letter = "chr(CASE WHEN x < 33 THEN 256 + x WHEN x BETWEEN 127 AND 160 THEN 162 + x WHEN x = 173 THEN 323 ELSE x END)"
+    return f"list_transform(list_transform(range(1, strlen({word}) + 1), lambda i: {byte}), lambda x: {letter})"
+
+
+def readable(column: str) -> str:
     return f"replace(replace({column}, chr(4), '<'), chr(5), '>')"
 
 
@@ -228,10 +241,10 @@ ORACLES = {
     "word_vocab": f"WITH {words_cte()} {top_words_sql('w', TARGET_WORDS)}",
     "vocab_learn": f"WITH {learn_cte()} "
     + " UNION ALL ".join(
-        f"SELECT {i - 1} AS rank, {_readable('l')} AS left, {_readable('r')} AS right, CAST(c AS BIGINT) AS n FROM t{i}" for i in range(1, MERGES + 1)
+        f"SELECT {i - 1} AS rank, {readable('l')} AS left, {readable('r')} AS right, CAST(c AS BIGINT) AS n FROM t{i}" for i in range(1, MERGES + 1)
     ),
-    "byte_level_tokens": r"""WITH t AS (
-  SELECT unnest(regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS string FROM conversations)
+    "byte_level_tokens": f"""WITH t AS (
+  SELECT unnest(regexp_extract_all(text, '{BYTE_LEVEL_SQL}')) AS string FROM conversations)
 SELECT string, count(*) AS n FROM t GROUP BY string""",
     "token_surface": f"""WITH {words_cte()},
 b AS (SELECT word, list_transform(range(1, strlen(word) + 1), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i - 1 AS BIGINT), 2) AS INTEGER)) AS bytes

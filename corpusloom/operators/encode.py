@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from corpusloom.functions.text import words
+from corpusloom.functions.text import byte_level_words, words
 from corpusloom.functions.tokens import END, START, ones_like
 from corpusloom.operators.lookup import lookup_elements
 
@@ -129,6 +129,18 @@ def encode_with_merges(
     return texts.select(key, udf(words_column).alias("ids"))
 
 
+def encode_byte_level(
+    df: DataFrame, key: str, text: str, merges: Sequence[tuple], tokens: dict[str, int], specials: bool = True
+) -> DataFrame:
+    """Encode as byte-level tokenizers do: words with their leading blank, written as byte letters, under the merges.
+
+    ``(key, input_ids, attention_mask, special_tokens_mask)``, or ``(key, ids)`` without specials. A NULL text has no words.
+    """
+    letters = F.coalesce(byte_level_words(F.col(text)), F.array().cast("array<string>"))
+    rows = encode_with_merges(df, key, letters, merges, tokens)
+    return with_specials(rows) if specials else rows
+
+
 def substitutes(target: DataFrame, source: DataFrame) -> DataFrame:
     """``(idx, pieces)``: each target token spelled with source tokens.
 
