@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,18 @@ def read_merges(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Vocabulary and merges of one JSON document ``{"model": {"vocab": {…}, "merges": ["a b", …]}}``."""
+    """Vocabulary and merges of one JSON document ``{"model": {"vocab": {…}, "merges": […]}}``.
+
+    A merge is either a text of two tokens with a blank between, or an array of the two.
+    """
     model = F.from_json("value", "model struct<vocab: map<string,int>, merges: array<string>>")["model"]
     found = _whole(spark, path).select(model.alias("m"))
     vocab = found.select(F.explode("m.vocab").alias("token", "idx"))
     merges = found.select(F.posexplode("m.merges").alias("at", "merge")).collect()
-    return vocab, [tuple(row["merge"].split(" ", 1)) for row in sorted(merges)]
+    return vocab, [_merge(row["merge"]) for row in sorted(merges)]
+
+
+def _merge(written: str) -> tuple[str, str]:
+    # An array inside an array of strings is read as its JSON text.
+    sides = json.loads(written) if written.startswith('["') and written.endswith('"]') else written.split(" ", 1)
+    return sides[0], sides[1]
