@@ -219,8 +219,13 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     docs = docs.withColumn("_text", F.xxhash64(F.coalesce(text, F.lit(""))))
     prints = staged(fingerprints(docs, [key, "_text"], text), "prints")
     groups = staged(grouped(prints, key).select("fp", "root"), "groups")
+    return firsts(docs, prints.join(groups, "fp"), key)
+
+
+def firsts(docs: DataFrame, prints: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` (with ``_text``) that come first in their ``root``, of which ``prints`` has key and ``_text``."""
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias(key), F.col("_text").alias("_text"))
-    first = prints.join(groups, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    first = prints.groupBy("root").agg(F.min(order).alias("first"))
     first = staged(first.select(f"first.{key}", "first._text"), "first")
     same = (prints[key].eqNullSafe(first[key])) & (prints["_text"] == first["_text"])
     copies = prints.join(first, same, "left_semi").groupBy(key, "_text").count().where("count > 1")
