@@ -2,8 +2,10 @@
 
 A pass draws random hyperplanes and sorts all vectors by the bits of their sides, first plane first; close vectors share
 long beginnings and stand close together. Each is compared with the next WINDOW ones, exactly. The number of passes follows
-from the number of vectors, so that a pair right at the threshold is met in some pass with probability RECALL; closer
-pairs are met more surely. The links of all passes make components; inside a component, where a window may be too short
+from the number of vectors, as if they were spread evenly, so that a pair right at the threshold is met in some pass with
+probability RECALL; closer pairs are met more surely. Where vectors crowd, more of them share the first bits: each pass tells how
+many bits a vector needs to be alone with its window, and vectors whose passes do not add up to RECALL are compared with each
+other block against block. The links of all passes make components; inside a component, where a window may be too short
 for a dense group, all links are then counted block against block.
 """
 
@@ -29,6 +31,9 @@ SEED = 5
 #: Rows of a sorted partition, and of a block in which a component's links are counted.
 PARTITION = 16_384
 BLOCK = 512
+#: Rows of a block in which vectors in crowds are compared, and of the slices of it that are multiplied at once.
+CROWD_BLOCK = 4_096
+SLICE = 512
 
 
 def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
@@ -92,33 +97,88 @@ def sort_keys(rows: DataFrame, passes: int, seed: int) -> DataFrame:
     return rows.mapInArrow(per_batch, "pass int, dim int, sort_key bigint, id string, v binary")
 
 
+def bits_needed(keys: np.ndarray, window: int) -> np.ndarray:
+    """Of each place in ascending keys, the least number of first bits that at most ``window`` + 1 keys around it share.
+
+    Two keys that share so many bits stand within the window. BITS + 1 where even all bits are shared by more.
+    """
+    need, span = np.zeros(len(keys), np.int64), window + 1
+    if len(keys) <= span:
+        return need
+    differ = keys[:-span] ^ keys[span:]
+    shared = BITS + 1 - np.where(differ > 0, np.frexp(differ.astype(np.float64))[1], 0)
+    padded = np.concatenate([np.zeros(span, np.int64), shared, np.zeros(span, np.int64)])
+    return np.lib.stride_tricks.sliding_window_view(padded, span + 1).max(1)
+
+
+def spanned(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over places 0..n-1 that connect what the links connect."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    linked = np.flatnonzero(label != np.arange(n))
+    return linked, label[linked]
+
+
 def window_links(parts: Iterator[pa.RecordBatch], window: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Stars that span the verified links of a sorted stream; the last rows of a batch are kept for the next."""
+    """Stars that span the verified links of a sorted stream, and of each row (``b`` is null) the logarithm of the probability
+    that the pass does not meet it with a vector at the threshold.
+
+    The last rows of a batch are kept for the next. Rows at the ends of the stream, whose neighbours may be in another
+    partition, are given no probability: they count as not met.
+    """
+    agree, span = 1 - math.acos(threshold) / math.pi, window + 1
+    missed = np.maximum(np.log1p(-np.minimum(agree ** np.arange(BITS + 2.0), 1 - 1e-12)), -25.0)
+    missed[BITS + 1] = 0.0
     rest: pa.Table | None = None
     for part in parts:
         whole = pa.Table.from_batches([part])
         whole = pa.concat_tables([rest, whole]).combine_chunks() if rest is not None else whole
-        groups = np.char.add(whole["pass"].to_numpy().astype(str), whole["dim"].to_numpy().astype(str))
-        ids = whole["id"].to_pylist()
-        label = np.arange(len(ids))
-        edges = []
+        groups = np.char.add(np.char.add(whole["pass"].to_numpy().astype(str), "-"), whole["dim"].to_numpy().astype(str))
+        ids, keys = np.array(whole["id"].to_pylist(), object), whole["sort_key"].to_numpy()
+        edges, need = [], np.zeros(len(ids), np.int64)
         for cut in np.split(np.arange(len(ids)), np.flatnonzero(groups[1:] != groups[:-1]) + 1):
             x = unit(whole["v"].combine_chunks().take(pa.array(cut)))
+            need[cut] = bits_needed(keys[cut], window)
             for gap in range(1, min(window, len(cut) - 1) + 1):
                 near = np.flatnonzero(np.einsum("ij,ij->i", x[:-gap], x[gap:]) >= threshold)
                 edges.append(np.stack([cut[near], cut[near + gap]]))
         a, b = np.concatenate(edges, 1) if edges else np.zeros((2, 0), int)
-        while True:
-            low = label.copy()
-            np.minimum.at(low, a, label[b])
-            np.minimum.at(low, b, label[a])
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        linked = np.flatnonzero(label != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in linked], pa.string()), pa.array([ids[label[i]] for i in linked], pa.string())], names=["a", "b"])
-        rest = whole.slice(max(0, len(ids) - window))
+        a, b = spanned(a, b, len(ids))
+        sure = np.arange(span, max(span, len(ids) - span))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*ids[a], *ids[sure]], pa.string()), pa.array([*ids[b], *[None] * len(sure)], pa.string()),
+             pa.array(np.concatenate([np.zeros(len(a)), missed[need[sure]]]))], names=["a", "b", "missed"])
+        rest = whole.slice(max(0, len(ids) - 2 * span))
+
+
+def crowd_links(crowd: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: stars that span all links among the rows of the staged ``crowd`` (``id, dim, v``), compared block against block."""
+    blocks = max(1, math.ceil(crowd.count() / CROWD_BLOCK))
+    rows = crowd.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def per_pair(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["block", "id"], ignore_index=True)
+        x, block, alone = unit(pa.array(rows["v"], pa.binary())), rows["block"].to_numpy(), rows["low"].iloc[0] == rows["high"].iloc[0]
+        split = 0 if alone else int(np.searchsorted(block, block[-1]))
+        edges = [np.zeros((2, 0), int)]
+        for start in range(0, len(x) if alone else split, SLICE):
+            end = min(start + SLICE, len(x) if alone else split)
+            near = np.argwhere(x[start:end] @ x[split:].T >= threshold).T + np.array([[start], [split]])
+            edges.append(np.stack(spanned(near[0], near[1], len(x))))
+        a, b = spanned(*np.concatenate(edges, 1), len(x))
+        ids = rows["id"].to_numpy()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    return met.select("dim", "low", "high", "block", "id", "v").groupBy("dim", "low", "high").applyInPandas(per_pair, "a string, b string")
 
 
 def counted(members: DataFrame, threshold: float) -> DataFrame:
@@ -168,7 +228,10 @@ def near_duplicates(
     packed = as_bytes(distinct, "id", "dim")
     parts = max(1, math.ceil(rows * passes / PARTITION))
     ordered = sort_keys(packed, passes, seed).repartitionByRange(parts, "pass", "dim", "sort_key", "id").sortWithinPartitions("pass", "dim", "sort_key", "id")
-    stars = ordered.mapInArrow(lambda batches: window_links(batches, window, threshold), "a string, b string")
+    found = staged(ordered.mapInArrow(lambda batches: window_links(batches, window, threshold), "a string, b string, missed double"), "found")
+    met = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("missed").alias("missed")).where(F.col("missed") <= math.log(1 - recall))
+    crowd = staged(packed.join(met, "id", "left_anti"), "crowd")
+    stars = found.where("b is not null").select("a", "b").unionByName(crowd_links(crowd, threshold))
     roots = staged(components(stars), "roots")
     linked = as_bytes(distinct.join(roots, distinct["id"] == roots["node"]), "root", "id", "n")
     links = staged(counted(linked, threshold), "links")
