@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from corpusloom.llm import chat, decontaminate, hmm, language, mixture, quality, shards, simhash, vectors, warc
+from pyspark.sql import functions as F
+
+from corpusloom.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    hmm,
+    language,
+    mixture,
+    negatives,
+    quality,
+    shards,
+    simhash,
+    vectors,
+    warc,
+    whitening,
+)
 from corpusloom.llm.common import remainder
 
 
@@ -72,15 +87,36 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first four whitened components of each vector."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens of each document, and the text that they decode to."""
+    import public_tokenizers
+
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the label of every seventh is moved on by one first."""
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language, op2_quality, op3_chat, op4_mix, op5_vectors, op6_hmm, op7_decontaminate, op8_warc, op9_simhash, op10_shards
+        op1_language, op2_quality, op3_chat, op4_mix, op5_vectors, op6_hmm, op7_decontaminate, op8_warc, op9_simhash, op10_shards,
+        op11_whitening, op12_bpe, op13_negatives,
     )
-}
+}
 ORACLES = {
     "op3_chat": chat.oracle(),
     "op7_decontaminate": decontaminate.oracle(),
     "op8_warc": warc.oracle(),
     "op10_shards": shards.oracle(),
+    "op13_negatives": negatives.oracle(),
 }
