@@ -27,6 +27,14 @@ def ascii_lower(text: str) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores behind it as no column of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a staged table of narrow rows is small enough to broadcast."""
     return table.count() <= rows

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, matched, small
+from corpusloom.llm.common import ascii_lower, matched, small, unused
 from corpusloom.sources.stage import staged
 
 SIZE = 10
@@ -110,9 +110,10 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("do
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a hit. Rows are told apart by key and text, so repeated rows go or stay together."""
-    marked = docs.withColumn("_text", F.xxhash64(F.coalesce(text, F.lit(""))))
-    dirty = hits(marked.withColumn("text", F.col(text)), items, [key, "_text"]).where("n_hit > 0").select(key, "_text").distinct()
-    return matched(marked, staged(dirty, "dirty"), [key, "_text"], "left_anti").drop("_text")
+    mark = unused("_text", docs)
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
+    dirty = hits(marked.withColumn("text", F.col(text)), items, [key, mark]).where("n_hit > 0").select(key, mark).distinct()
+    return matched(marked, staged(dirty, "dirty"), [key, mark], "left_anti").drop(mark)
 
 
 def oracle() -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import pieces
+from corpusloom.llm.common import pieces, unused
 
 DIMENSIONS = 4_096
 #: Rows per language that the machines are fitted on, chosen by a hash of row and text.
@@ -239,5 +239,6 @@ def accepted(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
     Those without letters go, and those with a margin that is smaller than almost all labelled texts of about the length
     have: a text in a language that was not learned, or in none. With a single language learned no lettered text goes.
     """
-    rows = predicted(docs, fit(docs, learn, text, lang, lost=lost), text, "_lang", "_score", "_above")
-    return rows.where((F.col("_lang") != UNKNOWN) & (F.col("_above") >= 0)).withColumn(lang, F.col("_lang")).select(*docs.columns)
+    pred, score, above = (unused(name, docs) for name in ("_lang", "_score", "_above"))
+    rows = predicted(docs, fit(docs, learn, text, lang, lost=lost), text, pred, score, above)
+    return rows.where((F.col(pred) != UNKNOWN) & (F.col(above) >= 0)).withColumn(lang, F.col(pred)).select(*docs.columns)

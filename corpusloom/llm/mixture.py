@@ -1,9 +1,9 @@
 """Mix sources to target weights by blocks of words, in DataFrame operations only.
 
-The words of a source, its documents one after the other, are cut into blocks of fixed length. The output is a row of slots,
-one block each. For every output shard the number of slots per source is drawn; the slots of a source are numbered through
-all shards and walk through its blocks in a pseudorandom order, pass after pass, so no block comes again before all others
-have come as often.
+The words of a source, its documents one after the other, are cut into blocks of fixed length. The output is a table of slots,
+one block each. A source has as many slots as its target needs, and each draws its output shard: so the counts of the sources in
+a shard are random, and multinomial over the shards. The slots of a source walk through its blocks in a pseudorandom order, pass
+after pass, so no block comes again before all others have come as often.
 """
 
 from __future__ import annotations
@@ -11,14 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import unused
 from corpusloom.sources.stage import staged
 
 BLOCK = 128
-#: Slots of an output shard: 8 million words.
+#: Slots of an output shard on average: 8 million words.
 SHARD = 65_536
 ROUNDS = 6
 REPEATS = 3
 CELL = 4_096
+#: Slots that a task makes at once.
+CHUNK = 16_384
 #: Fixed: words are what lies between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
@@ -86,45 +89,29 @@ def placed(rows: DataFrame, key: list[str]) -> DataFrame:
     return ordered.join(offsets, same).withColumn("start", F.col("offset") + F.col("within")).drop("hash", "cell", "within", "offset", "s", "c")
 
 
-def draws(plan: DataFrame) -> DataFrame:
-    """``rank, shard, slots, first``: how many slots of a shard a source gets, and the number of the first of them.
-
-    A source needs as many slots as its target holds blocks of its mean length. The slots of a shard are independent
-    draws from the sources' shares, one from each of as many equal strata of the unit interval; so counts are random and
-    of multinomial expectation, but stay within two of it. A draw is only looked at where a stratum lies across a border,
-    the others are counted.
-    """
+def needs(plan: DataFrame) -> DataFrame:
+    """The sources with ``need``, the slots that hold their target in blocks of their mean length, and the number of ``shards``."""
     need = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0))
-    every = Window.partitionBy(F.lit(0))
-    upto = every.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = plan.withColumn("need", need)
-    rows = rows.withColumns({"total": F.round(F.sum("need").over(every)).cast("bigint"), "whole": F.sum("need").over(every), "high": F.sum("need").over(upto)})
-    rows = rows.where("total > 0").withColumn("low", F.col("high") - F.col("need"))
-    rows = rows.withColumn("shard", F.explode(F.expr(f"sequence(0L, (total - 1) div {SHARD}L)")))
-    rows = rows.withColumn("length", F.least(F.lit(SHARD).cast("bigint"), F.col("total") - F.col("shard") * SHARD))
-
-    def below(border: str) -> Column:
-        edge = F.least(F.col(border) / F.col("whole"), F.lit(1.0)) * F.col("length")
-        stratum = F.floor(edge)
-        drawn = (number(SEED, F.col("shard"), stratum) % 1_000_003) / 1_000_003.0
-        return stratum + F.when(drawn < edge - stratum, 1).otherwise(0)
-
-    rows = rows.withColumn("slots", below("high") - below("low"))
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("rank", "blocks", "shard", "slots", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("first"))
+    rows = plan.withColumn("need", F.round(need).cast("bigint"))
+    shards = F.ceil(F.sum("need").over(Window.partitionBy(F.lit(0))) / SHARD)
+    return rows.withColumn("shards", shards).where("need > 0")
 
 
 def slots(plan: DataFrame) -> DataFrame:
     """``rank, shard, slot, block, lap``: every slot of the output, and the block that it holds.
 
-    A source that stops at three times its size gets no fourth pass: a slot drawn beyond that stays empty.
+    Every slot of a source draws the output shard that it goes to, all shards alike; so the counts of a source over the shards
+    are multinomial, while its total is what its target needs. Slots are made in runs of CHUNK, each by the task that it hashes
+    to. A source that stops at three times its size gets no fourth pass: a slot beyond that stays empty.
     """
-    rows = draws(plan).where("slots > 0")
-    rows = rows.withColumn("slot", F.explode(F.expr("sequence(0L, slots - 1)"))).withColumn("i", F.col("first") + F.col("slot"))
-    rows = rows.withColumn("lap", F.expr("i div blocks")).where(f"lap < {REPEATS}")
-    return rows.withColumn("block", shuffled(F.expr("i % blocks"), F.col("blocks"), SEED, F.col("rank"), F.col("lap"))).select(
-        "rank", "shard", "slot", "block", "lap"
-    )
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = needs(plan).select("rank", "blocks", "need", "shards", F.explode(F.expr(f"sequence(0L, (need - 1) div {CHUNK}L)")).alias("run"))
+    rows = rows.repartition(tasks, "rank", "run")
+    within = F.explode(F.expr(f"sequence(run * {CHUNK}L, least(need, (run + 1) * {CHUNK}L) - 1)"))
+    rows = rows.withColumn("slot", within).withColumn("lap", F.expr("slot div blocks")).where(f"lap < {REPEATS}")
+    shard = number(SEED, "shard", F.col("rank"), F.col("slot")) % F.col("shards")
+    block = shuffled(F.expr("slot % blocks"), F.col("blocks"), SEED, F.col("rank"), F.col("lap"))
+    return rows.select("rank", shard.alias("shard"), "slot", block.alias("block"), "lap")
 
 
 def mixed(docs: DataFrame, keep: list[str], source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -170,17 +157,19 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     A pass that takes all blocks of a document gives its text as it is, from its first word. Rows that agree in key and
     text are cut as one. ``chars`` is counted anew where the table has it; all other columns stay.
     """
-    docs = docs.withColumn("_text", F.xxhash64(F.coalesce(text, F.lit(""))))
-    place, chosen = mixed(docs, [key, "_text"], source, text)
+    mark, cuts_of, words_of = (unused(name, docs) for name in ("_text", "_cuts", "_words"))
+    columns, docs = docs.columns, docs.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
+    narrow = docs.select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.col(source).alias("source"), F.col(text).alias("text"))
+    place, chosen = mixed(narrow, ["key", "mark"])
     cuts = parts(place).join(chosen.select("rank", "block", "lap"), ["rank", "block"])
-    cuts = cuts.groupBy(key, "_text", "rank", "start", "lap").agg(F.array_sort(F.collect_list(F.struct("from", "words"))).alias("_cuts"))
-    cuts = cuts.select(F.col(key).alias("_key"), F.col("_text").alias("_same"), "_cuts")
-    single = docs if docs.groupBy(key, "_text").count().where("count > 1").isEmpty() else docs.dropDuplicates([key, "_text"])
-    rows = single.join(cuts, single[key].eqNullSafe(cuts["_key"]) & (single["_text"] == cuts["_same"]))
+    cuts = cuts.groupBy("key", "mark", "rank", "start", "lap").agg(F.array_sort(F.collect_list(F.struct("from", "words"))).alias(cuts_of))
+    single = docs if docs.groupBy(key, mark).count().where("count > 1").isEmpty() else docs.dropDuplicates([key, mark])
+    rows = single.join(cuts, single[key].eqNullSafe(cuts["key"]) & (single[mark] == cuts["mark"]))
+    rows = rows.select(*[single[c] for c in single.columns], cuts_of)
     tokens = F.regexp_extract_all(F.col(text), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
-    rows = rows.withColumn("_words", tokens)
-    cut = F.transform("_cuts", lambda c: F.array_join(F.slice("_words", (c["from"] + 1).cast("int"), c["words"].cast("int")), ""))
+    rows = rows.withColumn(words_of, tokens)
+    cut = F.transform(cuts_of, lambda c: F.array_join(F.slice(words_of, (c["from"] + 1).cast("int"), c["words"].cast("int")), ""))
     rows = rows.withColumn(text, F.array_join(cut, ""))
     if chars in docs.columns:
         rows = rows.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
-    return rows.select(*[c for c in docs.columns if c != "_text"])
+    return rows.select(*columns)

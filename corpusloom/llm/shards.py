@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import unused
 from corpusloom.sources.stage import staged
 
 BITS = 60
@@ -49,42 +50,43 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     the names of new ones are replaced. The directory of the first round has at most 2^15 cells and is broadcast; the rows
     never move. Deeper rounds join on the cell, which a hash spreads evenly.
     """
-    wide = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"), "_hash": hash_bits(key, text)})
-    narrow = staged(wide.select("_hash", "n_bytes"), "sizes")
+    bits, own, at = (unused(name, docs) for name in ("_hash", "_cell", "_at"))
+    wide = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"), bits: hash_bits(key, text)})
+    narrow = staged(wide.select(F.col(bits).alias("_hash"), "n_bytes"), "sizes")
     rows, sizes, parts = wide.drop("shard", "depth", "shard_bytes", "shard_docs"), narrow, []
     for done in range(0, BITS, STEP):
-        cell = F.expr(f"shiftright(_hash, {BITS - done - STEP})").alias("cell")
+        cell = F.expr(f"shiftright(_hash, {BITS - done - STEP})")
         cells = staged(
-            sizes.groupBy(cell).agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_docs")), "cells"
+            sizes.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_docs")), "cells"
         )
         found = staged(directory(cells, limit, done), "directory")
         found = F.broadcast(found) if done == 0 else found
-        placed = rows.withColumn("cell", cell)
+        placed = rows.withColumn(own, F.expr(f"shiftright(`{bits}`, {BITS - done - STEP})"))
         shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(
-            F.expr(f"lpad(bin(shiftright(_hash, {BITS} - depth)), depth, '0')")
+            F.expr(f"lpad(bin(shiftright(`{bits}`, {BITS} - depth)), depth, '0')")
         )
-        parts.append(placed.join(found, "cell").withColumn("shard", shard).drop("cell", "_hash"))
+        parts.append(placed.join(found.withColumnRenamed("cell", own), own).withColumn("shard", shard).drop(own, bits))
         left = cells.join(found, "cell", "left_anti").select("cell")
         if left.isEmpty():
             break
         left = staged(left, "oversized")
         left = F.broadcast(left) if done == 0 else left
-        rows = placed.join(left, "cell", "left_semi").drop("cell")
+        rows = placed.join(left.withColumnRenamed("cell", own), own, "left_semi").drop(own)
         sizes = staged(sizes.withColumn("cell", cell).join(left, "cell", "left_semi").drop("cell"), "sizes")
     else:
         fit = F.greatest(F.floor(F.lit(limit) / F.col("n_bytes")), F.lit(1))
-        order = Window.partitionBy("_hash").orderBy("_hash")
-        numbered = rows.withColumn("_at", F.floor((F.row_number().over(order) - 1) / fit))
-        total = Window.partitionBy("_hash", "_at")
+        order = Window.partitionBy(bits).orderBy(bits)
+        numbered = rows.withColumn(at, F.floor((F.row_number().over(order) - 1) / fit))
+        total = Window.partitionBy(bits, at)
         parts.append(
             numbered.withColumns(
                 {
-                    "shard": F.concat_ws("-", F.lpad(F.bin("_hash"), BITS, "0"), F.col("_at").cast("string")),
+                    "shard": F.concat_ws("-", F.lpad(F.bin(bits), BITS, "0"), F.col(at).cast("string")),
                     "depth": F.lit(BITS),
                     "shard_bytes": F.sum("n_bytes").over(total),
                     "shard_docs": F.count(F.lit(1)).over(total),
                 }
-            ).drop("_at", "_hash")
+            ).drop(at, bits)
         )
     whole = parts[0]
     for part in parts[1:]:

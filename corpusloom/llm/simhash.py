@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import matched
+from corpusloom.llm.common import matched, unused
 from corpusloom.llm.graph import components
 from corpusloom.sources.stage import staged
 
@@ -216,22 +216,19 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Exactly one row of a group stays, also where rows repeat as a whole or keys are null (they come last).
     """
-    docs = docs.withColumn("_text", F.xxhash64(F.coalesce(text, F.lit(""))))
-    prints = staged(fingerprints(docs, [key, "_text"], text), "prints")
-    groups = staged(grouped(prints, key).select("fp", "root"), "groups")
-    return firsts(docs, prints.join(groups, "fp"), key)
-
-
-def firsts(docs: DataFrame, prints: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` (with ``_text``) that come first in their ``root``, of which ``prints`` has key and ``_text``."""
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias(key), F.col("_text").alias("_text"))
-    first = prints.groupBy("root").agg(F.min(order).alias("first"))
-    first = staged(first.select(f"first.{key}", "first._text"), "first")
-    same = (prints[key].eqNullSafe(first[key])) & (prints["_text"] == first["_text"])
-    copies = prints.join(first, same, "left_semi").groupBy(key, "_text").count().where("count > 1")
-    copies = staged(copies.drop("count"), "copies")
-    kept = matched(docs, first, [key, "_text"], "left_semi")
+    mark = unused("_text", docs)
+    docs = docs.withColumn(mark, F.xxhash64(F.coalesce(text, F.lit(""))))
+    narrow = docs.select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.col(text).alias("text"))
+    prints = staged(fingerprints(narrow, ["key", "mark"], "text"), "prints")
+    prints = prints.join(staged(grouped(prints, "key").select("fp", "root"), "groups"), "fp")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
+    first = staged(prints.groupBy("root").agg(F.min(order).alias("first")).select("first.key", "first.mark"), "first")
+    same = (prints["key"].eqNullSafe(first["key"])) & (prints["mark"] == first["mark"])
+    copies = prints.join(first, same, "left_semi").groupBy("key", "mark").count().where("count > 1")
+    named = {"key": key, "mark": mark}
+    first, copies = first.withColumnsRenamed(named), staged(copies.drop("count"), "copies").withColumnsRenamed(named)
+    kept = matched(docs, first, [key, mark], "left_semi")
     if copies.isEmpty():
-        return kept.drop("_text")
-    once = matched(kept, copies, [key, "_text"], "left_semi").dropDuplicates([key, "_text"])
-    return matched(kept, copies, [key, "_text"], "left_anti").unionByName(once).drop("_text")
+        return kept.drop(mark)
+    once = matched(kept, copies, [key, mark], "left_semi").dropDuplicates([key, mark])
+    return matched(kept, copies, [key, mark], "left_anti").unionByName(once).drop(mark)
