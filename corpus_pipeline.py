@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, language, mixture, overlap, shards
+from corpusloom.llm import decontaminate, language, mixture, shards, simhash
 from corpusloom.llm.common import remainder
 from corpusloom.sources.stage import staged
 
@@ -15,8 +15,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five words in a row have a Jaccard similarity of at least 0.8."""
-    return overlap.one_per_group(docs)
+    """One document of each group whose fingerprints (three words in a row) differ in two bits at most."""
+    return simhash.one_per_group(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
