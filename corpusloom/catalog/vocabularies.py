@@ -12,7 +12,9 @@ from corpusloom.operators import vocab as v
 from corpusloom.plans import adaptation
 from corpusloom.sources.stage import staged
 
-SOURCE_WORDS, TARGET_WORDS, LEARNED_WORDS, MERGES = 1500, 2000, 2500, 100
+SOURCE_WORDS, TARGET_WORDS, LEARNED_WORDS, MERGES = 1500, 2000, 2500, 300
+#: Merges of the learning queries: as many as SQL learns in a minute, and a whole vocabulary.
+LEARNED_MERGES, WHOLE_MERGES = 500, 2_000
 DIM = 64
 
 
@@ -52,10 +54,18 @@ def word_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return v.word_vocab(v.word_counts(documents(spark, folder, walk=True)), TARGET_WORDS)
 
 
-def vocab_learn(spark: SparkSession, folder: str) -> DataFrame:
+def _learned(spark: SparkSession, folder: str, merges: int) -> DataFrame:
     counts = v.word_counts(documents(spark, folder, walk=True))
-    merges, _ = learn.learn_merges(counts, MERGES)
-    return learn.merge_table(spark, merges)
+    return learn.merge_table(spark, learn.learn_merges(counts, merges)[0])
+
+
+def vocab_learn(spark: SparkSession, folder: str) -> DataFrame:
+    return _learned(spark, folder, LEARNED_MERGES)
+
+
+def vocab_learn_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Two thousand merges, beyond what SQL can learn; tests hold them against one at a time."""
+    return _learned(spark, folder, WHOLE_MERGES)
 
 
 def byte_level_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,6 +156,7 @@ def random_vectors(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "word_vocab": word_vocab,
     "vocab_learn": vocab_learn,
+    "vocab_learn_whole": vocab_learn_whole,
     "byte_level_tokens": byte_level_tokens,
     "token_surface": token_surface,
     "vocab_merge": vocab_merge,
@@ -239,9 +250,9 @@ def readable(column: str) -> str:
 
 ORACLES = {
     "word_vocab": f"WITH {words_cte()} {top_words_sql('w', TARGET_WORDS)}",
-    "vocab_learn": f"WITH {learn_cte()} "
+    "vocab_learn": f"WITH {learn_cte(LEARNED_MERGES)} "
     + " UNION ALL ".join(
-        f"SELECT {i - 1} AS rank, {readable('l')} AS left, {readable('r')} AS right, CAST(c AS BIGINT) AS n FROM t{i}" for i in range(1, MERGES + 1)
+        f"SELECT {i - 1} AS rank, {readable('l')} AS left, {readable('r')} AS right, CAST(c AS BIGINT) AS n FROM t{i}" for i in range(1, LEARNED_MERGES + 1)
     ),
     "byte_level_tokens": f"""WITH t AS (
   SELECT unnest(regexp_extract_all(text, '{BYTE_LEVEL_SQL}')) AS string FROM conversations)

@@ -1,23 +1,32 @@
-"""Learn subword merges from word counts."""
+"""Learn subword merges from word counts.
+
+Merges must be learned one after the other, but a Spark job for each would be thousands of jobs. So the driver proposes many at
+once, from the exact counts of the most frequent pairs and from what each merge changes in a bounded sample of the heaviest
+words; one job then applies them to all words, in order, and tells what each changed. The driver replays these exact changes and
+takes the proposals for as long as each was the best pair of all words at its turn; from the first that was not, it proposes
+anew. Wrong proposals cost time only: the merges are those that the textbook learns one at a time.
+"""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
-from functools import reduce
-from operator import or_
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from corpusloom.sources.stage import staged
 
-# A spelling writes each symbol between an opening and a closing mark, so a merge is one native string replacement.
-# Marks inside words, and the escape itself, are spelled as the escape and a letter.
-_OPEN, _SHUT, _ESCAPE = "\x02", "\x03", "\x04"
-_ESCAPED = {_ESCAPE: f"{_ESCAPE}C", _OPEN: f"{_ESCAPE}A", _SHUT: f"{_ESCAPE}B"}
-_SYMBOL = f"{_OPEN}[^{_SHUT}]*+{_SHUT}"
+#: The most frequent pairs whose counts the driver holds after counting them all, and the heaviest words that it proposes from.
+KNOWN = 20_000
+SAMPLE = 20_000
+#: Merges proposed at once: at least, at most.
+LEAST, MOST = 96, 1_024
+#: Merges that a job may apply again before the words are written with them.
+STAGE_EVERY = 512
 
 MERGES = StructType(
     [
@@ -28,169 +37,271 @@ MERGES = StructType(
     ]
 )
 
-
-def spell(word: Column) -> Column:
-    """One symbol per character."""
-    for mark, written in _ESCAPED.items():
-        word = F.replace(word, F.lit(mark), F.lit(written))
-    return F.regexp_replace(word, rf"({_ESCAPE}[ABC]|[\s\S])", f"{_OPEN}$1{_SHUT}")
-
-
-def symbols(spelling: Column) -> Column:
-    """The symbols of a spelling, as they stand in the word."""
-    inner = F.substr(spelling, F.lit(2), F.length(spelling) - 2)
-    return F.transform(F.split(inner, _SHUT + _OPEN), _plain)
-
-
-def _plain(symbol: Column) -> Column:
-    for mark, written in reversed(_ESCAPED.items()):
-        symbol = F.replace(symbol, F.lit(written), F.lit(mark))
-    return symbol
+Pair = tuple[str, str]
 
 
-def _written(symbol: str) -> str:
-    for mark, written in _ESCAPED.items():
-        symbol = symbol.replace(mark, written)
-    return symbol
+def pair_counts(spelled: DataFrame) -> DataFrame:
+    """Adjacent symbol pairs ``(left, right, n)`` of ``(n, pieces)``, weighted by word count, combined before the shuffle."""
+    next_one = lambda x, i: F.struct(x.alias("left"), F.get("pieces", i + 1).alias("right"))
+    pairs = F.transform(F.slice("pieces", F.lit(1), F.greatest(F.size("pieces") - 1, F.lit(0))), next_one)
+    found = spelled.select("n", F.explode(pairs).alias("pair"))
+    return found.groupBy("pair.left", "pair.right").agg(F.sum("n").alias("n"))
+
+
+def joined(pieces: Sequence[str], left: str, right: str) -> list[str]:
+    """The pieces with the pair merged, from left to right."""
+    out, at, last = [], 0, len(pieces) - 1
+    while at <= last:
+        if at < last and pieces[at] == left and pieces[at + 1] == right:
+            out.append(left + right)
+            at += 2
+        else:
+            out.append(pieces[at])
+            at += 1
+    return out
 
 
-def _counted(found: DataFrame) -> DataFrame:
-    """Total weight of every element of ``(n, parts)``, combined before the shuffle."""
-    return found.select("n", F.explode("parts").alias("part")).groupBy("part").agg(F.sum("n").alias("n"))
+def steps_of(pieces: Sequence[str], ranks: dict[Pair, int], after: int = -1) -> Iterator[tuple[int, Sequence[str], list[str]]]:
+    """The merges that touch a word, in the order of their ranks: each with the pieces before and after it.
 
+    A merge has its turn once. What it makes may be a pair of an earlier turn, if a symbol can come about in two ways; that pair
+    stays.
+    """
+    rank_of = ranks.get
+    while True:
+        pair, turn = None, -1
+        for p in zip(pieces, pieces[1:], strict=False):
+            rank = rank_of(p, -1)
+            if after < rank and (pair is None or rank < turn):
+                pair, turn = p, rank
+        if pair is None:
+            return
+        merged = joined(pieces, *pair)
+        yield turn, pieces, merged
+        pieces, after = merged, turn
 
-def _pair(left: str, right: str) -> Column:
-    return F.lit(f"{_OPEN}{_written(left)}{_SHUT}{_OPEN}{_written(right)}{_SHUT}")
 
+def changed(before: Sequence[str], after: Sequence[str]) -> Counter:
+    """What a merge adds to the pairs of a word, and takes."""
+    delta = Counter(zip(after, after[1:], strict=False))
+    delta.subtract(zip(before, before[1:], strict=False))
+    return delta
 
-def merge(spelling: Column, left: str, right: str) -> Column:
-    return F.replace(spelling, _pair(left, right), F.lit(f"{_OPEN}{_written(left + right)}{_SHUT}"))
 
+def applied(spelled: DataFrame, merges: Sequence[tuple]) -> DataFrame:
+    """The words with merges applied, each in its turn."""
+    turns = _turns(merges)
 
-def pair_counts(spelled: DataFrame) -> DataFrame:
-    """Adjacent symbol pairs ``(left, right, n)`` of ``(spelling, n)``, weighted by word count.
+    def per_batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            words = [_applied(pieces, turns) for pieces in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.list_(pa.string()))], names=["n", "pieces"])
 
-    The lookahead matches at every symbol and captures it together with the next one.
-    """
-    pairs = F.regexp_extract_all("spelling", F.lit(f"(?=({_SYMBOL}{_SYMBOL}))"), F.lit(1))
-    sides = symbols(F.col("part"))
-    return _counted(spelled.select("n", pairs.alias("parts"))).select(
-        sides[0].alias("left"), sides[1].alias("right"), "n"
-    )
+    return spelled.select("n", "pieces").mapInArrow(per_batch, "n bigint, pieces array<string>")
 
 
-def _merged(spelling: Column, batch: Sequence[tuple]) -> Column:
-    for left, right, _ in batch:
-        spelling = merge(spelling, left, right)
-    return spelling
+def _turns(merges: Sequence[tuple]) -> list[dict[Pair, int]]:
+    """Ranks by pair; a pair that comes again, as it can where symbols come about in two ways, begins a new table."""
+    tables: list[dict[Pair, int]] = [{}]
+    for rank, merge in enumerate(merges):
+        if (merge[0], merge[1]) in tables[-1]:
+            tables.append({})
+        tables[-1][merge[0], merge[1]] = rank
+    return tables
 
 
-def _changes(spelled: DataFrame, batch: Sequence[tuple]) -> dict[tuple[str, str], int]:
-    """What the merges of a batch add to and take from the pair counts: pairs after less pairs before, over the words
-    that hold one of them."""
-    touched = spelled.where(reduce(or_, [F.contains("spelling", _pair(left, right)) for left, right, _ in batch]))
-    sides = F.array(
-        F.struct(F.col("spelling"), (-F.col("n")).alias("n")), F.struct(_merged(F.col("spelling"), batch).alias("spelling"), "n")
-    )
-    changed = pair_counts(touched.select(F.explode(sides).alias("side")).select("side.*")).where("n <> 0")
-    return {(row["left"], row["right"]): row["n"] for row in changed.collect()}
+def _applied(pieces: Sequence[str], turns: list[dict[Pair, int]]) -> list[str]:
+    for ranks in turns:
+        for _, _, pieces in steps_of(pieces, ranks):
+            pass
+    return list(pieces)
 
 
-class _Ranking:
-    """The best pairs, exact although only some are known.
+def changes(spelled: DataFrame, done: Sequence[tuple], batch: Sequence[Pair], known: set[Pair]) -> list[dict[Pair, int]]:
+    """What each merge of the batch changes in the pair counts of all words, after the merges ``done``.
 
-    ``load`` takes the ``KNOWN`` most frequent pairs. A merge can only lower the count of an old pair, so a pair outside
-    stays at or below the last loaded count, the floor, and the best known pair is the best of all while it is above.
+    Only pairs with a symbol that the batch makes and ``known`` pairs are told. Per task the changes are summed first.
     """
-
-    KNOWN = 10_000
-
-    def __init__(self, spelled: DataFrame):
-        self.load(spelled)
-
-    def load(self, spelled: DataFrame) -> None:
-        top = pair_counts(spelled).orderBy(F.desc("n"), "left", "right").limit(self.KNOWN).collect()
-        self.counts = {(row["left"], row["right"]): row["n"] for row in top}
-        self.floor = top[-1]["n"] if len(top) == self.KNOWN else 0
-        self.fresh = True
-
-    def batch(self, most: int, made: set[str]) -> list[tuple[str, str, int]]:
-        """The next merges, as many as are certain to follow each other whatever the first of them do; none when the
-        counts must be loaded again (or, right after loading, when no pair is left).
-
-        Pairs that share no symbol leave each other's counts alone. A merge of (a, b) brings forth pairs (x, ab) and
-        (ab, y), none more frequent than (x, a) or (b, y) was. So the next pair in order follows for certain as long as
-        it is above all of those, shares no symbol with the batch, and makes a symbol that is new.
+    turns, ranks = _turns(done), {pair: i for i, pair in enumerate(batch)}
+    made = {left + right for left, right in batch}
+
+    def per_task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str, str], int] = defaultdict(int)
+        for part in parts:
+            for n, pieces in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for step, before, after in steps_of(_applied(pieces, turns), ranks):
+                    for row, weight in ((after, n), (before, -n)):
+                        for left, right in zip(row, row[1:], strict=False):
+                            if left in made or right in made or (left, right) in known:
+                                sums[step, left, right] += weight
+        columns = list(zip(*sums, strict=True)) or [()] * 3
+        kinds = (pa.int32(), pa.string(), pa.string())
+        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(sums.values(), pa.int64())], names=["step", "left", "right", "d"])
+
+    rows = spelled.select("n", "pieces").mapInArrow(per_task, "step int, left string, right string, d bigint")
+    # As many rows as pairs stand beside what the batch makes: bounded by its length and the symbols there are.
+    table = rows.groupBy("step", "left", "right").agg(F.sum("d").alias("d")).where("d <> 0").toArrow()
+    found: list[dict[Pair, int]] = [{} for _ in batch]
+    for step, left, right, d in zip(*(table.column(c).to_pylist() for c in ("step", "left", "right", "d")), strict=True):
+        found[step][left, right] = d
+    return found
+
+
+class _Best:
+    """Pair counts with the greatest at hand; ties go by ``left``, then ``right``."""
+
+    def __init__(self, counts: dict[Pair, float]):
+        self.counts = dict(counts)
+        self.heap = [(-n, pair) for pair, n in counts.items()]
+        heapq.heapify(self.heap)
+
+    def top(self) -> tuple[Pair, float] | None:
+        while self.heap:
+            n, pair = self.heap[0]
+            if self.counts.get(pair) == -n:
+                return pair, -n
+            heapq.heappop(self.heap)
+        return None
+
+    def put(self, pair: Pair, n: float) -> None:
+        if n > 0:
+            self.counts[pair] = n
+            heapq.heappush(self.heap, (-n, pair))
+        else:
+            self.counts.pop(pair, None)
+
+
+class _Sample:
+    """The heaviest words, as the merges so far spell them, and where each pair was last seen (or more places)."""
+
+    def __init__(self, words: list[tuple[int, list[str]]]):
+        self.weights = [n for n, _ in words]
+        self.words = [pieces for _, pieces in words]
+        self.places: dict[Pair, list[int]] = defaultdict(list)
+        for at, pieces in enumerate(self.words):
+            for pair in set(zip(pieces, pieces[1:], strict=False)):
+                self.places[pair].append(at)
+
+    def merge(self, pair: Pair, words: dict[int, list[str]], places: dict[Pair, list[int]]) -> tuple[Counter, int]:
+        """Merge a pair in the words, on top of ``words`` and ``places``: the change of all pairs, and the pair's own count."""
+        delta: Counter = Counter()
+        total = 0
+        for at in dict.fromkeys([*self.places.get(pair, ()), *places.get(pair, ())]):
+            before = words.get(at) or self.words[at]
+            after = joined(before, *pair)
+            if len(after) == len(before):
+                continue
+            words[at] = after
+            for p, d in changed(before, after).items():
+                if d:
+                    delta[p] += d * self.weights[at]
+                    if d > 0:
+                        places[p].append(at)
+            total += self.weights[at] * (len(before) - len(after))
+        return delta, total
+
+    def take(self, pair: Pair) -> None:
+        words: dict[int, list[str]] = {}
+        places: dict[Pair, list[int]] = defaultdict(list)
+        self.merge(pair, words, places)
+        for at, pieces in words.items():
+            self.words[at] = pieces
+        for p, at in places.items():
+            self.places[p] += at
+
+    def proposed(self, counts: dict[Pair, int], most: int, floor: int, told: dict[Pair, dict[Pair, int]]) -> list[Pair]:
+        """The merges that would follow if all words changed as the sample does, in proportion to each pair's count.
+
+        What a merge changed in all words when it was last proposed is ``told``, and a better guess.
         """
-        order = heapq.nsmallest(most, self.counts.items(), key=lambda item: (-item[1], item[0]))
-        chosen: list[tuple[str, str, int]] = []
-        used: set[str] = set()
-        ceiling = 0
-        for (left, right), n in order:
-            if n <= 0 or (n <= self.floor and not (self.fresh and not chosen)):
-                break
-            if chosen and (n <= ceiling or left in used or right in used or left + right in made):
+        best, batch, words = _Best(counts), [], {}
+        places: dict[Pair, list[int]] = defaultdict(list)
+        while len(batch) < most:
+            top = best.top()
+            if top is None or (top[1] <= floor and batch) or top[0] in batch[-MOST:]:
                 break
-            chosen.append((left, right, n))
-            if left + right in made:
-                break
-            made.add(left + right)
-            used |= {left, right, left + right}
-            # Pairs at the floor or below were not loaded.
-            before = max((c for (_, y), c in self.counts.items() if y == left), default=0)
-            after = max((c for (x, _), c in self.counts.items() if x == right), default=0)
-            ceiling = max(ceiling, min(n, max(before, after, self.floor)))
-        return chosen
-
-    def apply(self, changes: dict[tuple[str, str], int], made: set[str]) -> None:
-        self.fresh = False
-        for pair, n in changes.items():
-            if pair in self.counts or made & set(pair):
-                self.counts[pair] = self.counts.get(pair, 0) + n
+            pair, n = top
+            batch.append(pair)
+            delta, own = self.merge(pair, words, places)
+            share = n / own if own else 0.0
+            if pair in told:
+                delta, share = told[pair], 1.0
+            for p, d in delta.items():
+                if p != pair and (p in best.counts or d > 0):
+                    best.put(p, best.counts.get(p, 0) + d * share)
+            best.put(pair, 0)
+        return batch
 
 
 def learn_merges(
-    counts: DataFrame, n_merges: int, min_count: int = 1, stage_every: int = 24, at_once: int = 64
+    counts: DataFrame,
+    n_merges: int,
+    min_count: int = 1,
+    stage_every: int = STAGE_EVERY,
+    at_once: int = MOST,
+    known: int = KNOWN,
+    sample: int = SAMPLE,
 ) -> tuple[list[tuple[str, str, int]], DataFrame]:
-    """The first ``n_merges`` byte-pair merges over ``(word, n)``, and the words as they are spelled afterwards.
+    """The first ``n_merges`` byte-pair merges ``(left, right, n)`` over ``(word, n)``, and the words ``(n, pieces)`` after them.
+
+    The result is that of learning one merge at a time, the most frequent pair first (ties go by ``left``, then ``right``).
 
-    The result is that of learning one merge at a time, the most frequent pair first (ties go by ``left``, then
-    ``right``). All pairs are counted once; from then on a job takes as many merges as are certain to follow each other
-    (at most ``at_once``), over the distinct words that hold one of them, and only counts that change reach the driver.
-    The words are staged every ``stage_every`` merges or somewhat more.
+    A pair comes about when the later of its symbols does, and only loses from then on. So of the pairs that were not among the
+    ``known`` most frequent when all were counted, and of new ones that came about with no more than the last of those, none can
+    rise above it: as long as the best known pair is above, it is the best of all. When it no longer is, or when a symbol comes
+    about in a second way, all pairs are counted again. A job reads each distinct word once for up to ``at_once`` merges.
     """
-    spelled = staged(counts.select("n", spell(F.col("word")).alias("spelling")), "spellings").persist()
-    held = spelled
-    ranking = _Ranking(spelled)
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    spelled = staged(counts.repartition(tasks, F.xxhash64("word")).select(F.col("n").cast("bigint").alias("n"), letters.alias("pieces")), "spellings")
+    heaviest = spelled.orderBy(F.desc(F.col("n") * F.size("pieces")), "pieces").limit(sample).collect()
+    words = _Sample([(r.n, list(r.pieces)) for r in heaviest])
     merges: list[tuple[str, str, int]] = []
-    symbols_made: set[str] = set()
-    pending = 0
+    pending: list[tuple[str, str, int]] = []
+    symbols: set[str] = set()
+    exact: _Best | None = None
+    floor, size = 0, LEAST
+    told: dict[Pair, dict[Pair, int]] = {}
     while len(merges) < n_merges:
-        known = set(symbols_made)
-        batch = ranking.batch(min(at_once, n_merges - len(merges)), symbols_made)
-        if not batch and not ranking.fresh:
-            ranking.load(spelled)
-            batch = ranking.batch(min(at_once, n_merges - len(merges)), symbols_made)
-        batch = [merge for merge in batch if merge[2] >= min_count]
-        if not batch:
+        fresh = exact is None
+        if fresh:
+            if pending:
+                spelled, pending = staged(applied(spelled, pending), "spellings"), []
+            top = pair_counts(spelled).orderBy(F.desc("n"), "left", "right").limit(known).collect()
+            exact = _Best({(r.left, r.right): r.n for r in top})
+            floor = top[-1].n if len(top) == known else 0
+        batch = words.proposed(exact.counts, min(size, at_once, n_merges - len(merges)), floor, told)
+        found = changes(spelled, pending, batch, set(exact.counts)) if batch else []
+        taken, again = 0, False
+        for pair, delta in zip(batch, found, strict=True):
+            best = exact.top()
+            # Right after counting, the first of all pairs is known, even if others are as frequent as the last one known.
+            sure = best is not None and (best[1] > floor or (fresh and not taken))
+            if not sure or best[0] != pair or best[1] < min_count:
+                break
+            merges.append((*pair, best[1]))
+            words.take(pair)
+            taken += 1
+            for p, d in delta.items():
+                if p in exact.counts or d > floor:
+                    exact.put(p, exact.counts.get(p, 0) + d)
+            again = "".join(pair) in symbols
+            symbols.add("".join(pair))
+            if again:
+                break
+        pending += merges[len(merges) - taken :]
+        told |= dict(zip(batch[taken:], found[taken:], strict=True))
+        if fresh and not taken:
             break
-        merges += batch
-        pending += len(batch)
-        made = {left + right for left, right, _ in batch}
-        again = bool(made & known)
-        changes = {} if again or len(merges) >= n_merges else _changes(spelled, batch)
-        spelled = spelled.withColumn("spelling", _merged(F.col("spelling"), batch))
-        if pending >= stage_every:
-            spelled = staged(spelled, "spellings").persist()
-            held.unpersist()
-            held, pending = spelled, 0
-        if again:
-            # The symbol exists already, so some of its pairs may have counts that were never loaded.
-            ranking.load(spelled)
-        else:
-            ranking.apply(changes, made)
-    held.unpersist()
-    return merges, spelled
+        best = exact.top()
+        if again or not taken or best is None or best[1] <= floor:
+            exact = None
+        elif len(pending) >= stage_every:
+            spelled, pending = staged(applied(spelled, pending), "spellings"), []
+        told = {pair: delta for pair, delta in told.items() if pair in batch}
+        size = max(LEAST, 2 * taken)
+    return merges, applied(spelled, pending) if pending else spelled
 
 
 def merge_table(spark: SparkSession, merges: list[tuple[str, str, int]]) -> DataFrame:

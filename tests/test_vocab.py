@@ -74,17 +74,16 @@ def joined(s, a, b):
     return out
 
 
-WORDS = [("aaaa", 3), ("aaa", 5), ("abab", 4), ("ababa", 2), ("banana", 6), ("abcabc", 3), ("bcabc", 2), ("é日é日", 4), ("x", 9)]
+WORDS = [("a\U0001f600a\U0001f600", 7), ("aaaa", 3), ("aaa", 5), ("abab", 4), ("ababa", 2), ("banana", 6), ("abcabc", 3), ("bcabc", 2), ("é日é日", 4), ("x", 9)]
 
 
-@pytest.mark.parametrize("known", [10_000, 3, 1])
-def test_merges_are_the_textbook_ones(spark, monkeypatch, known):
-    monkeypatch.setattr(learn._Ranking, "KNOWN", known)
+@pytest.mark.parametrize(("known", "sample"), [(10_000, 100), (10_000, 2), (3, 100), (1, 1)])
+def test_merges_are_the_textbook_ones(spark, known, sample):
     counts = spark.createDataFrame(WORDS, "word string, n long")
-    merges, spelled = learn.learn_merges(counts, 20, stage_every=4)
+    merges, spelled = learn.learn_merges(counts, 20, stage_every=4, known=known, sample=sample)
     want, words = merges_one_by_one(WORDS, 20)
     assert merges == want
-    got = sorted((r.s, r.n) for r in spelled.select(learn.symbols(F.col("spelling")).alias("s"), "n").collect())
+    got = sorted((r.s, r.n) for r in spelled.select(F.col("pieces").alias("s"), "n").collect())
     assert got == sorted(words)
 
 
@@ -93,8 +92,39 @@ def test_batched_merges_are_those_of_one_at_a_time(spark, at_once):
     rng = random.Random(5)
     words = {"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 9))): rng.randrange(1, 400) for _ in range(150)}
     counts = spark.createDataFrame(list(words.items()), "word string, n long")
-    merges, _ = learn.learn_merges(counts, 40, at_once=at_once)
-    assert merges == merges_one_by_one(list(words.items()), 40)[0]
+    for sample in (1_000, 12):
+        merges, _ = learn.learn_merges(counts, 40, at_once=at_once, sample=sample)
+        assert merges == merges_one_by_one(list(words.items()), 40)[0]
+
+
+@pytest.mark.parametrize("sample", [20_000, 400])
+def test_two_thousand_merges_of_real_words(spark, sample):
+    """A whole vocabulary: as many merges as the words have, up to two thousand, with few known pairs and a small sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.word, r.n) for r in v.word_counts(docs).where("length(word) < 12").collect())[::4]
+    merges, spelled = learn.learn_merges(spark.createDataFrame(rows, "word string, n long"), 2_000, known=3_000, sample=sample)
+    want, left = merges_quickly(rows, 2_000)
+    assert merges == want and len(merges) == 2_000
+    assert sorted((r.pieces, r.n) for r in spelled.collect()) == sorted(left)
+
+
+def merges_quickly(counts, n):
+    """One merge at a time, with the pair counts of touched words kept up to date."""
+    words, merges, pairs = [(list(w), c) for w, c in counts], [], collections.Counter()
+    for s, c in words:
+        for pair in zip(s, s[1:], strict=False):
+            pairs[pair] += c
+    while len(merges) < n:
+        (a, b), c = min(((p, k) for p, k in pairs.items() if k > 0), key=lambda e: (-e[1], e[0]))
+        merges.append((a, b, c))
+        for i, (s, k) in enumerate(words):
+            if a in s and b in s and (a, b) in zip(s, s[1:], strict=False):
+                for pair in zip(s, s[1:], strict=False):
+                    pairs[pair] -= k
+                words[i] = (joined(s, a, b), k)
+                for pair in zip(words[i][0], words[i][0][1:], strict=False):
+                    pairs[pair] += k
+    return merges, words
 
 
 def test_marks_inside_words_are_letters_like_others(spark):
@@ -103,7 +133,7 @@ def test_marks_inside_words_are_letters_like_others(spark):
     merges, spelled = learn.learn_merges(counts, 10)
     want, left = merges_one_by_one(words, 10)
     assert merges == want
-    assert sorted((r.s, r.n) for r in spelled.select(learn.symbols(F.col("spelling")).alias("s"), "n").collect()) == sorted(left)
+    assert sorted((r.s, r.n) for r in spelled.select(F.col("pieces").alias("s"), "n").collect()) == sorted(left)
 
 
 def test_encoding_follows_the_merges(spark):
@@ -112,7 +142,7 @@ def test_encoding_follows_the_merges(spark):
     tokens = {r.token: r.idx for r in learn.learned_tokens(counts, merges).collect()}
     texts = spark.createDataFrame([(1, ["aaaa", "banana", "é日é日"]), (2, []), (3, ["abab?"])], "id long, words array<string>")
     pieces = {r.id: r.p for r in texts.select("id", encode.segment_words(F.col("words"), merges).alias("p")).collect()}
-    spellings = {"".join(r.s): r.s for r in spelled.select(learn.symbols(F.col("spelling")).alias("s")).collect()}
+    spellings = {"".join(r.s): r.s for r in spelled.select(F.col("pieces").alias("s")).collect()}
     assert pieces[1] == [p for w in ("aaaa", "banana", "é日é日") for p in spellings[w]] and pieces[2] == []
     ids = {r.id: r.ids for r in encode.encode_with_merges(texts, "id", F.col("words"), merges, tokens).collect()}
     assert ids[1] == [tokens[p] for p in pieces[1]] and ids[3][-1] == encode.UNKNOWN
