@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +128,38 @@ def doc_methods(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.methods_with_docs(_files(documents(spark, folder, walk=True)))
 
 
+#: A Java source of many shapes, «doc» and «id» being a document's; and its methods, in order, with whether they have the doc.
+_LOCAL = "void local() { return; }"
+_ANNOTATED = '@X(y = @Z(1)) @W({"{", "("}) public void annotated«id»() {\n  class L { «doc» ' + _LOCAL + " }\n}"
+_CONSTANT = "int constant() { return '}'; }"
+_RUN = '@Override public void run() { go("}"); /* } */ }'
+_BLOCK = 'String block() {\n  return """\n    void none() { "quoted" }\n    """;\n}'
+_PLAIN = "abstract <K, V extends C<K>> Map<K, List<V>> plain«id»(@N(1) int a) throws E;"
+_LAMBDA = "static Runnable later(int a) { return () -> { if (a > 0) { new Thread() { «doc» " + _RUN + " }.start(); } }; }"
+JAVA_SHAPES = (
+    "import a.b;\npublic class C<T extends B<T>> {\n  C() { super(); }\n  static { init(); }\n  «doc»\n  " + _ANNOTATED
+    + "\n  int[] v = {1, 2};\n  enum E { A { «doc» " + _CONSTANT + " }, B(2); E(int... x) { } }\n  Runnable r = new Runnable() { " + _RUN
+    + " };\n  @interface I { int value() default 3; String[] names() default {}; }\n  // plain\n  " + _BLOCK + "\n  «doc»\n  " + _PLAIN
+    + "\n  record R(int x) { R { check(x); } }\n  " + _LAMBDA + "\n}\n"
+)
+SHAPE_METHODS = (
+    (_ANNOTATED, True), (_LOCAL, True), (_CONSTANT, True), (_RUN, False), (_BLOCK, True), (_PLAIN, True), (_LAMBDA, False), (_RUN, True)
+)
+
+
+def _filled(template: str, doc: F.Column) -> F.Column:
+    parts = re.split("«(doc|id)»", template)
+    values = {"doc": doc, "id": F.col("doc_id").cast("string")}
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def doc_method_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Methods of sources with members at every depth: the whole document is the doc comment of most."""
+    rows = code_rows(documents(spark, folder, walk=True))
+    files = rows.select(_repo().alias("repo"), F.col("doc_id").alias("file_no"), _filled(JAVA_SHAPES, F.col("doc")).alias("code"))
+    return pairs.methods_with_docs(files).fillna("none", ["doc"])
+
+
 def doc_function_pairs(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, walk=True)
     profile, languages = train_profile(docs)
@@ -152,6 +186,7 @@ QUERIES = {
     "language_id": language_id,
     "language_accuracy": language_accuracy,
     "doc_methods": doc_methods,
+    "doc_method_shapes": doc_method_shapes,
     "doc_function_pairs": doc_function_pairs,
     "repository_selection": repository_selection,
 }
@@ -208,6 +243,14 @@ _LINES = f"""{CODE_CTE},
 elements AS (SELECT doc_id, 'owner/' || source AS repo, trim(regexp_extract(trim(line), '^[^@]*')) AS summary, trim(line) AS doc_text, method FROM code_rows),
 lines AS (SELECT * FROM elements)"""
 
+
+
+def _filled_sql(template: str) -> str:
+    parts = re.split("«(doc|id)»", template)
+    quoted = lambda p: " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in p.split("\n"))
+    return " || ".join({"doc": "doc", "id": "doc_id"}[p] if i % 2 else quoted(p) for i, p in enumerate(parts))
+
+
 ORACLES = {
     "keyword_combos": f"""WITH l AS (SELECT string_split_regex(text, '[ \\t\\n\\r\\f]+') AS l FROM benchmark),
 w AS (SELECT word FROM (SELECT unnest(l) AS word FROM l) WHERE word <> ''), k AS ({top_words_sql('w', KEYWORDS, first_id='0')})
@@ -229,6 +272,12 @@ SELECT repo, branch, file_no, path, 'blob/' || path AS url FROM files UNION ALL
 SELECT lang, count(*) AS texts, round(avg(CASE WHEN detected = lang THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy
 FROM documents LEFT JOIN detected_documents USING (doc_id) WHERE {uniform_sql(HALF, 'doc_id')} >= 0.5 GROUP BY lang""",
     "doc_methods": f"WITH {CODE_CTE} SELECT 'owner/' || source AS repo, doc_id AS file_no, 0 AS method_no, doc, method AS code FROM code_rows",
+    "doc_method_shapes": f"WITH {CODE_CTE} "
+    + " UNION ALL ".join(
+        f"SELECT 'owner/' || source AS repo, doc_id AS file_no, {n} AS method_no, {'doc' if has_doc else chr(39) + 'none' + chr(39)} AS doc, "
+        f"{_filled_sql(method)} AS code FROM code_rows"
+        for n, (method, has_doc) in enumerate(SHAPE_METHODS)
+    ),
     "doc_function_pairs": f"""WITH {_LINES}, {_PROFILE}, {_grams('summary', 'elements')}, {_detected('elements', 'doc_id')}
 SELECT repo, doc_id AS file_no, 0 AS method_no, summary AS docstring_summary,
   array_to_string(regexp_extract_all(summary, '[\\p{{L}}\\p{{N}}_]+'), ' ') AS docstring_tokens, {strip_sql('method')} AS function

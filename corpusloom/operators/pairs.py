@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,136 +9,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import comment_kind, comments, strip_comments
+from corpusloom.operators import java
 
-# Words that may stand before a constructor's name, where a method has its type.
-_MODIFIERS = frozenset(
-    "public protected private static final abstract native synchronized default strictfp new return throw else".split()
-)
-_MARK = re.compile(r"""'(?:\\.|[^\\'\n])*'|"(?:\\.|[^\\"\n])*"|//[^\n]*|/\*.*?\*/|[{}();]""", re.S)
-_ANNOTATION = re.compile(r"@(?!interface\b)[\w.]+(?:\s*\([^()]*\))?")
-_TYPE_WORD = re.compile(r"\b(?:class|interface|enum|record)\b")
-_METHOD_HEAD = re.compile(r"([\w$.>\]]+)\s+([\w$]+)\s*\(")
-
-
-def _is_method(head: str) -> bool:
-    plain = _ANNOTATION.sub(" ", head)
-    found = _METHOD_HEAD.search(plain)
-    return bool(found) and found[1] not in _MODIFIERS and "=" not in plain[: found.end()]
-
-
-def _is_doc(comment: str) -> bool:
-    return comment.startswith("/**") and len(comment) > 4
-
-
-class _Members:
-    """One walk over a source: which spans are methods, and which doc comment stands next to each."""
-
-    def __init__(self, source: str):
-        self.source = source
-        self.found: list[list] = []  # [doc before, doc after, start, end]
-        self.open: list[str] = []  # what each open brace belongs to
-        self.start = None  # where the current member begins
-        self.head = ""  # its text so far, without comments
-        self.before = None  # the comment just before it
-        self.just_closed = None  # a method that nothing but blanks has followed yet
-        self.parens = 0
-
-    def at_member_level(self) -> bool:
-        return not self.open or self.open[-1] == "type"
-
-    def text(self, begin: int, end: int) -> None:
-        piece = self.source[begin:end]
-        if self.at_member_level() and piece.strip():
-            if self.start is None:
-                self.start = begin + len(piece) - len(piece.lstrip())
-            self.just_closed = None
-            self.head += piece
-
-    def comment(self, text: str) -> None:
-        if not self.at_member_level():
-            return
-        if self.just_closed is not None and _is_doc(text):
-            self.just_closed[1] = text
-        self.just_closed = None
-        if self.start is None:
-            self.before = text
-
-    def forget(self) -> None:
-        self.start, self.head, self.before, self.parens = None, "", None, 0
-
-    def method(self, end: int) -> None:
-        doc = self.before if self.before and _is_doc(self.before) else None
-        self.found.append([doc, None, self.start, end])
-        self.forget()
-        self.just_closed = self.found[-1]
-
-    def brace(self) -> None:
-        if not self.at_member_level():
-            self.open.append("code")
-        elif self.parens > 0 or "=" in _ANNOTATION.sub(" ", self.head):
-            self.open.append("value")
-        elif _TYPE_WORD.search(_ANNOTATION.sub(" ", self.head)) and not _is_method(self.head):
-            self.open.append("type")
-            self.forget()
-            self.just_closed = None
-        else:
-            self.open.append("method" if self.start is not None and _is_method(self.head) else "block")
-
-    def close(self, end: int) -> None:
-        kind = self.open.pop() if self.open else "block"
-        if kind == "method":
-            self.method(end)
-        elif kind != "value" and self.at_member_level():
-            self.forget()
-            self.just_closed = None
-
-    def semicolon(self, end: int) -> None:
-        if self.at_member_level() and self.parens == 0:
-            if self.start is not None and _is_method(self.head):
-                self.method(end)
-            else:
-                self.forget()
-                self.just_closed = None
-
-    def walk(self) -> list[tuple[str | None, str]]:
-        at = 0
-        for mark in _MARK.finditer(self.source):
-            self.text(at, mark.start())
-            at, sign = mark.end(), mark[0]
-            if sign[:2] in ("//", "/*"):
-                self.comment(sign)
-            elif sign == "{":
-                self.brace()
-            elif sign == "}":
-                self.close(at)
-            elif sign == ";":
-                self.semicolon(at)
-            elif self.at_member_level():
-                self.parens += {"(": 1, ")": -1}.get(sign, 0)
-                self.head += sign if sign in "()" else '""'
-        return [(before or after, self.source[start:end]) for before, after, start, end in self.found]
+#: Methods of an output batch, in bytes of their text.
+BATCH_BYTES = 32 << 20
 
 
 def methods_with_docs(files: DataFrame, code: str = "code") -> DataFrame:
     """``(…, method_no, doc, code)``: every method of every Java file with the doc comment before it, else after it.
 
-    Nested braces cannot be matched by a regular expression, so each file is walked once in an Arrow batch.
+    Nested brackets cannot be matched by a regular expression, so each file is walked once in an Arrow batch. What is found is
+    handed on in batches of bounded size, however many methods a file has. A null source has no methods.
     """
     keep = [c for c in files.columns if c != code]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != code]
 
+    def batch_of(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        rows, *columns = zip(*found, strict=True) if found else [()] * 4
+        kinds = (pa.int32(), pa.string(), pa.string())
+        kept = batch.select(keep).take(pa.array(rows, pa.int64()))
+        made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*keep, "method_no", "doc", "code"])
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, numbers, docs, codes = [], [], [], []
-            for row, source in enumerate(batch.column(code).to_pylist()):
-                for number, (doc, method) in enumerate(_Members(source or "").walk()):
-                    rows.append(row)
-                    numbers.append(number)
-                    docs.append(doc)
-                    codes.append(method)
-            kept = batch.select(keep).take(pa.array(rows, pa.int64()))
-            found = [pa.array(numbers, pa.int32()), pa.array(docs, pa.string()), pa.array(codes, pa.string())]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *found], names=[*keep, "method_no", "doc", "code"])
+            found, size = [], 0
+            for row, cell in enumerate(batch.column(code)):
+                source = cell.as_py() or ""
+                for number, m in enumerate(java.methods(source)):
+                    doc = next((c for c in (m.before, m.after) if c and java.is_doc(c)), None)
+                    found.append((row, number, doc, source[m.start : m.end]))
+                    size += m.end - m.start + len(doc or "")
+                    if size > BATCH_BYTES:
+                        yield batch_of(batch, found)
+                        found, size = [], 0
+            yield batch_of(batch, found)
 
     return files.mapInArrow(walk, ", ".join([*fields, "method_no int", "doc string", "code string"]))
 

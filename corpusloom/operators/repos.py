@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Votes that decide, undocumented methods in a row that end the reading, least stars.
 VOTES, STREAK, MIN_STARS = 5, 500, 2
 
+MOST_KEYWORDS = 1_000
+
 NO_DOC, MATCH, OTHER, ERROR = "nodoc", "match", "other", "err"
 
 
 def keyword_queries(keywords: DataFrame, size: int = 3) -> DataFrame:
     """All combinations of ``size`` keywords of ``(pos, word)`` as search strings, in list order.
 
-    The keyword list is a search parameter. It becomes one array, and each step explodes what follows the last word, so
-    there is no self-join.
+    The keyword list is a search parameter, and its size is checked. A combination is found from its number alone: in the order of
+    their places, so many begin with each keyword, so many of those go on with each later one. So the numbers are a range that
+    any number of tasks share, and no task makes more than its own.
     """
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda e: e["word"])
-    combos = keywords.agg(listed.alias("rest")).select(F.array().cast("array<string>").alias("picked"), "rest")
-    for _ in range(size):
-        combos = combos.select("picked", "rest", F.posexplode("rest").alias("at", "word")).select(
-            F.concat("picked", F.array("word")).alias("picked"),
-            F.slice(F.col("rest"), F.col("at") + 2, F.size("rest")).alias("rest"),
-        )
-    return combos.select(F.array_join("picked", " ").alias("query"))
+    spark = keywords.sparkSession
+    listed = [r.word for r in keywords.orderBy("pos").limit(MOST_KEYWORDS + 1).collect()]
+    if len(listed) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
+    n = len(listed)
+    left, start = F.col("id"), F.lit(0)
+    found = spark.range(math.comb(n, size))
+    word = F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")
+    for place in range(size):
+        # How many combinations of what is left to pick begin before each keyword.
+        before = [0, *accumulate(math.comb(n - 1 - x, size - 1 - place) for x in range(n))]
+        counts = F.array(*(F.lit(c).cast("bigint") for c in before))
+        goal = left + F.get(counts, start)
+        at = F.size(F.filter(counts, _up_to(goal))) - 1
+        # Of keywords that no combination begins with, the last would be found.
+        at = F.least(at, F.lit(n - size + place))
+        found = found.withColumn(f"at{place}", at).withColumn("id", goal - F.get(counts, F.col(f"at{place}")))
+        left, start = F.col("id"), F.col(f"at{place}") + 1
+    picked = [F.get(word, F.col(f"at{place}")) for place in range(size)]
+    return found.select(F.concat_ws(" ", *picked).alias("query"))
+
+
+def _up_to(goal: Column):
+    return lambda count: count <= goal
 
 
 def hit_names(hits: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import pairs, repos
+from corpusloom.operators import java, pairs, repos
 
 
 def read_in_order(events, votes, streak):
@@ -115,7 +115,8 @@ public class A<T> extends B {
 def test_methods_with_their_docs(spark):
     df = spark.createDataFrame([("r", 1, JAVA), ("r", 2, None), ("r", 3, "int x = ; } } {"), ("r", 4, "")], "repo string, file_no int, code string")
     rows = sorted(pairs.methods_with_docs(df).collect(), key=lambda r: (r.file_no, r.method_no))
-    assert [(r.file_no, r.method_no) for r in rows] == [(1, n) for n in range(6)]
+    assert [(r.file_no, r.method_no) for r in rows] == [(1, n) for n in range(7)]
+    assert rows.pop(1).code == "public void run() { }"
     names = [r.code.split("(")[-2 if "Warnings" in r.code else 0] for r in rows]
     assert [r.doc and " ".join(r.doc.split())[:12] for r in rows] == ["/** Adds. {@", None, "/** after */", "/** Inner. *", None, "/** Top. */"]
     assert rows[0].code.startswith("@Override") and rows[0].code.endswith("return null;\n  }")
@@ -131,3 +132,49 @@ def test_doc_parts(spark):
     assert rows[1].docstring_tokens == ["One", "two", "Three"]
     got = pairs.language_pairs(pairs.doc_elements(df).withColumn("lang", F.when(F.col("id") == 0, "de")), "lang", "de").collect()
     assert [r.function for r in got] == ["f() {   }"]
+
+
+SHAPES = {
+    # source: (start of the method, doc) of each method, in order
+    "class A { /** d */ @X(y = @Z(1)) void f() { } }": [("@X(y", "/** d */")],
+    "enum E { A { /** d */ void g() { } }, B(1) { void h() { } }, C; E(int... x) { } int z() { return 1; } }": [
+        ("void g", "/** d */"), ("void h", None), ("int z", None),
+    ],
+    "class A { void f() { class L { /** d */ void l() { } } new L(); } }": [("void f", None), ("void l", "/** d */")],
+    "class A { Foo x = go(new Foo<A>(1) { /** d */ void m() { } }), y = new Foo() { void n() { } }; }": [("void m", "/** d */"), ("void n", None)],
+    "@interface I { int v() default 3; String[] w() default {\"a\"}; class K { void k() { } } }": [("void k", None)],
+    'class A { String s = """\n void no() { "x" }\n \\""" void no() { }"""; void f() { } }': [("void f", None)],
+    "class A { <T> A(T t) { } A() { this(1); } static { } { } int[] v = {1}, w[] = {{2}}; <T> T f(T t) { return t; } }": [("<T> T f", None)],
+    "record R<T>(T a, int b) { R { check(a); } static int s() { return 1; } } class C { record P(int x) { int p() { return x; } } }": [
+        ("static int s", None), ("int p", None),
+    ],
+    "sealed interface S permits Q { /** d */ void s(); default int t() { return 1; } } non-sealed class Q implements S { public void s() { } }": [
+        ("void s", "/** d */"), ("default int t", None), ("public void s", None),
+    ],
+    "class A { Runnable r = () -> { go(); }; void f() { x(() -> { }); Class<?> c = A.class; if (a) { } switch (b) { case 1 -> { } } } void g(); }": [
+        ("void f", None), ("void g", None),
+    ],
+    "class A { int f()[] { return new int[]{1, 2}; } /** after */ }": [("int f", "/** after */")],
+    "class A { void f() { } // no\n /** late */ int x; /** g */ native long g(); /* block */ }": [("void f", None), ("native", "/** g */")],
+    "} ) ; class A { void f( { } void g() { }": [],
+}
+
+
+@pytest.mark.parametrize("source", SHAPES)
+def test_method_shapes(source):
+    found = java.methods(source)
+    wanted = SHAPES[source]
+    if not wanted:
+        return  # Not well-formed: no more than that it ends is asked for.
+    doc = lambda m: next((c for c in (m.before, m.after) if c and java.is_doc(c)), None)
+    assert [doc(m) for m in found] == [d for _, d in wanted]
+    assert all(source[m.start : m.end].startswith(w) for m, (w, _) in zip(found, wanted, strict=True))
+    assert all(source[m.end - 1] in "};" for m in found)
+
+
+def test_methods_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BATCH_BYTES", 100)
+    body = " ".join(f"int f{n}() {{ return {n}; }}" for n in range(50))
+    df = spark.createDataFrame([(1, f"class A {{ {body} }}"), (2, "class B { }")], "id int, code string")
+    rows = pairs.methods_with_docs(df).collect()
+    assert [(r.id, r.method_no) for r in rows] == [(1, n) for n in range(50)] and rows[49].code == "int f49() { return 49; }"
