@@ -119,6 +119,7 @@ def strip_python(spark: SparkSession, folder: str) -> DataFrame:
     source = F.concat(
         F.lit('"""module '), line, F.lit('"""\nimport os  # '), line, F.lit("\n\ndef f"), name, F.lit('(a):\n    """'),
         line, F.lit("\n    more\n    \"\"\"\n    x = '# keep "), name, F.lit("'  # drop\n\n    return x\n"),
+        F.lit('v = [\n"a",  # drop\n"b"]\n"c" "d"\nif v:\n    if x:\n        y = 1\n    "e"\n    z = "f"\ng(\n# drop\n"h"\n)\n'),
     )
     return documents(spark, folder, walk=True).select("doc_id", strip_python_comments(source).alias("code"))
 
@@ -234,7 +235,8 @@ SELECT doc_id, split FROM ({_SAMPLE})""",
     "strip_comments": f"WITH {CODE_CTE} SELECT doc_id, CASE WHEN lang = 'fr' THEN code ELSE {strip_sql('code')} END AS code FROM code_rows",
     "strip_pages": f"SELECT page_id, {strip_sql('html')} AS code FROM pages",
     "strip_python": r"""SELECT doc_id, 'import os' || '  ' || chr(10) || 'def f' || doc_id || '(a):' || chr(10)
-|| '    x = ''# keep ' || doc_id || '''  ' || chr(10) || '    return x' AS code FROM documents""",
+|| '    x = ''# keep ' || doc_id || '''  ' || chr(10) || '    return x' || chr(10) || 'v = [' || chr(10) || '"a",  ' || chr(10) || '"b"]' || chr(10)
+|| 'if v:' || chr(10) || '    if x:' || chr(10) || '        y = 1' || chr(10) || '    z = "f"' || chr(10) || 'g(' || chr(10) || '"h"' || chr(10) || ')' AS code FROM documents""",
     "doc_code_link": f"WITH {CODE_CTE} SELECT doc_id, line || '</s>' || {strip_sql('code')} AS text FROM code_rows WHERE lang <> 'es'",
     "comment_inventory": f"""WITH {CODE_CTE},
 c AS (SELECT unnest(regexp_extract_all(code, '{LITERAL_OR_COMMENT_SQL}')) AS comment FROM code_rows)

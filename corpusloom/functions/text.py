@@ -78,20 +78,31 @@ def comment_kind(comment: Column) -> Column:
     )
 
 
+#: Tokens that say nothing about what a logical line holds.
+_LAYOUT = frozenset((tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING))
+
+
 def _dropped_spans(source: str) -> Iterator[tuple[int, int]]:
-    """Where comments and strings that stand as a statement lie in a Python source, as character offsets.
+    """Where comments and statements of nothing but strings lie in a Python source, as character offsets, in order.
 
-    A string is a statement if it directly follows an indent, the end of a logical line or the start of the file, or
-    stands in the first column.
+    A logical line goes if each of its tokens is a string: adjacent strings make one. A string in brackets, after a colon or
+    beside anything else is a value and stays, wherever it stands.
     """
     line_starts = [0, *accumulate(map(len, io.StringIO(source)))]
     offset = lambda place: line_starts[place[0] - 1] + place[1]
-    statement_opens = True
+    line: list[tokenize.TokenInfo] = []
+    remarks: list[tuple[int, int]] = []
     for token in tokenize.generate_tokens(io.StringIO(source).readline):
-        bare_string = token.type == tokenize.STRING and (statement_opens or not token.start[1])
-        if bare_string or token.type == tokenize.COMMENT:
-            yield offset(token.start), offset(token.end)
-        statement_opens = token.type in (tokenize.INDENT, tokenize.NEWLINE)
+        if token.type == tokenize.COMMENT:
+            remarks.append((offset(token.start), offset(token.end)))
+        elif token.type in (tokenize.NEWLINE, tokenize.ENDMARKER):
+            if line and all(t.type == tokenize.STRING for t in line):
+                statement = (offset(line[0].start), offset(line[-1].end))
+                remarks = sorted([statement, *(r for r in remarks if not statement[0] <= r[0] < statement[1])])
+            yield from remarks
+            line, remarks = [], []
+        elif token.type not in _LAYOUT:
+            line.append(token)
 
 
 def _strip_one_python_source(source: str) -> str | None:

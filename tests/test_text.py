@@ -85,6 +85,12 @@ def test_languages(spark):
         ('"""mod"""\nimport os # x\n', "import os "),
         ("def f(a):\n    '''doc'''\n    x = 'keep' # no\n\n    return x\n", "def f(a):\n    x = 'keep' \n    return x"),
         ("x = f('a',\n      'b')\n", "x = f('a',\n      'b')"),
+        ('x = [\n"a",\n"b"]\n', 'x = [\n"a",\n"b"]'),
+        ('"a" "b"\nx = 1\n', "x = 1"),
+        ('"a"  # c\n"b" \\\n"c"\nx\n', "x"),
+        ('if a:\n    if b:\n        y\n    "s"\n    z("t")\n', 'if a:\n    if b:\n        y\n    z("t")'),
+        ('f(\n# c\n"x"\n)\n', 'f(\n"x"\n)'),
+        ('class A: "doc"\n', 'class A: "doc"'),
         ("def f(:\n  'x", None),
         ("x = (1,\n", None),
         (None, None),
