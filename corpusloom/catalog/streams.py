@@ -13,7 +13,10 @@ from corpusloom.operators import learn
 from corpusloom.operators import vocab as v
 from corpusloom.sources import readers, schemas
 from corpusloom.sources.stage import new_folder, staged
-from corpusloom.streaming.jobs import encode_stream, pack_stream
+from corpusloom.streaming.jobs import encode_stream, finish_packing, pack_stream
+
+
+ARRIVALS = 5
 
 
 def stream_encode(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,13 +31,18 @@ def stream_encode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
-    rows = encoded(spark, folder)
+    """Chunks of texts that arrive in five files, by ranges of their ids; batches go on across them."""
+    rows = staged(encoded(spark, folder), "encoded")
     landed = new_folder(spark, "stream-landed")
-    rows.write.parquet(landed)
+    least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = (most - least) // ARRIVALS + 1
+    for first in range(least, most + 1, step):
+        rows.where(F.col("doc_id").between(first, first + step - 1)).coalesce(1).write.mode("append").parquet(landed)
     columns = ("input_ids", "attention_mask", "special_tokens_mask")
-    stream = readers.arriving(spark, landed, rows.schema)
+    stream = readers.arriving(spark, landed, rows.schema, files_per_trigger=1)
     out, checkpoint = new_folder(spark, "stream-packed"), new_folder(spark, "stream-state")
     pack_stream(stream, "doc_id", CHUNK, out, checkpoint, columns, BATCH).awaitTermination()
+    finish_packing(spark, out, CHUNK, columns, BATCH)
     return spark.read.parquet(out).select("batch", "chunk", *[joined(F.col(c)).alias(c) for c in columns])
 
 

@@ -7,7 +7,7 @@ from corpusloom.functions.text import words
 from corpusloom.operators.encode import encode_with_merges
 from corpusloom.operators.pack import pack_chunks
 from corpusloom.sources import readers, schemas, stage, writers
-from corpusloom.streaming.jobs import encode_stream, pack_stream
+from corpusloom.streaming.jobs import encode_stream, finish_packing, pack_stream
 
 
 def test_file_types(spark, tmp_path):
@@ -80,18 +80,24 @@ def test_small_tables_are_spread(spark, tmp_path):
     assert readers.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
-def test_streamed_chunks_equal_those_of_the_arrivals(spark, tmp_path):
+@pytest.mark.parametrize("sizes", [(13, 1, 7, 19), (14, 7, 7, 12), (3, 2, 1, 34)])
+def test_streamed_batches_go_on_across_arrivals(spark, tmp_path, sizes):
+    """Arrivals that leave rows, leave none, and do not fill a batch; later ones have smaller keys."""
     rows = spark.range(40).select("id", F.transform(F.sequence(F.lit(0), F.col("id") % 5), lambda i: i.cast("int")).alias("input_ids"))
-    for n in (0, 1):
-        rows.where(F.col("id") % 2 == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = 40
+    for size in sizes:
+        rows.where((F.col("id") < end) & (F.col("id") >= end - size)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        end -= size
+    out = str(tmp_path / "out")
     for run in (1, 2):  # a second run finds nothing new
         stream = readers.arriving(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
-        pack_stream(stream, "id", 4, str(tmp_path / "out"), str(tmp_path / "state"), batch_rows=7).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.select("arrival").distinct().count() == 2
-    want = [pack_chunks(rows.where(F.col("id") % 2 == n), "id", 4, batch_rows=7) for n in (0, 1)]
+        pack_stream(stream, "id", 4, out, str(tmp_path / "state"), batch_rows=7).awaitTermination()
+        finish_packing(spark, out, 4, batch_rows=7)
+    starts = [40 - sum(sizes[: n + 1]) for n in range(len(sizes))]
+    place = F.coalesce(*[F.when(F.col("id") >= s, F.col("id") - s + sum(sizes[:n])) for n, s in enumerate(starts)])
+    want = pack_chunks(rows.withColumn("place", place), "place", 4, batch_rows=7)
     key = lambda df: sorted(tuple(map(str, r)) for r in df.select("batch", "chunk", "input_ids").collect())
-    assert key(got) == key(want[0].unionByName(want[1]))
+    assert key(spark.read.parquet(out)) == key(want) and want.count() > 20
 
 
 def test_streamed_encoding_equals_batch_encoding(spark, tmp_path):
