@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.common import SEED, documents, draw_sql, ink_sql, joined, order_sql, table, top_words_sql, words_cte
-from corpusloom.catalog.vocabularies import ADAPT_CTE, MERGES, learn_cte, vocabularies
+from corpusloom.catalog.vocabularies import ADAPT_CTE, MERGES, SOURCE_MERGES, learn_cte, source_merges, vocabularies
 from corpusloom.functions.text import words
 from corpusloom.functions.tokens import SEPARATOR_ID, keep_last, unmask
 from corpusloom.operators import encode, learn, mask, pack, substitute
@@ -70,15 +70,22 @@ def ratio_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return substitute.share_histogram(substitute.source_share(rows, "doc_id", ids))
 
 
+def ratio_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    rows, adapted, _ = adapted_rows(spark, folder)
+    ids = staged(v.source_ids(adapted), "source-ids")
+    found = substitute.share_percentiles(substitute.source_share(rows, "doc_id", ids))
+    return found.withColumn("source_ratio", F.round("source_ratio", 6))
+
+
 def substitution_pieces(spark: SparkSession, folder: str) -> DataFrame:
     source, target, learned = vocabularies(spark, folder)
     adapted = staged(adaptation.adapt(source, target, learned), "adapted")
-    return adaptation.substitution_table(adapted, source).select("idx", "is_source", joined(F.col("pieces")).alias("pieces"))
+    return adaptation.substitution_table(adapted, source, source_merges(spark, folder)).select("idx", "is_source", joined(F.col("pieces")).alias("pieces"))
 
 
 def substitute_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows, adapted, source = adapted_rows(spark, folder)
-    pieces = staged(adaptation.substitution_table(adapted, source), "substitutes")
+    pieces = staged(adaptation.substitution_table(adapted, source, source_merges(spark, folder)), "substitutes")
     out = substitute.substitute_tokens(rows, "doc_id", pieces, WANTED, SEED)
     fitted = substitute.fit_rows(out, LENGTH)
     return fitted.select("doc_id", "n_swapped", *[joined(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
@@ -141,7 +148,7 @@ def substitution_job(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, walk=True)
     source, target, learned = vocabularies(spark, folder)
     adapted = staged(adaptation.adapt(source, target, learned), "adapted")
-    pieces = staged(adaptation.substitution_table(adapted, source), "substitutes")
+    pieces = staged(adaptation.substitution_table(adapted, source, source_merges(spark, folder)), "substitutes")
     texts = writers.with_splits(_splits(docs.select("doc_id", "text")))
     path = new_folder(spark, "substituted")
     writers.save(substitution.substitution_job(texts, "doc_id", "text", adapted, pieces, WANTED, SEED, LENGTH), path)
@@ -173,6 +180,7 @@ QUERIES = {
     "source_ratio": source_ratio,
     "ratio_summary": ratio_summary,
     "ratio_histogram": ratio_histogram,
+    "ratio_percentiles": ratio_percentiles,
     "substitution_pieces": substitution_pieces,
     "substitute_tokens": substitute_tokens,
     "pad_truncate": pad_truncate,
@@ -208,11 +216,24 @@ _FIT = f"""SELECT doc_id,
 
 _ADAPTED = f"{ADAPT_CTE}, {_encoded_cte('adapted')}, flags AS (SELECT tok.*, coalesce(origin = 'source_lang', false) AS is_source FROM tok LEFT JOIN adapted ON id = idx)"
 _RATIO = "ratios AS (SELECT doc_id, count(*) AS n_tokens, avg(CASE WHEN is_source THEN 1.0::DOUBLE ELSE 0 END) AS source_ratio FROM flags GROUP BY doc_id)"
-_PIECES = """pieces AS (
-  SELECT a.idx, a.origin = 'source_lang' AS is_source,
-         CASE WHEN s.idx IS NOT NULL THEN [s.idx] ELSE
-           list_transform(string_split(a.token, ''), lambda c: coalesce(map_extract(sm.m, c)[1], 3)) END AS pieces
-  FROM adapted a LEFT JOIN source s USING (token), (SELECT map(list(token), list(idx)) AS m FROM source WHERE length(token) = 1) sm)"""
+_MERGE_LIST = " UNION ALL ".join(
+    f"SELECT {i} AS i, '<' || l || '><' || r || '>' || chr(1) || '<' || l || r || '>' AS m FROM t{i}" for i in range(1, SOURCE_MERGES + 1)
+)
+_PIECES = rf"""{learn_cte(SOURCE_MERGES, "source_words AS (SELECT word FROM w WHERE lang = 'en')", "source_words")},
+merge_list AS (SELECT list(m ORDER BY i) AS l FROM ({_MERGE_LIST})),
+cut AS (
+  SELECT a.idx, a.origin, s.idx AS own,
+         list_reduce(l, lambda s, m: replace(s, split_part(m, chr(1), 1), split_part(m, chr(1), 2)),
+                     regexp_replace(replace(replace(token, '<', chr(4)), '>', chr(5)), '((?s:.))', '<\1>', 'g')) AS s
+  FROM adapted a LEFT JOIN source s USING (token), merge_list),
+ids AS (SELECT map(list(token), list(idx)) AS m FROM source),
+pieces AS (
+  SELECT idx, origin = 'source_lang' AS is_source,
+         CASE WHEN own IS NOT NULL THEN [own] ELSE flatten(list_transform(
+           list_transform(string_split(s[2:length(s) - 1], '><'), lambda p: replace(replace(p, chr(4), '<'), chr(5), '>')),
+           lambda p: CASE WHEN map_contains(m, p) THEN [map_extract(m, p)[1]]
+                     ELSE list_transform(string_split(p, ''), lambda c: coalesce(map_extract(m, c)[1], 3)) END)) END AS pieces
+  FROM cut, ids)"""
 
 
 def _masked_cte(key: str) -> str:
@@ -262,6 +283,10 @@ FROM documents LEFT JOIN w USING (doc_id) LEFT JOIN pieces USING (word) GROUP BY
     "source_ratio": f"WITH {_ADAPTED}, {_RATIO} SELECT doc_id, n_tokens, round(source_ratio, 6) AS source_ratio FROM ratios",
     "ratio_summary": f"WITH {_ADAPTED}, {_RATIO} SELECT count(*) AS texts, round(avg(source_ratio), 6) AS mean, round(min(source_ratio), 6) AS low, round(max(source_ratio), 6) AS high FROM ratios",
     "ratio_histogram": f"WITH {_ADAPTED}, {_RATIO} SELECT CAST(least(floor(source_ratio * 10), 9) AS INTEGER) AS bar, count(*) AS texts FROM ratios GROUP BY 1",
+    "ratio_percentiles": f"WITH {_ADAPTED}, {_RATIO} "
+    + " UNION ALL ".join(
+        f"SELECT {p} AS percent, round(quantile_disc(source_ratio, {p / 100}::DOUBLE), 6) AS source_ratio FROM ratios" for p in substitute.PERCENTS
+    ),
     "substitution_pieces": f"WITH {ADAPT_CTE}, {_PIECES} SELECT idx, is_source, array_to_string(pieces, ',') AS pieces FROM pieces",
     "substitute_tokens": f"""WITH {_ADAPTED}, {_RATIO}, {_PIECES}, {_swapped(f"{WANTED}::DOUBLE")}
 {_FIT}, n_swapped FROM (SELECT *, len(ids) AS n FROM lists)""",

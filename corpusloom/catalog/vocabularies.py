@@ -13,8 +13,10 @@ from corpusloom.plans import adaptation
 from corpusloom.sources.stage import staged
 
 SOURCE_WORDS, TARGET_WORDS, LEARNED_WORDS, MERGES = 1500, 2000, 2500, 300
-#: Merges of the learning queries: as many as SQL learns in a minute, and a whole vocabulary.
-LEARNED_MERGES, WHOLE_MERGES = 500, 2_000
+#: Merges of the learning queries: as many as one SQL statement may nest, and a whole vocabulary.
+LEARNED_MERGES, WHOLE_MERGES = 480, 2_000
+#: Merges of the source tokenizer.
+SOURCE_MERGES = 100
 DIM = 64
 
 
@@ -45,6 +47,12 @@ def vocabularies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     )
 
 
+def source_merges(spark: SparkSession, folder: str) -> list[tuple[str, str, int]]:
+    """The merges of the source tokenizer, learned from English words."""
+    counts = counts_by_side(spark, folder).where(F.col("side") == "source")
+    return learn.learn_merges(counts.select("word", "n"), SOURCE_MERGES)[0]
+
+
 def merged(spark: SparkSession, folder: str) -> DataFrame:
     source, target, _ = vocabularies(spark, folder)
     return staged(v.merge_vocabularies(source, target), "merged")

@@ -141,23 +141,23 @@ def encode_byte_level(
     return with_specials(rows) if specials else rows
 
 
-def substitutes(target: DataFrame, source: DataFrame) -> DataFrame:
-    """``(idx, pieces)``: each target token spelled with source tokens.
+def substitutes(target: DataFrame, source: DataFrame, merges: Sequence[tuple] | None = None) -> DataFrame:
+    """``(idx, pieces)``: each target token as the source tokenizer writes it.
 
-    A token that the source knows is its own piece; any other is spelled letter by letter, letters that the source lacks
-    being unknown. Made once per vocabulary, so the corpus only ever joins by token id.
+    A token that the source knows is its own piece. The text of any other is cut by the source's ``merges``; a piece that the
+    source has no id for is spelled by letters, letters that it lacks being unknown. Without merges all of it is spelled by
+    letters. Made once per vocabulary, so the corpus only ever joins by token id.
     """
     known = source.select(F.col("token").alias("piece"), F.col("idx").alias("piece_idx"))
     whole = target.join(known.select(F.col("piece").alias("token"), "piece_idx"), "token", "left")
-    spelled = whole.select(
-        "idx",
-        F.posexplode(
-            F.when(F.col("piece_idx").isNotNull(), F.array("token")).otherwise(
-                F.filter(F.split(F.col("token"), ""), lambda c: c != "")
-            )
-        ).alias("pos", "piece"),
+    letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    cut = letters(F.col("token")) if merges is None else segment_words(F.array("token"), merges)
+    parts = whole.withColumn("cut", cut).select(
+        "idx", F.posexplode(F.when(F.col("piece_idx").isNotNull(), F.array("token")).otherwise(F.col("cut"))).alias("pos", "piece")
     )
-    found = spelled.join(known, "piece", "left")
-    entry = F.struct("pos", F.coalesce("piece_idx", F.lit(UNKNOWN)).alias("idx"))
+    found = parts.join(known, "piece", "left")
+    spelled = F.when(F.col("piece_idx").isNotNull(), F.array("piece")).otherwise(letters(F.col("piece")))
+    each = found.select("idx", "pos", F.posexplode(spelled).alias("at", "piece")).join(known, "piece", "left")
+    entry = F.struct("pos", "at", F.coalesce("piece_idx", F.lit(UNKNOWN)).alias("idx"))
     ordered = F.sort_array(F.collect_list(entry))
-    return found.groupBy("idx").agg(F.transform(ordered, lambda e: e["idx"]).alias("pieces"))
+    return each.groupBy("idx").agg(F.transform(ordered, lambda e: e["idx"]).alias("pieces"))

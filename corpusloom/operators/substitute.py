@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from corpusloom.functions.draws import order_key
 from corpusloom.functions.tokens import PAD, fit_ids, fit_mask, ones_like, replacements, zeros_like
 from corpusloom.operators.lookup import lookup_elements
 
+PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+ACCURACY = 10_000
+
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with ``value`` made once a row; Catalyst would write it into a lambda and make it per element."""
@@ -44,6 +47,15 @@ def share_histogram(shares: DataFrame, bars: int = 10) -> DataFrame:
     return shares.groupBy(bar.alias("bar")).agg(F.count("*").alias("texts"))
 
 
+def share_percentiles(shares: DataFrame, percents: Sequence[int] = PERCENTS, accuracy: int = ACCURACY) -> DataFrame:
+    """``(percent, source_ratio)`` from a sketch that tasks build and merge: a rank is off by one in ``accuracy`` at most, so that
+    tables of fewer rows get the exact ranks."""
+    points = F.percentile_approx("source_ratio", [p / 100 for p in percents], accuracy)
+    return shares.agg(points.alias("at")).select(
+        F.explode(F.arrays_zip(F.array(*map(F.lit, percents)).alias("percent"), F.col("at").alias("source_ratio"))).alias("p")
+    ).select("p.percent", "p.source_ratio")
+
+
 def substitute_tokens(
     encoded: DataFrame, key: str, table: DataFrame, wanted: float | Column, seed: int, draw_by: str | Column | None = None
 ) -> DataFrame:

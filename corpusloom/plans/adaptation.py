@@ -71,7 +71,7 @@ def embedding_table(
     return adapted.select("idx").join(placed, "idx", "left").select("idx", F.coalesce("embedding", drawn).alias("embedding"))
 
 
-def substitution_table(adapted: DataFrame, source: DataFrame) -> DataFrame:
-    """``(idx, is_source, pieces)`` for every token of the adapted vocabulary."""
-    pieces = substitutes(adapted.select("token", "idx"), source.select("token", "idx"))
+def substitution_table(adapted: DataFrame, source: DataFrame, merges: list[tuple] | None = None) -> DataFrame:
+    """``(idx, is_source, pieces)`` for every token of the adapted vocabulary, its pieces as the source tokenizer cuts them."""
+    pieces = substitutes(adapted.select("token", "idx"), source.select("token", "idx"), merges)
     return adapted.select("idx", (F.col("origin") == v.SOURCE).alias("is_source")).join(pieces, "idx", "left")

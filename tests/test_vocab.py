@@ -172,6 +172,16 @@ def test_substitutes_spell_unknown_tokens(spark):
     assert got == {10: [6], 11: [5, 4], 12: [5, 3, 4]}
 
 
+def test_substitutes_follow_the_merges_of_the_source(spark):
+    tokens = [("a", 4), ("b", 5), ("c", 6), ("ab", 7), ("abc", 8), ("cab", 9)]
+    source = spark.createDataFrame(tokens, "token string, idx int")
+    target = spark.createDataFrame([("abcab", 10), ("cab", 11), ("bbcx", 12), ("ccab", 13)], "token string, idx int")
+    merges = [("a", "b", 9), ("ab", "c", 5), ("b", "c", 3)]
+    got = {r.idx: r.pieces for r in encode.substitutes(target, source, merges).collect()}
+    # The source knows "cab" whole; of "bbcx" the piece "bc" has no id and is spelled, and "x" is unknown.
+    assert got == {10: [8, 7], 11: [9], 12: [5, 5, 6, 3], 13: [6, 6, 7]}
+
+
 def test_overlay_keeps_source_rows(spark):
     base = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "idx int, embedding array<float>")
     vocab = spark.createDataFrame([(0, v.SOURCE, [9.0]), (1, v.TARGET, [8.0])], "idx int, origin string, embedding array<float>")
