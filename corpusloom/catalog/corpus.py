@@ -131,6 +131,23 @@ def doc_code_link(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.linked_corpus(rows.withColumn("func_documentation_string", doc), keep=("doc_id",))
 
 
+def failed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that fail to link, by reason: as they lie in the quarantine table, and as they were counted while it was written."""
+    rows = _code_corpus(spark, folder).select("doc_id", "lang", "func_documentation_string", "whole_func_string")
+    key = F.col("doc_id")
+    broken = F.concat(F.lit("def f(:\n  '"), F.translate("func_documentation_string", "\n'", " "))
+    rows = rows.withColumns(
+        {
+            "func_documentation_string": F.when(F.col("lang") != "es", F.col("func_documentation_string")),
+            "whole_func_string": F.when(key % 11 != 0, F.when(key % 7 == 0, broken).otherwise(F.col("whole_func_string"))),
+            "language": F.when(key % 7 == 0, "python").otherwise("java"),
+        }
+    )
+    _, failed, seen = mixture.accounted(mixture.link_outcomes(rows, ["doc_id"], python=True), "linked")
+    counted = spark.createDataFrame([(r, n) for r, n in seen.items() if r in mixture.FAILURES], "reason string, observed bigint")
+    return failed.groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n")).join(counted, "reason")
+
+
 def comments_by_kind(spark: SparkSession, folder: str) -> DataFrame:
     return comment_inventory(code_rows(documents(spark, folder, walk=True)))
 
@@ -152,6 +169,7 @@ QUERIES = {
     "strip_pages": strip_pages,
     "strip_python": strip_python,
     "doc_code_link": doc_code_link,
+    "failed_rows": failed_rows,
     "comment_inventory": comments_by_kind,
 }
 
@@ -238,6 +256,9 @@ SELECT doc_id, split FROM ({_SAMPLE})""",
 || '    x = ''# keep ' || doc_id || '''  ' || chr(10) || '    return x' || chr(10) || 'v = [' || chr(10) || '"a",  ' || chr(10) || '"b"]' || chr(10)
 || 'if v:' || chr(10) || '    if x:' || chr(10) || '        y = 1' || chr(10) || '    z = "f"' || chr(10) || 'g(' || chr(10) || '"h"' || chr(10) || ')' AS code FROM documents""",
     "doc_code_link": f"WITH {CODE_CTE} SELECT doc_id, line || '</s>' || {strip_sql('code')} AS text FROM code_rows WHERE lang <> 'es'",
+    "failed_rows": """SELECT reason, count(*) AS n, count(*) AS observed FROM (
+  SELECT CASE WHEN lang = 'es' THEN 'no documentation' WHEN doc_id % 11 = 0 THEN 'no code' WHEN doc_id % 7 = 0 THEN 'not tokenisable' END AS reason
+  FROM documents) WHERE reason IS NOT NULL GROUP BY reason""",
     "comment_inventory": f"""WITH {CODE_CTE},
 c AS (SELECT unnest(regexp_extract_all(code, '{LITERAL_OR_COMMENT_SQL}')) AS comment FROM code_rows)
 SELECT CASE WHEN comment LIKE '//%' THEN 'line' WHEN comment LIKE '/**%' AND length(comment) > 4 THEN 'doc' ELSE 'block' END AS kind,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import link_doc_and_code, strip_comments
@@ -23,6 +23,35 @@ def linked_corpus(code: DataFrame, keep: Sequence[str] = (), python: bool = Fals
     return linked.where(F.col("text").isNotNull()) if python else linked
 
 
+NO_DOC, NO_CODE, NOT_READ = "no documentation", "no code", "not tokenisable"
+FAILURES = (NO_DOC, NO_CODE, NOT_READ)
+
+
+def link_outcomes(code: DataFrame, keep: Sequence[str] = (), python: bool = False) -> DataFrame:
+    """``(…, text, error)``: every code row, with its linked text or the reason why it has none. No row vanishes."""
+    doc, source = F.col("func_documentation_string"), F.col("whole_func_string")
+    linked = code.select(*keep, doc, source, link_doc_and_code(doc, strip_comments(source, F.col("language"), python)).alias("text"))
+    reason = F.when(doc.isNull(), NO_DOC).when(source.isNull(), NO_CODE).when(F.col("text").isNull(), NOT_READ)
+    return linked.select(*keep, "text", reason.alias("error"))
+
+
+def accounted(
+    rows: DataFrame, name: str, reasons: Sequence[str] = FAILURES, error: str = "error"
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The rows without and with an ``error``, and how many there are of each reason (and of ``rows`` in all).
+
+    The rows are written once, failed ones too; the counts are taken while they are written, so they need no pass of their own
+    and are those of the table. Any other reason counts as ``other``.
+    """
+    which = F.col(error)
+    counts = {r: F.count(F.when(which == r, 1)) for r in reasons}
+    counts["other"] = F.count(F.when(which.isNotNull() & ~which.isin(*reasons), 1))
+    counts["rows"] = F.count(F.lit(1))
+    seen = Observation(name)
+    kept = staged(rows.observe(seen, *[c.alias(r) for r, c in counts.items()]), name)
+    return kept.where(which.isNull()).drop(error), kept.where(which.isNotNull()), dict(seen.get)
+
+
 def split_counts(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("split").agg(F.count("*").alias("n"))
 

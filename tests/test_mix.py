@@ -1,8 +1,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators.mix import interleave
+from corpusloom.plans import mixture
 from corpusloom.plans.mixture import build_mixture
 
 
@@ -61,3 +63,15 @@ def test_mixture_keeps_validation_apart_and_own_splits(spark):
     assert len({i for i in by_split["train"] if i < 1000}) <= 53
     for split in by_split:
         assert [r.row_idx for r in sorted((r for r in rows if r.split == split), key=lambda r: r.row_idx)] == list(range(len(by_split[split])))
+
+
+def test_no_failed_row_vanishes(spark):
+    rows = [(1, "d", "x  // c", "java"), (2, None, "x", "java"), (3, "d", None, "java"), (4, "d", "x = (1,\n", "python"), (5, None, None, "go")]
+    code = spark.createDataFrame(rows, "id int, func_documentation_string string, whole_func_string string, language string")
+    good, failed, seen = mixture.accounted(mixture.link_outcomes(code, ["id"], python=True), "linked")
+    assert [(r.id, r.text) for r in good.collect()] == [(1, "d</s>x   ")] and "error" not in good.columns
+    assert {r.id: r.error for r in failed.collect()} == {2: mixture.NO_DOC, 3: mixture.NO_CODE, 4: mixture.NOT_READ, 5: mixture.NO_DOC}
+    assert seen == {mixture.NO_DOC: 2, mixture.NO_CODE: 1, mixture.NOT_READ: 1, "other": 0, "rows": 5}
+    assert mixture.accounted(mixture.link_outcomes(code.limit(0), ["id"]), "none")[2]["rows"] == 0
+    odd = mixture.link_outcomes(code, ["id"]).withColumn("error", F.lit("odd"))
+    assert mixture.accounted(odd, "odd")[2]["other"] == 5
