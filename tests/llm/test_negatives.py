@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm import negatives
 
 SCHEMA = "vec_id bigint, embedding array<double>, label int, id string, tile int, rank int"
-FIELDS = "vec_id bigint, embedding array<double>, label int"
 
 
 def frame(spark, rows):

@@ -72,7 +72,7 @@ def test_taken_against_plain_python(spark, documents):
 def test_slots_fall_on_all_shards(spark):
     """Ten shards of 1,000 slots on average: counts scatter as multinomial ones do."""
     plan = spark.createDataFrame([(1, 100_000, 100_000.0, 800), (2, 540_000, 540_000.0, 9_200)], "rank int, source_size long, target double, blocks long")
-    rows = mixture.slots(plan.withColumn("target", F.col("target")))
+    rows = mixture.slots(plan)
     assert rows.count() == 10_000 and rows.select("rank", "lap", "block").distinct().count() == 10_000
     old, mixture.SHARD = mixture.SHARD, 1_000
     try:
