@@ -16,7 +16,7 @@ from corpusloom.plans import adaptation, masked_lm, substitution
 from corpusloom.sources import readers, writers
 from corpusloom.sources.stage import new_folder, staged
 
-VOCAB, LENGTH, CHUNK, WANTED, BATCH = 2000, 512, 128, 0.85, 100
+VOCAB, LENGTH, CHUNK, WANTED, BATCH = 20_000, 512, 128, 0.85, 100
 EVAL_ROWS = 20
 MASK_ID = 4
 #: Where texts are joined by the separator, whose id is that of an unknown word elsewhere.
@@ -24,7 +24,7 @@ TALK_UNKNOWN, TALK_FIRST = 5, 6
 
 
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document as ids of the 2,000 most frequent words, with masks."""
+    """Every document as ids of the most frequent words, with masks."""
     docs = documents(spark, folder, walk=True)
     vocab = staged(v.word_vocab(v.word_counts(docs), VOCAB), "vocab")
     return encode.encode(docs, "doc_id", "text", vocab)
