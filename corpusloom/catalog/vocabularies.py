@@ -12,7 +12,7 @@ from corpusloom.operators import vocab as v
 from corpusloom.plans import adaptation
 from corpusloom.sources.stage import staged
 
-SOURCE_WORDS, TARGET_WORDS, LEARNED_WORDS, MERGES = 1500, 2000, 2500, 300
+SOURCE_WORDS, TARGET_WORDS, LEARNED_WORDS, MERGES = 6_000, 8_000, 10_000, 300
 #: Merges of the learning queries: as many as one SQL statement may nest, and a whole vocabulary.
 LEARNED_MERGES, WHOLE_MERGES = 480, 2_000
 #: Merges of the source tokenizer.
