@@ -43,7 +43,7 @@ def detect(texts: DataFrame, key: str, profile: DataFrame, languages: list[str],
     """``(key, detected)``: the language with the highest score (ties by name); NULL for a text without known trigrams.
 
     With a profile of checked size the trigrams meet it in a broadcast join and are summed per text before anything is
-    shuffled. A larger profile is joined by a salted shuffle, after equal trigrams of a text were counted together.
+    shuffled. A larger profile is joined by a shuffle, after equal trigrams of a text were counted together.
     """
     grams = texts.select(key, F.explode(trigrams(F.col(text))).alias("gram"))
     names = [f"s{i}" for i in range(len(languages))]
@@ -51,7 +51,7 @@ def detect(texts: DataFrame, key: str, profile: DataFrame, languages: list[str],
         scored = grams.join(F.broadcast(profile), "gram")
         sums = [F.sum(c).alias(c) for c in names]
     else:
-        scored = grams.groupBy(key, "gram").agg(F.count("*").alias("times"))
+        scored = staged(grams.groupBy(key, "gram").agg(F.count("*").alias("times")), "grams")
         scored = lookup(scored, profile, "gram").where(F.col(names[0]).isNotNull())
         sums = [F.sum(F.col(c) * F.col("times")).alias(c) for c in names]
     best = F.greatest(*[F.struct(F.col(c).alias("score"), F.lit(-i).alias("rank")) for i, c in enumerate(names)])

@@ -8,10 +8,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 BROADCAST_VALUES = 4_000_000
-SALTS = 16
+#: A hot key is split so finely that a partition's share of rows takes so many pieces.
+PIECES = 8
+#: Rows of one key that no task minds.
+FEW_ROWS = 1_000
 
 
 def measured(table: DataFrame) -> int:
@@ -31,17 +34,42 @@ def fits_broadcast(table: DataFrame) -> bool:
     return measured(table) <= BROADCAST_VALUES
 
 
+def hot_keys(facts: DataFrame, on: str) -> dict:
+    """The keys (NULL too) that make up more than a shuffle partition's share of the rows, and how many pieces each is cut into.
+
+    A mergeable sketch of frequent items finds them in one pass. Its error is below a quarter of that share, and there cannot be
+    more such keys than partitions.
+    """
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = min(1_000_000, max(1_000, 16 * parts))
+    top = F.expr(f"approx_top_k(`{on}`, {min(parts, tracked)}, {tracked})")
+    seen = facts.agg(F.count(F.lit(1)).alias("rows"), top.alias("top")).first()
+    hot = [k for k in seen["top"] if k["count"] > max(FEW_ROWS, seen["rows"] / parts)]
+    return {k["item"]: -(-k["count"] * parts * PIECES // seen["rows"]) for k in hot}
+
+
 def lookup(facts: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """Left join ``facts`` with ``table`` (unique on ``on``, and best a stage table, since it is read to be measured).
+    """Left join ``facts`` with ``table`` (unique on ``on``). Both are read to be measured, so stage tables are best.
 
-    The table is broadcast only after its content was measured. Beyond the limit both sides are shuffled, with every key
-    split over 16 salts, so that a word that makes up a third of a corpus does not land in one task.
+    The table is broadcast only after its content was measured. Beyond the limit both sides are shuffled. A word that makes up a
+    third of a corpus must not land in one task then: the hot keys of ``facts`` are found first, and only those are cut into pieces,
+    in proportion to their rows, by a hash of the other columns. Their few rows of ``table`` are copied for each piece; other keys pay nothing.
     """
     if fits_broadcast(table):
         return facts.join(F.broadcast(table), on, "left")
-    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = hot_keys(facts, on)
+    if not hot:
+        return facts.join(table, on, "left")
+    schema = StructType([StructField("_hot", facts.schema[on].dataType), StructField("_pieces", IntegerType())])
+    known = F.broadcast(facts.sparkSession.createDataFrame(list(hot.items()), schema))
+
+    def with_pieces(df: DataFrame) -> DataFrame:
+        return df.join(known, df[on].eqNullSafe(known["_hot"]), "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1))).drop("_hot")
+
+    spread = with_pieces(table).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
     others = [c for c in facts.columns if c != on]
-    salted = facts.withColumn("_salt", F.pmod(F.hash(*(others or [on])), F.lit(SALTS)))
+    salt = F.pmod(F.xxhash64(*(others or [on])), F.col("_pieces")).cast("int")
+    salted = with_pieces(facts).withColumn("_salt", salt).drop("_pieces")
     return salted.join(spread, [on, "_salt"], "left").drop("_salt")
 
 

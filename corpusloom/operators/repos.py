@@ -77,6 +77,12 @@ def decode_blob(content: Column) -> Column:
     return F.decode(F.unbase64(content), "ISO-8859-1")
 
 
+def blob_text(content: Column, utf8: bool = False) -> Column:
+    """Base64 content, line ends allowed, as text: one character per byte or as UTF-8; NULL for what is neither."""
+    raw = F.try_to_binary(F.translate(content, " \t\r\n", ""), F.lit("base64"))
+    return F.try_validate_utf8(raw.cast("string")) if utf8 else F.decode(raw, "ISO-8859-1")
+
+
 def vote_kind(doc: Column, detected: Column, wanted: str) -> Column:
     return F.when(doc.isNull(), NO_DOC).when(detected == wanted, MATCH).otherwise(OTHER)
 

@@ -26,11 +26,13 @@ def vote_events(methods: DataFrame, profile: DataFrame, languages: list[str], wa
 
 
 def wanted_repositories(
-    names: DataFrame, metadata: DataFrame, files: DataFrame, profile: DataFrame, languages: list[str], wanted: str
+    names: DataFrame, metadata: DataFrame, files: DataFrame, profile: DataFrame, languages: list[str], wanted: str,
+    min_stars: int = repos.MIN_STARS,
 ) -> DataFrame:
-    methods = staged(documented_methods(files), "methods")
+    # The vote reads documentation only, so no code is staged.
+    methods = staged(documented_methods(files).drop("code"), "methods")
     verdicts = repos.language_vote(vote_events(methods, profile, languages, wanted))
-    return repos.select_repositories(names, metadata, verdicts)
+    return repos.select_repositories(names, metadata, verdicts, min_stars)
 
 
 def documentation_pairs(files: DataFrame, profile: DataFrame, languages: list[str], wanted: str) -> DataFrame:
