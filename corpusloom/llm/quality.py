@@ -21,9 +21,9 @@ WIDTH = 4
 FILTERS = 16
 #: Bytes of half a chunk: chunks are 256 bytes and overlap by half.
 HALF = 128
-#: Labelled rows of each class that the filters are fitted on, and the longest text taken for that, in bytes.
+#: Labelled rows of each class that the filters are fitted on, and the bytes of all their texts.
 SAMPLE = 700
-SAMPLE_BYTES = 32_768
+FIT_BYTES = 16 << 20
 PASSES = 12
 THRESHOLD = 0.3
 CHUNK = 1 << 18
@@ -69,6 +69,21 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(rows @ self.out[:-1] + self.out[-1], -30, 30)))
 
 
+def strongest(taps: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strongest answer of each filter in each run of HALF places, and its place; CHUNK places are in memory at a time."""
+    n, found = len(b) - WIDTH + 1, []
+    for start in range(0, n, CHUNK):
+        m = min(CHUNK, n - start)
+        answers = sum(taps[j][b[start + j : start + j + m]] for j in range(WIDTH))
+        padded = np.full((-(-m // HALF) * HALF, taps.shape[2]), -np.inf, np.float32)
+        padded[:m] = answers
+        at = padded.reshape(-1, HALF, taps.shape[2]).argmax(1)
+        at += np.arange(len(at))[:, None] * HALF
+        found.append((np.take_along_axis(padded, at, 0), at + start))
+    best, places = zip(*found, strict=True)
+    return np.concatenate(best), np.concatenate(places)
+
+
 def trained(texts: list[bytes], labels: np.ndarray, prior: float, filters: int = FILTERS, passes: int = PASSES) -> Network:
     """Gradient descent with Adam on the log loss, the classes weighing the same; then the bias is moved to ``prior``.
 
@@ -86,13 +101,7 @@ def trained(texts: list[bytes], labels: np.ndarray, prior: float, filters: int =
             d_taps, d_out = np.zeros(net.taps.shape), np.zeros(net.out.shape)
             for i in order[start : start + 32]:
                 b = data[i]
-                n = len(b) - WIDTH + 1
-                answers = sum(net.taps[j][b[j : j + n]] for j in range(WIDTH))
-                padded = np.full((-(-n // HALF) * HALF, filters), -np.inf, np.float32)
-                padded[:n] = answers
-                blocks = padded.reshape(-1, HALF, filters)
-                at = blocks.argmax(1) + np.arange(len(blocks))[:, None] * HALF
-                best = np.take_along_axis(padded, at, 0)
+                best, at = strongest(net.taps, b)
                 if len(best) > 1:
                     right = best[1:] > best[:-1]
                     best, at = np.where(right, best[1:], best[:-1]), np.where(right, at[1:], at[:-1])
@@ -119,11 +128,13 @@ def trained(texts: list[bytes], labels: np.ndarray, prior: float, filters: int =
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, fit_bytes: int = FIT_BYTES) -> Network | None:
     """The network, from labelled rows for which ``learn`` holds; None if a class is missing.
 
-    All labels are counted for the prior. About ``sample`` rows of each class, of at most SAMPLE_BYTES, are picked by a
-    hash; one task fits. Labels that are null or neither 0 nor 1 are not used; a key with both labels counts for each.
+    All labels are counted for the prior. About ``sample`` rows of each class are picked by a hash, whatever their length, and of
+    those, in hash order, each that leaves the sum of their bytes within ``fit_bytes``: so one task fits, and a retry or another cut of the files
+    gives the same rows. Labels that are null or neither 0 nor 1 are not used; a key with both labels counts for each; repeated documents
+    count once.
     """
     known = labels.where(F.col(label).isin(0, 1) & learn).select(F.col(key).alias("_key"), F.col(label).alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -135,7 +146,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     drawn = staged(drawn.dropDuplicates(), "drawn")
     drawn = F.broadcast(drawn) if small(drawn) else drawn
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).cast("binary").alias("t"))
-    picked = rows.where(F.octet_length("t") <= SAMPLE_BYTES).join(drawn, "_key").select("t", "y").limit(4 * sample)
+    content = F.xxhash64("t").alias("h")
+    sizes = rows.join(drawn, "_key").select("_key", "y", content, F.octet_length("t").alias("size")).distinct()
+    # The sample is a bounded one: its keys, labels, hashes and sizes are what the driver sees.
+    chosen, total = [], 0
+    for r in sizes.orderBy(F.xxhash64(F.lit("order"), "_key", "h"), "_key", "h", "y").limit(4 * sample).collect():
+        if total + r.size <= fit_bytes:
+            chosen.append((r._key, r.y, r.h))
+            total += r.size
+    wanted = docs.sparkSession.createDataFrame(chosen, sizes.drop("size").schema)
+    picked = rows.select("*", content).join(F.broadcast(wanted), ["_key", "h"]).dropDuplicates(["_key", "h", "y"]).select("t", "y")
     prior = counts[1] / (counts[0] + counts[1])
 
     def learn_all(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
 def scored(docs: DataFrame, net: Network | None, keep: list[str], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``keep``, ``score`` and ``predicted`` of every row; null and empty texts are scored as zero bytes.
 
-    Without a network every score is 0.5. Texts are read from end to end in chunks; rows never move.
+    Without a network every score is 0.5. Texts are read from end to end in chunks, very long ones too; rows never move. Each row
+    is scored on its own: equal texts get equal scores, repeated rows stay rows, an empty table stays empty. A score equal to
+    the threshold predicts 1. Columns of ``docs`` that are not kept may have any name; kept ones must not be called ``score``,
+    ``predicted`` or ``_bytes``.
     """
     rows = docs.select(*keep, F.coalesce(text, F.lit("")).cast("binary").alias("_bytes"))
 
