@@ -2,7 +2,7 @@
 
 Two tools carry everything that the order of rows decides:
 
-* ``key_at_rank`` finds the key of the row with a given rank by narrowing a histogram over the key. Splitting, "first n"
+* ``keys_at_ranks`` finds the keys of the rows with given ranks by narrowing a histogram over the key. Splitting, "first n"
   and sized samples then are a comparison with a literal: the texts are filtered where they lie and never shuffled.
 * ``row_index`` numbers all rows. Rows go to up to 4,096 cells of the key, every cell is numbered on its own, and the cell
   totals (a small table) supply the offsets.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,31 +42,60 @@ def key_range(df: DataFrame, key: str) -> tuple[int, int, int]:
 
 
 def key_at_rank(df: DataFrame, key: str, rank: int, tie: str | None = None, within: tuple | None = None) -> tuple:
-    """The ``(key, tie)`` of the row with 0-based ``rank`` in ascending order; ``key`` is an integer column.
+    """The ``(key, tie)`` of the row with 0-based ``rank`` in ascending order; ``key`` is an integer column."""
+    return keys_at_ranks(df, key, [rank], tie, within)[rank]
 
-    Each round counts the rows of at most 4,096 equal cells of the current key range and goes on inside the cell that
-    holds the rank, so 64-bit keys need six rounds at worst, whatever their distribution, and dense ids need one or two.
-    Only histograms reach the driver. The last cell is ordered by a bounded sort.
+
+def keys_at_ranks(
+    df: DataFrame, key: str, ranks: Sequence[int], tie: str | None = None, within: tuple | None = None
+) -> dict[int, tuple]:
+    """The ``(key, tie)`` of each of a few ranks, all found in one descent.
+
+    Each round counts the rows of at most 4,096 equal cells of every key range that still holds a rank and too many rows, and goes
+    on inside the cells that hold the ranks: six rounds for 64-bit keys at worst, whatever their distribution, one for dense ids,
+    none for small tables. Only histograms reach the driver. What is left of a range is sorted on its own.
     """
     columns = [key] if tie is None else [key, tie]
     narrow = df.select(*columns)
     rows, lo, hi = within or key_range(narrow, key)
-    if not 0 <= rank < rows:
-        raise ValueError(f"rank {rank} is outside 0..{rows - 1}")
-    while hi > lo:
-        width = (hi - lo) // GRID + 1
-        cell = _grid(key, lo, hi).alias("cell")
-        histogram = narrow.where(F.col(key).between(lo, hi)).groupBy(cell).count().orderBy("cell").collect()
-        for bar in histogram:
-            if rank < bar["count"]:
-                lo, rows = lo + bar["cell"] * width, bar["count"]
-                hi = min(hi, lo + width - 1)
-                break
-            rank -= bar["count"]
-        if rows <= LEAF_ROWS:
-            break
-    last = narrow.where(F.col(key).between(lo, hi)).orderBy(*columns).offset(rank).limit(1).first()
-    return tuple(last)
+    places = {}
+    for rank in ranks:
+        if not 0 <= rank < rows:
+            raise ValueError(f"rank {rank} is outside 0..{rows - 1}")
+        places[rank] = (lo, hi, rows, rank)
+    while spans := sorted({(lo, hi) for lo, hi, n, _ in places.values() if n > LEAF_ROWS and hi > lo}):
+        cell = F.coalesce(*[F.when(F.col(key).between(*s), F.struct(F.lit(i).alias("span"), _grid(key, *s).alias("cell"))) for i, s in enumerate(spans)])
+        # No range but the first holds the whole table; the condition reaches the scan.
+        inside = reduce(or_, [F.col(key).between(*s) for s in spans])
+        bars = narrow.where(inside).groupBy(cell.alias("at")).count().orderBy("at").collect()
+        for rank, (lo, hi, n, before) in places.items():
+            if n <= LEAF_ROWS or hi == lo:
+                continue
+            width = (hi - lo) // GRID + 1
+            for bar in bars:
+                if bar["at"]["span"] != spans.index((lo, hi)):
+                    continue
+                if before < bar["count"]:
+                    first = lo + bar["at"]["cell"] * width
+                    places[rank] = (first, min(hi, first + width - 1), bar["count"], before)
+                    break
+                before -= bar["count"]
+    found = {rank: (lo,) for rank, (lo, hi, _, _) in places.items() if lo == hi and tie is None}
+    leaves: dict[tuple, dict[int, int]] = {}
+    for rank, (lo, hi, _, before) in places.items():
+        if rank not in found:
+            leaves.setdefault((lo, hi), {})[before] = rank
+    for span, wanted in leaves.items():
+        first, last = min(wanted), max(wanted)
+        near = narrow.where(F.col(key).between(*span)).orderBy(*columns).offset(first).limit(last - first + 1)
+        if len(wanted) == 1:
+            found[wanted[first]] = tuple(near.first())
+            continue
+        # Ranks of one leaf: a leaf is bounded, and so is what lies between them.
+        order = F.row_number().over(Window.orderBy(*columns)) - 1 + first
+        picked = near.withColumn("_at", order).where(F.col("_at").isin(list(wanted)))
+        found |= {wanted[r["_at"]]: tuple(r)[:-1] for r in picked.collect()}
+    return found
 
 
 def at_or_after(key: str, cut: tuple, tie: str | None = None) -> Column:
@@ -103,12 +132,12 @@ def rank_label(
     """The CASE expression of ``rank_labels``, its cuts taken from ``keys``: for frames whose rows are costly to make."""
     rows, lo, hi = span or key_range(keys.select(key), key)
     label = F.lit(labels[-1])
+    edges = keys_at_ranks(keys, key, sorted({c for c in cuts if 0 < c < rows}), tie, within=(rows, lo, hi))
     for cut, text in reversed(list(zip(cuts, labels, strict=False))):
         if cut >= rows:
             label = F.lit(text)
         elif cut > 0:
-            edge = key_at_rank(keys, key, cut, tie, within=(rows, lo, hi))
-            label = F.when(~at_or_after(key, edge, tie), text).otherwise(label)
+            label = F.when(~at_or_after(key, edges[cut], tie), text).otherwise(label)
     return label
 
 

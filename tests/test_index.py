@@ -18,6 +18,20 @@ def test_key_at_rank_is_the_sorted_position(spark, many_cells, ids):
         assert index.key_at_rank(df, "id", rank) == (sorted(ids)[rank],)
 
 
+@pytest.mark.parametrize("leaf", [5, 200_000])
+def test_all_ranks_in_one_descent(spark, monkeypatch, leaf):
+    monkeypatch.setattr(index, "LEAF_ROWS", leaf)
+    ids = [3, 3, 3, 3, 3, 3, 3, -(2**61), 2**61] + list(range(100, 140)) + list(range(10**15, 10**15 + 40))
+    rows = sorted((n, i) for i, n in enumerate(ids))
+    df = spark.createDataFrame(rows, "id long, no int")
+    got = index.keys_at_ranks(df, "id", [0, 2, 5, 8, 9, 50, 88], tie="no")
+    assert got == {r: rows[r] for r in (0, 2, 5, 8, 9, 50, 88)}
+    assert index.keys_at_ranks(df, "id", [1, 88, 4]) == {r: rows[r][:1] for r in (1, 4, 88)}
+    assert index.keys_at_ranks(df, "id", []) == {}
+    with pytest.raises(ValueError):
+        index.keys_at_ranks(df, "id", [3, len(ids)])
+
+
 @pytest.mark.parametrize("ids", [DENSE, CLUSTERED, [5], []])
 def test_row_index_equals_a_global_sort(spark, many_cells, ids):
     got = {r.id: r.row_idx for r in index.row_index(frame(spark, ids), "id").collect()}
