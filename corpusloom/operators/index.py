@@ -4,13 +4,13 @@ Two tools carry everything that the order of rows decides:
 
 * ``keys_at_ranks`` finds the keys of the rows with given ranks by narrowing a histogram over the key. Splitting, "first n"
   and sized samples then are a comparison with a literal: the texts are filtered where they lie and never shuffled.
-* ``row_index`` numbers all rows. Rows go to up to 4,096 cells of the key, every cell is numbered on its own, and the cell
+* ``row_index`` numbers all rows. Rows go to cells of the key, as many as the rows need, every cell is numbered on its own, and the cell
   totals (a small table) supply the offsets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -22,8 +22,8 @@ from corpusloom.functions.draws import ORDER_BITS, order_key
 
 GRID = 4096
 LEAF_ROWS = 200_000
-SKEW_CELLS = 512
-_HASH_CELL_BITS = 12
+#: How many times the parts of a cell are smaller than LEAF_ROWS, were its keys spread evenly.
+SPARE = 4
 
 
 def order_at_random(df: DataFrame, key: str, seed: int, name: str = "_order") -> DataFrame:
@@ -202,42 +202,57 @@ def _all(conditions: Iterable[Column]) -> Column:
     return reduce(and_, conditions)
 
 
-def _quantile_cells(df: DataFrame, key: str) -> Column:
-    edges = sorted(set(df.approxQuantile(key, [i / SKEW_CELLS for i in range(1, SKEW_CELLS)], 0.25 / SKEW_CELLS)))
-    return F.expr(f"size(filter(array({','.join(f'{e}D' for e in edges)}), e -> e <= cast({key} as double)))")
+def _finer(bars: list, names: list[str]) -> dict:
+    """The cells where a group has too many rows for one task, each with its smallest key and the width of its parts."""
+    most, lo, hi = {}, {}, {}
+    for bar in bars:
+        cell = tuple(bar[c] for c in names)
+        if cell[0] >= 0:
+            most[cell] = max(bar["count"], most.get(cell, 0))
+            lo[cell], hi[cell] = min(bar["lo"], lo.get(cell, bar["lo"])), max(bar["hi"], hi.get(cell, bar["hi"]))
+    parts = {cell: min(GRID, -(-n * SPARE // LEAF_ROWS)) for cell, n in most.items() if n > LEAF_ROWS and hi[cell] > lo[cell]}
+    return {cell: (lo[cell], (hi[cell] - lo[cell]) // n + 1) for cell, n in parts.items()}
 
 
-def _cells(df: DataFrame, key: str, by: Sequence[str], span: tuple | None) -> tuple[Column, list]:
-    """A cell number for every row, in key order, and the number of rows per group and cell.
+def _cells(df: DataFrame, key: str, by: Sequence[str], span: tuple) -> tuple[Callable[[DataFrame], DataFrame], list[str], list]:
+    """How to place rows in cells in key order, the cell's columns, and the number of rows per group and cell.
 
-    Without a ``span`` the key is a seeded one, whose top bits are even cells by construction. Equal-width cells do for
-    dense ids. Where the ids cluster, so that one
-    cell would hold many times its share, approximate quantiles (literals, hence the same after a retry) replace them.
+    Equal-width cells do for dense ids. Where ids cluster, or rows are many, cells of more than LEAF_ROWS rows are cut again in
+    levels, from their smallest to their largest key and by their own count; so the number of cells follows the rows, and a cell
+    ends small or as a single key. All edges are literals or small tables, hence the same after a retry.
     """
-
-    def totals(cell: Column) -> list:
-        return df.groupBy(*by, _placed(cell).alias("_cell")).count().orderBy(*by, "_cell").collect()
-
-    if span is None:
-        cell = F.shiftright(F.col(key), ORDER_BITS - _HASH_CELL_BITS)
-        return cell, totals(cell)
-    rows, lo, hi = span
-    cell = F.lit(None) if lo is None else _grid(key, lo, hi)
-    bars = totals(cell)
-    if lo is not None and max(bar["count"] for bar in bars) > max(LEAF_ROWS, 16 * rows // GRID):
-        cell = _quantile_cells(df, key)
-        bars = totals(cell)
-    return cell, bars
-
-
-def _offsets(bars: list, by: Sequence[str]) -> pa.Table:
+    _, lo, hi = span
+    levels: list[DataFrame] = []
+    names = ["_cell"]
+
+    def place(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_cell", _placed(F.lit(None) if lo is None else _grid(key, lo, hi)))
+        for n, table in enumerate(levels):
+            known = names[: n + 1]
+            at = _all(rows[c] == table[f"_of_{c}"] for c in known)
+            rows = rows.join(F.broadcast(table), at, "left").withColumn(names[n + 1], F.coalesce(F.expr(f"({key} - _first) div _width"), F.lit(0).cast("bigint")))
+            rows = rows.drop("_first", "_width", *[f"_of_{c}" for c in known])
+        return rows
+
+    totals = [F.count(F.lit(1)).alias("count"), F.min(key).alias("lo"), F.max(key).alias("hi")]
+    while True:
+        bars = place(df).groupBy(*by, *names).agg(*totals).orderBy(*by, *names).collect()
+        finer = _finer(bars, names)
+        if not finer:
+            return place, names, bars
+        fields = ", ".join(f"{c} bigint" for c in [*(f"_of_{c}" for c in names), "_first", "_width"])
+        levels.append(df.sparkSession.createDataFrame([(*cell, *cut) for cell, cut in finer.items()], fields))
+        names.append(f"_cell{len(levels)}")
+
+
+def _offsets(bars: list, by: Sequence[str], cells: Sequence[str]) -> pa.Table:
     """Rows before each cell, per group. ``bars`` comes ordered by group and cell."""
     before, seen = [], {}
     for bar in bars:
         group = tuple(bar[c] for c in by)
         before.append(seen.get(group, 0))
         seen[group] = before[-1] + bar["count"]
-    columns = {c: [bar[c] for bar in bars] for c in [*by, "_cell"]}
+    columns = {c: [bar[c] for bar in bars] for c in [*by, *cells]}
     return pa.table({**columns, "_offset": pa.array(before, pa.int64())})
 
 
@@ -254,25 +269,25 @@ def row_index(
     ``hashed=True`` says that the key is a seeded order key, whose top bits are even cells already. Keys must be
     (nearly) unique, which keeps a cell at about rows / cells even when one group of ``by`` holds most rows; ``by`` is
     for a few groups, such as the sources of a mixture; a NULL group is a group like any other, and rows with a NULL key
-    come first in theirs. The driver sees at most 4,096 totals per group. The key is
-    scanned once for the totals, so pass narrow frames and join the number back where rows are wide.
+    come first in theirs. The driver sees 4,096 totals per group and a few for every 200,000 rows beyond. The key is
+    scanned for the totals, so pass narrow frames and join the number back where rows are wide.
     """
     order = [F.col(key)] if tie is None else [F.col(key), F.col(tie)]
     narrow = df.select(*by, key)
-    span = None if hashed else key_range(narrow, key)
-    cell, bars = _cells(narrow, key, by, span)
+    span = (None, 0, (1 << ORDER_BITS) - 1) if hashed else key_range(narrow, key)
+    place, cells, bars = _cells(narrow, key, by, span)
     if not bars:
         return df.withColumn(name, F.lit(0).cast("bigint"))
-    names = [*by, "_cell"]
-    offsets = df.sparkSession.createDataFrame(_offsets(bars, by)).select(
+    names = [*by, *cells]
+    offsets = df.sparkSession.createDataFrame(_offsets(bars, by, cells)).select(
         *[F.col(c).alias(f"_of_{i}") for i, c in enumerate(names)], "_offset"
     )
-    inside = Window.partitionBy(*by, "_cell").orderBy(*order)
+    inside = Window.partitionBy(*names).orderBy(*order)
     return (
-        df.withColumn("_cell", _placed(cell))
+        place(df)
         .join(F.broadcast(offsets), _all(F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(names)))
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_cell", "_offset", *[f"_of_{i}" for i in range(len(names))])
+        .drop(*cells, "_offset", *[f"_of_{i}" for i in range(len(names))])
     )
 
 

@@ -97,3 +97,18 @@ def test_rows_with_null_groups_and_keys_are_numbered(spark, request, cells):
     assert [r.row_idx for r in got] == [*range(10), *range(10)]
     assert [r.k for r in got if r.g == "a"][:2] == [None, 0]
     assert index.row_index(df, "k").count() == 20
+
+
+@pytest.mark.parametrize("hashed", [False, True])
+def test_no_cell_is_large_however_ids_cluster(spark, many_cells, hashed):
+    ids = [*range(300), *range(10**6, 10**6 + 300), *range(2**50, 2**50 + 2000), 2**59, *range(2**58, 2**58 + 10**9, 10**7)]
+    rows = [(i, "hot" if n % 3 else "cold") for n, i in enumerate(ids)] + [(None, "hot")] * 2
+    df = spark.createDataFrame(rows, "id long, g string")
+    span = (None, 0, (1 << index.ORDER_BITS) - 1) if hashed else index.key_range(df, "id")
+    place, cells, bars = index._cells(df, "id", ["g"], span)
+    assert max(bar["count"] for bar in bars) <= index.LEAF_ROWS and sum(bar["count"] for bar in bars) == len(rows)
+    assert place(df).columns == ["id", "g", *cells]
+    got = index.row_index(df, "id", by=["g"], hashed=hashed).where("id IS NOT NULL").collect()
+    for group, nulls in (("hot", 2), ("cold", 0)):
+        members = sorted(i for i, g in rows if g == group and i is not None)
+        assert {r.id: r.row_idx - nulls for r in got if r.g == group} == {i: n for n, i in enumerate(members)}
