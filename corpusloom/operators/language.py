@@ -40,24 +40,31 @@ def train_profile(texts: DataFrame, text: str = "text", lang: str = "lang") -> t
 
 
 def detect(texts: DataFrame, key: str, profile: DataFrame, languages: list[str], text: str = "text") -> DataFrame:
-    """``(key, detected)``: the language with the highest score (ties by name); NULL for a text without known trigrams.
+    """``(key, detected)`` of every row: the language with the highest score (ties by name); NULL for a text without known trigrams.
+
+    Texts that share a key, or have none, are told apart by a digest; equal texts of a key get the same verdict.
 
     With a profile of checked size the trigrams meet it in a broadcast join and are summed per text before anything is
     shuffled. A larger profile is joined by a shuffle, after equal trigrams of a text were counted together.
     """
-    grams = texts.select(key, F.explode(trigrams(F.col(text))).alias("gram"))
+    digest = F.md5(F.col(text).cast("binary")).alias("_digest")
+    own = [key, "_digest"]
+    grams = texts.select(key, digest, F.explode(trigrams(F.col(text))).alias("gram"))
     names = [f"s{i}" for i in range(len(languages))]
     if fits_broadcast(profile):
         scored = grams.join(F.broadcast(profile), "gram")
         sums = [F.sum(c).alias(c) for c in names]
     else:
-        scored = staged(grams.groupBy(key, "gram").agg(F.count("*").alias("times")), "grams")
+        scored = staged(grams.groupBy(*own, "gram").agg(F.count("*").alias("times")), "grams")
         scored = lookup(scored, profile, "gram").where(F.col(names[0]).isNotNull())
         sums = [F.sum(F.col(c) * F.col("times")).alias(c) for c in names]
     best = F.greatest(*[F.struct(F.col(c).alias("score"), F.lit(-i).alias("rank")) for i, c in enumerate(names)])
     label = F.array(*[F.lit(lg) for lg in languages])
-    found = scored.groupBy(key).agg(*sums).select(key, F.get(label, -best["rank"]).alias("detected"))
-    return texts.select(key).join(found, key, "left")
+    found = scored.groupBy(*own).agg(*sums).select(
+        F.col(key).alias("_key"), F.col("_digest").alias("_of"), F.get(label, -best["rank"]).alias("detected")
+    )
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_of"))
+    return texts.select(key, digest).join(found, same, "left").select(key, "detected")
 
 
 def is_language(detected: Column, wanted: str) -> Column:

@@ -39,3 +39,12 @@ def test_wide_tables_are_not_broadcast(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plan
+
+
+def test_rows_that_share_a_key_are_told_apart(spark):
+    learned = spark.createDataFrame([("the cat and the dog and the house", "en"), ("der hund und die katze und das haus", "de")], "text string, lang string")
+    profile, languages = language.train_profile(learned)
+    texts = [(1, "the dog and the cat"), (1, "der hund und die katze"), (1, "der hund und die katze"), (None, "the house"), (None, "das haus"), (2, None), (2, "")]
+    found = language.detect(spark.createDataFrame(texts, "id int, text string"), "id", profile, languages)
+    got = sorted((str(r.id), str(r.detected)) for r in found.collect())
+    assert got == [("1", "de"), ("1", "de"), ("1", "en"), ("2", "None"), ("2", "None"), ("None", "de"), ("None", "en")]
