@@ -23,11 +23,12 @@ def stream_encode(spark: SparkSession, folder: str) -> DataFrame:
     counts = staged(v.word_counts(documents(spark, folder, walk=True)), "counts")
     merges, _ = learn.learn_merges(counts, MERGES)
     tokens = {row["token"]: row["idx"] for row in learn.learned_tokens(counts, merges).collect()}
-    stream = readers.arriving(spark, folder, schemas.DOCUMENTS, only="documents.parquet")
+    # The table itself: one file or a folder of any number.
+    stream = readers.arriving(spark, f"{folder}/documents.parquet", schemas.DOCUMENTS)
     out, checkpoint = new_folder(spark, "stream-encoded"), new_folder(spark, "stream-state")
     tasks = spark.sparkContext.defaultParallelism
     encode_stream(stream, "doc_id", words(F.col("text")), merges, tokens, out, checkpoint, tasks).awaitTermination()
-    return spark.read.parquet(out).select("doc_id", joined(F.col("ids")).alias("ids"))
+    return spark.read.schema("doc_id bigint, ids array<int>").parquet(out).select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
 def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
