@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -102,14 +104,20 @@ def segment_words(words_column: Column, merges: Sequence[tuple]) -> Column:
         raise ValueError(f"more than {MAX_MERGES} merges")
     ranks = {(m[0], m[1]): rank for rank, m in enumerate(merges)}
 
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segment = _cached(lambda word: _segment(word, ranks))
         for batch in batches:
-            yield batch.map(
-                lambda row: [piece for word in row for piece in segment(word)], na_action="ignore"
-            )
+            yield _spelled(batch, segment, pa.string())
 
-    return F.pandas_udf(pieces, ArrayType(StringType()))(words_column)
+    return F.arrow_udf(pieces, ArrayType(StringType()))(words_column)
+
+
+def _spelled(rows: pa.ListArray, spell: Callable[[str], list], kind: pa.DataType) -> pa.ListArray:
+    """What each row's words are spelled as, in order. A batch spells each distinct word once; NULL rows stay."""
+    words = rows.flatten().dictionary_encode()
+    each = pa.array([spell(word) for word in words.dictionary.to_pylist()], pa.list_(kind)).take(words.indices)
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)))
+    return pa.ListArray.from_arrays(each.offsets.take(pa.array(ends)), each.flatten(), mask=rows.is_null())
 
 
 def encode_with_merges(
@@ -120,12 +128,12 @@ def encode_with_merges(
         raise ValueError(f"more than {MAX_MERGES} tokens")
     ranks = {(m[0], m[1]): rank for rank, m in enumerate(merges)}
 
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoded = _cached(lambda word: [tokens.get(piece, UNKNOWN) for piece in _segment(word, ranks)])
         for batch in batches:
-            yield batch.map(lambda row: [i for word in row for i in encoded(word)], na_action="ignore")
+            yield _spelled(batch, encoded, pa.int32())
 
-    udf = F.pandas_udf(ids, ArrayType(IntegerType()))
+    udf = F.arrow_udf(ids, ArrayType(IntegerType()))
     return texts.select(key, udf(words_column).alias("ids"))
 
 

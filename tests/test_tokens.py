@@ -2,11 +2,12 @@ import math
 import random
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens as tk
 from corpusloom.functions import vectors as vec
-from corpusloom.operators import mask, metrics, pack, substitute
+from corpusloom.operators import encode, mask, metrics, pack, substitute
 
 
 def rows_of(spark, lists, name="ids"):
@@ -125,3 +126,13 @@ def test_random_vectors_have_the_he_spread(spark):
     values = [x for r in rows for x in r.v]
     assert abs(sum(values) / len(values)) < 0.01
     assert sum(x * x for x in values) / len(values) == pytest.approx(2 / 64, rel=0.05)
+
+
+def test_distinct_words_of_a_batch_are_segmented_once():
+    rows = pa.array([["ab", "c", "ab"], None, [], ["c", "", "ab"]], pa.list_(pa.string()))
+    asked = []
+    spelled = encode._spelled(rows, lambda word: asked.append(word) or list(word), pa.string())
+    assert spelled.to_pylist() == [["a", "b", "c", "a", "b"], None, [], ["c", "a", "b"]]
+    assert asked == ["ab", "c", ""]
+    # A slice of a batch, whose offsets do not begin at 0.
+    assert encode._spelled(rows.slice(3), list, pa.string()).to_pylist() == [["c", "a", "b"]]

@@ -108,6 +108,17 @@ def test_two_thousand_merges_of_real_words(spark, sample):
     assert sorted((r.pieces, r.n) for r in spelled.collect()) == sorted(left)
 
 
+def test_blocks_of_words_give_the_same_merges(spark, monkeypatch):
+    monkeypatch.setattr(learn, "BLOCK_BYTES", 1)
+    counts = spark.createDataFrame(WORDS, "word string, n long").coalesce(1)
+    parts = learn._in_numbers(counts).toArrow().to_batches(max_chunksize=2)
+    assert [len(weights) for weights, _, _ in learn._blocks(iter(parts))] == [2] * 5
+    merges, spelled = learn.learn_merges(counts, 20, stage_every=4)
+    want, words = merges_one_by_one(WORDS, 20)
+    assert merges == want
+    assert sorted((r.pieces, r.n) for r in spelled.collect()) == sorted(words)
+
+
 def merges_quickly(counts, n):
     """One merge at a time, with the pair counts of touched words kept up to date."""
     words, merges, pairs = [(list(w), c) for w, c in counts], [], collections.Counter()
