@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +49,38 @@ def test_rows_that_share_a_key_are_told_apart(spark):
     found = language.detect(spark.createDataFrame(texts, "id int, text string"), "id", profile, languages)
     got = sorted((str(r.id), str(r.detected)) for r in found.collect())
     assert got == [("1", "de"), ("1", "de"), ("1", "en"), ("2", "None"), ("2", "None"), ("None", "de"), ("None", "en")]
+
+
+ODD = ["", None, "a", "ab", "Ab c", "x1y2z", "\U0001d400bc", "a\U0001d400\U0001d401b", "日本語の文 und", "İstanbul", "  ", "aaaa"]
+
+
+def test_trigrams_of_blocks_with_small_and_large_alphabets(monkeypatch):
+    texts = pa.array(["abcab", None, "", "ab", "日本語の", "abc"])
+    want = ["abc", "bca", "cab", "日本語", "本語の", "abc"]
+    for dense in (0, 200):
+        monkeypatch.setattr(language, "DENSE", dense)
+        numbers, places, times = language._grams(texts)
+        assert [language._text(numbers[i]) for i in places.tolist()] == want and times.tolist() == [3, 0, 0, 0, 2, 1]
+    batch = pa.RecordBatch.from_arrays([texts], names=["_letters"])
+    for size, rows in ((1, [1] * 6), (8, [4, 1, 1]), (100, [6])):
+        monkeypatch.setattr(language, "BLOCK_BYTES", size)
+        assert [block.num_rows for block in language._blocks(batch)] == rows
+
+
+def test_counts_and_scores_are_those_of_single_trigrams(spark, monkeypatch):
+    """Letters of any plane, short texts and NULLs."""
+    rows = [(i, "abc"[i % 3], t) for i, t in enumerate([*ODD, *(t for *_, t in TEXTS)])]
+    texts = spark.createDataFrame(rows, "id long, lang string, text string").coalesce(1)
+    want = texts.select("lang", F.explode(language.trigrams(F.col("text"))).alias("gram")).groupBy("gram", "lang").agg(F.count("*").alias("n"))
+    assert sorted(language._counted(texts, "text", "lang").collect()) == sorted(want.collect())
+    profile, languages = language.train_profile(texts.where("id <> 7"))
+    whole = sorted(language.detect(texts, "id", profile, languages).collect())
+    monkeypatch.setattr(lookup, "BROADCAST_VALUES", 1)
+    assert sorted(language.detect(texts, "id", profile, languages).collect()) == whole
+
+
+def test_scoring_moves_no_row_a_trigram(spark):
+    texts = spark.createDataFrame(TEXTS, "id long, lang string, text string")
+    profile, languages = language.train_profile(texts)
+    plan = language.detect(texts, "id", profile, languages)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
