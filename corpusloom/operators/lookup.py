@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ BROADCAST_VALUES = 4_000_000
 PIECES = 8
 #: Rows of one key that no task minds.
 FEW_ROWS = 1_000
+#: Elements of arrays that are looked up at once.
+SLICE = 250_000
 
 
 def measured(table: DataFrame) -> int:
@@ -73,13 +76,23 @@ def lookup(facts: DataFrame, table: DataFrame, on: str) -> DataFrame:
     return salted.join(spread, [on, "_salt"], "left").drop("_salt")
 
 
+def sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about SLICE elements of an array column, a longer row alone."""
+    ends = batch.column(column).offsets.to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def lookup_elements(
     df: DataFrame, keep: Sequence[str], elements: Column, table: DataFrame, on: str, value: str, name: str
 ) -> DataFrame:
     """``keep`` and ``name``: an array with the ``value`` of each element of an array, NULL where ``table`` lacks it.
 
     ``table (on, value)`` is unique on ``on``. After its content was measured it travels with the tasks, and rows are
-    looked up where they lie, an Arrow column at a time: no shuffle, and repeated rows stay rows. Beyond the limit
+    looked up where they lie, a slice of an Arrow column at a time: no shuffle, and repeated rows stay rows. Beyond the limit
     elements are spread, joined as in ``lookup`` and put together again by row. A NULL array counts as an empty one.
     """
     pairs = table.select(on, value)
@@ -93,11 +106,13 @@ def lookup_elements(
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value_set = None
             for batch in batches:
-                lists = batch.column(len(keep))
                 if value_set is None:
-                    value_set = pa.array(keys, lists.values.type)
-                made = pa.ListArray.from_arrays(lists.offsets, values.take(pc.index_in(lists.values, value_set=value_set)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=batch.schema.names)
+                    value_set = pa.array(keys, batch.column(len(keep)).values.type)
+                for part in sliced(batch, len(keep)):
+                    lists = part.column(len(keep))
+                    offsets = pc.subtract(lists.offsets, lists.offsets[0])
+                    made = pa.ListArray.from_arrays(offsets, values.take(pc.index_in(lists.flatten(), value_set=value_set)))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=part.schema.names)
 
         return rows.mapInArrow(found, schema)
     of = F.struct(*[F.col(c) for c in keep]).alias("_of")

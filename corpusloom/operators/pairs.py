@@ -12,7 +12,7 @@ from corpusloom.functions.text import comment_kind, comments, strip_comments
 from corpusloom.operators import java
 
 #: Methods of an output batch, in bytes of their text.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 
 
 def methods_with_docs(files: DataFrame, code: str = "code") -> DataFrame:

@@ -1,5 +1,6 @@
 from statistics import median
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,14 @@ def test_empty_and_equal_rows(spark, by_shuffle):
     same = spark.createDataFrame([("a",)] * 50 + [("z",)] * 50, "word string")
     assert sorted({(r.word, r.n) for r in lookup.lookup(same, table, "word").collect()}) == [("a", 1), ("z", None)]
     assert lookup.lookup(same, table, "word").count() == 100
+
+
+def test_arrays_are_looked_up_in_slices(spark, monkeypatch):
+    rows = [[1, 2, 3], [], [4], [5, 6, 7, 8, 9], [], [1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(rows, pa.list_(pa.int32()))], names=["k", "v"])
+    for size in (1, 4, 100):
+        monkeypatch.setattr(lookup, "SLICE", size)
+        for whole in (batch, pa.concat_batches([batch, batch]).slice(6)):
+            parts = list(lookup.sliced(whole, 1))
+            assert [row for part in parts for row in part.column(1).to_pylist()] == rows
+            assert all(part.num_rows == 1 or len(part.column(1).flatten()) <= size for part in parts)
