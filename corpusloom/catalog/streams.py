@@ -23,8 +23,8 @@ def stream_encode(spark: SparkSession, folder: str) -> DataFrame:
     counts = staged(v.word_counts(documents(spark, folder, walk=True)), "counts")
     merges, _ = learn.learn_merges(counts, MERGES)
     tokens = {row["token"]: row["idx"] for row in learn.learned_tokens(counts, merges).collect()}
-    # The table itself: one file or a folder of any number.
-    stream = readers.arriving(spark, f"{folder}/documents.parquet", schemas.DOCUMENTS)
+    # A pattern, since only patterns stand for one file as well as for a folder of files.
+    stream = readers.arriving(spark, f"{folder}/documents.parque[t]", schemas.DOCUMENTS)
     out, checkpoint = new_folder(spark, "stream-encoded"), new_folder(spark, "stream-state")
     tasks = spark.sparkContext.defaultParallelism
     encode_stream(stream, "doc_id", words(F.col("text")), merges, tokens, out, checkpoint, tasks).awaitTermination()

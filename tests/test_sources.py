@@ -118,15 +118,20 @@ def test_csv_and_json_columns_go_by_name(spark, tmp_path):
     assert [r.text for r in readers.with_text(readers.text_files(spark, str(tmp_path / "a.json"))).collect()] == ["one"]
 
 
-def test_a_folder_of_files_is_encoded_as_one_stream(spark, tmp_path):
-    """The table may be a folder of several files, as Spark writes it, or empty."""
+def test_a_table_of_one_file_or_of_many_is_encoded_as_one_stream(spark, tmp_path):
+    """The table may be a single file, or a folder of several as Spark writes it, or an empty one."""
     from corpusloom.catalog import streams
 
     rows = [(i, text, "en", "s", 5) for i, text in enumerate(["ab ab", "abc", "", None, "ab c", "c"])]
     for name, some in (("full", rows), ("empty", [])):
         docs = spark.createDataFrame(some, "doc_id bigint, text string, lang string, source string, n_chars bigint")
         docs.repartition(3).write.parquet(str(tmp_path / name / "documents.parquet"))
-    got = {r.doc_id: r.ids for r in streams.stream_encode(spark, str(tmp_path / "full")).collect()}
-    # Letters a, b, c from 4 on, then ab and abc.
-    assert got.keys() == set(range(6)) and got[0] == "7,7" and got[4] == "7,6" and got[2] == ""
+    docs = spark.createDataFrame(rows, docs.schema).coalesce(1)
+    docs.write.parquet(str(tmp_path / "written"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file/documents.parquet").write_bytes(next((tmp_path / "written").glob("*.parquet")).read_bytes())
+    for name in ("full", "file"):
+        got = {r.doc_id: r.ids for r in streams.stream_encode(spark, str(tmp_path / name)).collect()}
+        # Letters a, b, c from 4 on, then ab and abc.
+        assert got.keys() == set(range(6)) and got[0] == "7,7" and got[4] == "7,6" and got[2] == ""
     assert streams.stream_encode(spark, str(tmp_path / "empty")).collect() == []
