@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.common import SEED, documents, draw_sql, ink_sql, joined, order_sql, table, top_words_sql, words_cte
-from corpusloom.catalog.vocabularies import ADAPT_CTE, MERGES, SOURCE_MERGES, learn_cte, source_merges, vocabularies
+from corpusloom.catalog.vocabularies import ADAPT_CTE, MERGES, SOURCE_MERGES, counts_by_side, learn_cte, source_merges, vocabularies
 from corpusloom.functions.text import words
 from corpusloom.functions.tokens import SEPARATOR_ID, keep_last, unmask
 from corpusloom.operators import encode, learn, mask, pack, substitute
@@ -43,9 +43,9 @@ def encode_merges(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(pieces, " ").alias("pieces"))
 
 
-def adapted_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def adapted_rows(spark: SparkSession, folder: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents under the adapted vocabulary, that vocabulary, and the source vocabulary."""
-    source, target, learned = vocabularies(spark, folder)
+    source, target, learned = vocabularies(spark, folder, counts)
     adapted = staged(adaptation.adapt(source, target, learned), "adapted")
     docs = documents(spark, folder, walk=True)
     return encode.encode(docs, "doc_id", "text", adapted), adapted, source
@@ -78,14 +78,16 @@ def ratio_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def substitution_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    source, target, learned = vocabularies(spark, folder)
+    counts = counts_by_side(spark, folder)
+    source, target, learned = vocabularies(spark, folder, counts)
     adapted = staged(adaptation.adapt(source, target, learned), "adapted")
-    return adaptation.substitution_table(adapted, source, source_merges(spark, folder)).select("idx", "is_source", joined(F.col("pieces")).alias("pieces"))
+    return adaptation.substitution_table(adapted, source, source_merges(spark, folder, counts)).select("idx", "is_source", joined(F.col("pieces")).alias("pieces"))
 
 
 def substitute_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    rows, adapted, source = adapted_rows(spark, folder)
-    pieces = staged(adaptation.substitution_table(adapted, source, source_merges(spark, folder)), "substitutes")
+    counts = counts_by_side(spark, folder)
+    rows, adapted, source = adapted_rows(spark, folder, counts)
+    pieces = staged(adaptation.substitution_table(adapted, source, source_merges(spark, folder, counts)), "substitutes")
     out = substitute.substitute_tokens(rows, "doc_id", pieces, WANTED, SEED)
     fitted = substitute.fit_rows(out, LENGTH)
     return fitted.select("doc_id", "n_swapped", *[joined(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
@@ -146,9 +148,10 @@ def _splits(docs: DataFrame) -> dict[str, DataFrame]:
 def substitution_job(spark: SparkSession, folder: str) -> DataFrame:
     """The whole job over a dataset saved by split: its result is saved by split too, and read back."""
     docs = documents(spark, folder, walk=True)
-    source, target, learned = vocabularies(spark, folder)
+    counts = counts_by_side(spark, folder)
+    source, target, learned = vocabularies(spark, folder, counts)
     adapted = staged(adaptation.adapt(source, target, learned), "adapted")
-    pieces = staged(adaptation.substitution_table(adapted, source, source_merges(spark, folder)), "substitutes")
+    pieces = staged(adaptation.substitution_table(adapted, source, source_merges(spark, folder, counts)), "substitutes")
     texts = writers.with_splits(_splits(docs.select("doc_id", "text")))
     path = new_folder(spark, "substituted")
     writers.save(substitution.substitution_job(texts, "doc_id", "text", adapted, pieces, WANTED, SEED, LENGTH), path)

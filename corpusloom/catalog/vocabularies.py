@@ -26,13 +26,13 @@ def counts_by_side(spark: SparkSession, folder: str) -> DataFrame:
     return staged(v.word_counts(docs, by=["side"]), "counts")
 
 
-def vocabularies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def vocabularies(spark: SparkSession, folder: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``source`` (letters and English words), ``target`` (words of the other languages) and ``learned`` tokens.
 
     Both sides number their tokens from 4, so ids clash as those of two real tokenizers do. The letter ``ê`` stands for
-    bytes that cannot be decoded.
+    bytes that cannot be decoded. ``counts`` are those by side, where they are known already.
     """
-    counts = counts_by_side(spark, folder)
+    counts = counts_by_side(spark, folder) if counts is None else counts
     side = lambda name: counts.where(F.col("side") == name)
     target = staged(v.word_vocab(side("target").where(F.length("word") > 1), TARGET_WORDS), "target")
     top = staged(v.word_vocab(side("source").where(F.length("word") > 1), SOURCE_WORDS), "top")
@@ -47,10 +47,10 @@ def vocabularies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     )
 
 
-def source_merges(spark: SparkSession, folder: str) -> list[tuple[str, str, int]]:
+def source_merges(spark: SparkSession, folder: str, counts: DataFrame | None = None) -> list[tuple[str, str, int]]:
     """The merges of the source tokenizer, learned from English words."""
-    counts = counts_by_side(spark, folder).where(F.col("side") == "source")
-    return learn.learn_merges(counts.select("word", "n"), SOURCE_MERGES)[0]
+    counts = counts_by_side(spark, folder) if counts is None else counts
+    return learn.learn_merges(counts.where(F.col("side") == "source").select("word", "n"), SOURCE_MERGES)[0]
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:

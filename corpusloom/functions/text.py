@@ -28,7 +28,10 @@ def has_ink(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The text's words as an array, without empty ones."""
-    return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
+    # One kind of blank, since a text is cut at a single letter without a pattern.
+    for blank in "\t\n\r\f":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def drop_blank_lines(text: Column) -> Column:

@@ -41,11 +41,11 @@ def keep_last(values: Column, length: int) -> Column:
 
 
 def ones_like(ids: Column) -> Column:
-    return F.transform(ids, lambda _: _int(1))
+    return F.when(ids.isNotNull(), _fill(1, F.size(ids)))
 
 
 def zeros_like(ids: Column) -> Column:
-    return F.transform(ids, lambda _: _int(0))
+    return F.when(ids.isNotNull(), _fill(0, F.size(ids)))
 
 
 def before_separator(values: Column, ids: Column, separator: int = SEPARATOR_ID) -> Column:

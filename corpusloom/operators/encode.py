@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corpusloom.functions.text import byte_level_words, words
-from corpusloom.functions.tokens import END, START, ones_like
+from corpusloom.functions.tokens import END, START, ones_like, zeros_like
 from corpusloom.operators.lookup import lookup_elements
 
 UNKNOWN = 3
@@ -38,7 +38,7 @@ def with_specials(df: DataFrame, ids: str = "ids") -> DataFrame:
         *[c for c in df.columns if c != ids],
         F.concat(start, F.col(ids), end).alias("input_ids"),
         F.concat(one, ones_like(F.col(ids)), one).alias("attention_mask"),
-        F.concat(one, F.transform(F.col(ids), lambda _: F.lit(0).cast("int")), one).alias("special_tokens_mask"),
+        F.concat(one, zeros_like(F.col(ids)), one).alias("special_tokens_mask"),
     )
 
 

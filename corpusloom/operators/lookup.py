@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +86,28 @@ def sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start = end
 
 
+def in_slices(work: Callable[..., pa.Array], *columns: pa.Array, by: int) -> pa.Array:
+    """``work`` of all columns, a slice of the array column ``by`` at a time."""
+    batch = pa.RecordBatch.from_arrays(list(columns), names=[str(i) for i in range(len(columns))])
+    return pa.concat_arrays([work(*part.columns) for part in sliced(batch, by)] or [work(*columns)])
+
+
+def lengths(lists: pa.ListArray) -> np.ndarray:
+    """Elements per row, none where it is NULL."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def as_lists(ends: np.ndarray, values: pa.Array, like: pa.ListArray) -> pa.ListArray:
+    """Lists that end at ``ends`` of the values, NULL where ``like`` is."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values, mask=like.is_null())
+
+
 def lookup_elements(
     df: DataFrame, keep: Sequence[str], elements: Column, table: DataFrame, on: str, value: str, name: str
 ) -> DataFrame:
     """``keep`` and ``name``: an array with the ``value`` of each element of an array, NULL where ``table`` lacks it.
 
-    ``table (on, value)`` is unique on ``on``. After its content was measured it travels with the tasks, and rows are
+    ``table (on, value)`` is unique on ``on``. After its content was measured it travels with the tasks, and arrays are
     looked up where they lie, a slice of an Arrow column at a time: no shuffle, and repeated rows stay rows. Beyond the limit
     elements are spread, joined as in ``lookup`` and put together again by row. A NULL array counts as an empty one.
     """
@@ -101,20 +117,19 @@ def lookup_elements(
         known = pairs.toArrow()
         keys = known.column(on).to_pylist()
         values = pa.concat_arrays(known.column(value).chunks or [pa.array([], known.schema.field(value).type)])
-        schema = StructType([*rows.schema.fields[:-1], StructField(name, ArrayType(table.schema[value].dataType))])
 
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             value_set = None
             for batch in batches:
                 if value_set is None:
-                    value_set = pa.array(keys, batch.column(len(keep)).values.type)
-                for part in sliced(batch, len(keep)):
-                    lists = part.column(len(keep))
-                    offsets = pc.subtract(lists.offsets, lists.offsets[0])
-                    made = pa.ListArray.from_arrays(offsets, values.take(pc.index_in(lists.flatten(), value_set=value_set)))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=part.schema.names)
-
-        return rows.mapInArrow(found, schema)
+                    value_set = pa.array(keys, batch.type.value_type)
+                yield in_slices(one_slice(value_set), batch, by=0)
+
+        def one_slice(value_set: pa.Array) -> Callable[[pa.Array], pa.Array]:
+            return lambda lists: as_lists(np.cumsum(lengths(lists)), values.take(pc.index_in(lists.flatten(), value_set=value_set)), like=lists)
+
+        # Only the array itself goes through Python.
+        return rows.select(*keep, F.arrow_udf(found, ArrayType(table.schema[value].dataType))(name).alias(name))
     of = F.struct(*[F.col(c) for c in keep]).alias("_of")
     # Numbered before the explosion, so that all elements of a row share its number.
     numbered = rows.select(of, name).withColumn("_row", F.monotonically_increasing_id())
