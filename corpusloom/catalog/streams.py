@@ -32,17 +32,21 @@ def stream_encode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of texts that arrive in five files, by ranges of their ids; batches go on across them."""
+    """Chunks of texts that arrive five times, by ranges of their ids; batches go on across the arrivals.
+
+    An arrival is as many files as tasks write at once, and is packed before the next one lands.
+    """
     rows = staged(encoded(spark, folder), "encoded")
     landed = new_folder(spark, "stream-landed")
     least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     step = (most - least) // ARRIVALS + 1
-    for first in range(least, most + 1, step):
-        rows.where(F.col("doc_id").between(first, first + step - 1)).coalesce(1).write.mode("append").parquet(landed)
     columns = ("input_ids", "attention_mask", "special_tokens_mask")
-    stream = readers.arriving(spark, landed, rows.schema, files_per_trigger=1)
     out, checkpoint = new_folder(spark, "stream-packed"), new_folder(spark, "stream-state")
-    pack_stream(stream, "doc_id", CHUNK, out, checkpoint, columns, BATCH).awaitTermination()
+    for first in range(least, most + 1, step):
+        arrival = rows.where(F.col("doc_id").between(first, first + step - 1))
+        arrival.repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(landed)
+        stream = readers.arriving(spark, landed, rows.schema)
+        pack_stream(stream, "doc_id", CHUNK, out, checkpoint, columns, BATCH).awaitTermination()
     finish_packing(spark, out, CHUNK, columns, BATCH)
     return spark.read.parquet(out).select("batch", "chunk", *[joined(F.col(c)).alias(c) for c in columns])
 

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import PAD, fit_ids, fit_mask, round_up
 from corpusloom.operators.index import batch_number, row_index
+from corpusloom.operators.lookup import BROADCAST_VALUES
 
 BATCH_ROWS = 1000
 
 
-def _places(sizes: DataFrame, key: str, batch_rows: int) -> DataFrame:
+def _places(sizes: DataFrame, key: str, batch_rows: int, numbered: bool) -> DataFrame:
     """``(key, batch, start, total)``: where each row begins in its batch's concatenation. Works on two numbers a row."""
-    numbered = row_index(sizes, key).withColumn("batch", batch_number(F.col("row_idx"), batch_rows))
+    numbers = sizes.withColumn("row_idx", F.col(key)) if numbered else row_index(sizes, key)
+    batched = numbers.withColumn("batch", batch_number(F.col("row_idx"), batch_rows))
     before = Window.partitionBy("batch").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("batch")
-    return numbered.select(
+    return batched.select(
         key,
         "batch",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
@@ -33,21 +35,27 @@ def pack_chunks(
     columns: Sequence[str] = ("input_ids",),
     batch_rows: int = BATCH_ROWS,
     size: str | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """Concatenate the rows of each batch of ``batch_rows`` in key order and cut the result into chunks of ``length``;
     a batch's remainder is dropped. Gives ``(batch, chunk, …columns)``.
 
     Positions come from row sizes alone. A row then sends one slice to each chunk that it touches, so the shuffle moves
     slices instead of single tokens and no task holds more than one chunk's ``length`` tokens per group. ``size`` names
-    a column that already holds the row's length, which spares reading the arrays for the sizes.
+    a column that already holds the row's length, which spares reading the arrays for the sizes. ``numbered`` says that the keys
+    are the rows' numbers already, the first of a batch among them.
+
+    The places of a bounded number of rows go to where the arrays lie; beyond, both move by key. The arrays themselves are never
+    broadcast: files say little of their size, since masks take next to no room there.
     """
     n = F.size(columns[0]) if size is None else F.col(size)
-    places = _places(rows.select(key, n.cast("bigint").alias("n")), key, batch_rows)
+    places = _places(rows.select(key, n.cast("bigint").alias("n")), key, batch_rows, numbered)
+    few = rows.select(key).count() * len(places.columns) <= BROADCAST_VALUES
     ends = F.col("start") + F.size(columns[0])
     placed = (
         rows.select(key, *columns)
         .where(F.size(columns[0]) > 0)
-        .join(places, key)
+        .join(F.broadcast(places) if few else places.hint("merge"), key)
         .withColumn("first", F.expr(f"start div {length}"))
         .withColumn("last", F.least(F.expr(f"(start + size({columns[0]}) - 1) div {length}"), F.expr(f"total div {length} - 1")))
         .where(F.col("last") >= F.col("first"))

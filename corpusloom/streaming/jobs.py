@@ -61,7 +61,9 @@ def pack_stream(
         end, held = _waiting(rows.sparkSession, out, arrival - 1)
         new = row_index(rows.select(key, *columns), key, name="_row").select((F.col("_row") + end).alias("_row"), *columns)
         whole = staged(new if held is None else held.unionByName(new), "arrived")
-        end += rows.count()
+        # Read from the narrow numbers of the stage table: the arrival itself would be decoded once more.
+        last = whole.agg(F.max("_row")).first()[0]
+        end = end if last is None else last + 1
         full = end // batch_rows * batch_rows
         _packed(whole.where(F.col("_row") < full), length, columns, batch_rows).write.mode("overwrite").parquet(f"{out}/arrival={arrival}")
         rest = whole.where(F.col("_row") >= full).withColumn("_held", F.lit(True))
@@ -96,6 +98,4 @@ def _waiting(spark: SparkSession, out: str, arrival: int) -> tuple[int, DataFram
 
 def _packed(rows: DataFrame, length: int, columns: Sequence[str], batch_rows: int) -> DataFrame:
     """The chunks of numbered rows that begin with a batch, under the numbers of their batches."""
-    least = rows.agg(F.min("_row")).first()[0] or 0
-    chunks = pack_chunks(rows, "_row", length, columns, batch_rows)
-    return chunks.withColumn("batch", F.col("batch") + F.lit(least // batch_rows))
+    return pack_chunks(rows, "_row", length, columns, batch_rows, numbered=True)
